@@ -192,11 +192,10 @@ class MergeTable:
             known, at = known + 1, m.end()
         freq.update(self.pattern.findall(self.normal(text[at:])))
         pieces = self.pieces
-        if new := freq.keys() - pieces.keys():
-            if len(pieces) + len(new) > TABLE:
-                pieces.clear()
-                new = freq.keys()
-            for p in new:
+        if len(pieces) + len(freq) > TABLE:
+            pieces.clear()
+        for p in freq:
+            if p not in pieces:
                 pieces[p] = len(self.parts(p))
         return known + sum(map(mul, map(pieces.__getitem__, freq), freq.values()))
 

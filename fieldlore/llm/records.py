@@ -106,10 +106,9 @@ class LibraryEncoder:
         if not self.by_word or "<|" in text or ODD_SPACE.search(text):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
         split, words = text.split(), self.words
-        if new := list(set(split) - words.keys()):
-            if len(words) + len(new) > WORDS:
-                words.clear()
-                new = list(set(split))
+        if len(words) + len(split) > WORDS:
+            words.clear()
+        if new := [w for w in set(split) if w not in words]:
             for w, e in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True):
                 words[w] = np.array(e.ids, "<u4").tobytes()
         return np.frombuffer(b"".join(map(words.__getitem__, split)), "<u4")
