@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import unicodedata
 from collections import Counter
 from functools import lru_cache
@@ -30,7 +31,7 @@ from fieldlore.llm.shared import batches
 
 #: Symbols up to which the rank array is scanned.
 SHORT = 192
-#: Entries of a worker's table of words already seen; the table starts anew beyond it.
+#: Entries of each half of a worker's table of words already seen.
 TABLE = 400_000
 #: White space to str.split() but not to the vocabulary's patterns.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -51,6 +52,25 @@ def byte_symbols() -> list[str]:
     return out
 
 
+class Recent(dict):
+    """A bounded table: make(key) fills it, and when it is full, what hasn't been asked for since the last time goes."""
+
+    def __init__(self, make, limit: int = TABLE):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        return self.keep(key, self.make(key) if value is None else value)
+
+    def keep(self, key, value):
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class MergeTable:
     """Vocabulary, merge ranks and text rules of one file."""
 
@@ -81,8 +101,8 @@ class MergeTable:
         self.by_word = bool(splits)
         self.joins_bytes = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.bytes_of = {c: b for b, c in enumerate(symbols)}
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, int] = {}
+        self.words = Recent(self.word)
+        self.pieces = Recent(lambda p: len(self.parts(p)))
 
     def normal(self, text: str) -> str:
         if "NFC" in self.rules and not unicodedata.is_normalized("NFC", text):
@@ -137,12 +157,8 @@ class MergeTable:
         return [t for t, live in zip(ids, alive, strict=True) if live]
 
     def word(self, word: str) -> bytes:
-        """Ids of a word without white space, as little-endian 32-bit integers; remembered."""
-        ids = [i for piece in self.pattern.findall(self.normal(word)) for i in self.parts(piece)]
-        if len(self.words) >= TABLE:
-            self.words.clear()
-        out = self.words[word] = np.array(ids, "<u4").tobytes()
-        return out
+        """Ids of a word without white space, as little-endian 32-bit integers."""
+        return struct.pack("<%dI" % len(ids := [i for piece in self.pattern.findall(self.normal(word)) for i in self.parts(piece)]), *ids)
 
     def plain(self, text: str) -> bytes:
         """Ids of a text without special strings."""
@@ -157,13 +173,7 @@ class MergeTable:
                 return np.array(ids, "<u4").tobytes()
         else:
             split = text.split()
-        seen = self.words.get
-        out = list(map(seen, split))
-        if None in out:
-            for k, ids in enumerate(out):
-                if ids is None:
-                    out[k] = seen(split[k]) or self.word(split[k])
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, split))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian 32-bit integers; null counts as empty. Special strings are their ids."""
@@ -191,13 +201,7 @@ class MergeTable:
             freq.update(self.pattern.findall(self.normal(text[at : m.start()])))
             known, at = known + 1, m.end()
         freq.update(self.pattern.findall(self.normal(text[at:])))
-        pieces = self.pieces
-        if len(pieces) + len(freq) > TABLE:
-            pieces.clear()
-        for p in freq:
-            if p not in pieces:
-                pieces[p] = len(self.parts(p))
-        return known + sum(map(mul, map(pieces.__getitem__, freq), freq.values()))
+        return known + sum(map(mul, map(self.pieces.__getitem__, freq), freq.values()))
 
 
 @lru_cache(maxsize=4)

@@ -24,11 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlore.llm.bpe import ODD_SPACE
+from fieldlore.llm.bpe import ODD_SPACE, Recent
 from fieldlore.llm.shared import batches, get, make_dir, plain, put
 
 MASK = 0xA282EAD8
-WORDS = 400_000
+PRESS, UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def masked(data: bytes) -> int:
@@ -39,12 +39,12 @@ def masked(data: bytes) -> int:
 def pack(doc_id: int | None, ids: np.ndarray) -> bytes:
     """The payload of one sequence. A null id is stored as the smallest 64-bit integer."""
     width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
-    return struct.pack("<qIB", -(1 << 63) if doc_id is None else doc_id, len(ids), width) + zstandard.ZstdCompressor(level=1).compress(ids.astype(f"<u{width}").tobytes())
+    return struct.pack("<qIB", -(1 << 63) if doc_id is None else doc_id, len(ids), width) + PRESS.compress(ids.astype(f"<u{width}").tobytes())
 
 
 def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, n, width = struct.unpack_from("<qIB", payload)
-    data = zstandard.ZstdDecompressor().decompress(payload[13:], max_output_size=max(1, n * width))
+    data = UNPRESS.decompress(payload[13:], max_output_size=max(1, n * width))
     return None if doc_id == -(1 << 63) else doc_id, np.frombuffer(data, f"<u{width}").astype("<u4")
 
 
@@ -98,7 +98,7 @@ class LibraryEncoder:
         self.own.no_truncation()
         self.own.no_padding()
         self.by_word = self.own.normalizer is not None and self.own.decoder is None
-        self.words: dict[str, bytes] = {}
+        self.words = Recent(None)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
@@ -106,13 +106,28 @@ class LibraryEncoder:
         if not self.by_word or "<|" in text or ODD_SPACE.search(text):
             return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
         split, words = text.split(), self.words
-        if len(words) + len(split) > WORDS:
-            words.clear()
         if new := [w for w in set(split) if w not in words]:
-            for w, e in zip(new, self.own.encode_batch(new, add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
+            self.learn(new)
         return np.frombuffer(b"".join(map(words.__getitem__, split)), "<u4")
 
+    def learn(self, new: list[str]) -> None:
+        """Encodes new words in one call; a token belongs to the word in which its characters lie."""
+        words = self.words
+        fresh = [w for w in new if w not in words.old]
+        found = {w: words.old[w] for w in new if w in words.old}
+        if fresh:
+            e = self.own.encode(" ".join(fresh), add_special_tokens=False)
+            ids, at = np.array(e.ids, "<u4"), np.array([a for a, _ in e.offsets], "i8")
+            ends = np.searchsorted(at, np.cumsum([len(w) + 1 for w in fresh])).tolist()
+            start = 0
+            for w, end in zip(fresh, ends, strict=True):
+                found[w] = ids[start:end].tobytes()
+                start = end
+        if len(words) + len(found) > words.limit:
+            words.old = dict(words)
+            words.clear()
+        words.update(found)
+
 
 @lru_cache(maxsize=2)
 def library(path: str) -> LibraryEncoder:
