@@ -6,6 +6,10 @@ searched by a scan, its boundary deleted, and the two neighbouring ranks looked
 than ``SHORT`` symbols, where scans would cost the square of its length, keeps the same order of merges in
 a heap.
 
+The words that a batch of texts brings anew are merged together: words of one length are the rows of a matrix,
+and each step scans every row for its smallest rank, deletes that boundary and refreshes the two neighbours,
+so that all rows stay of one length; rows without a rank left are taken out.
+
 White space never lies inside a pre-token of the word-level vocabulary, and neither NFC nor lower case
 reaches across it, so each white-space-delimited word is encoded alone and remembered in a bounded table.
 """
@@ -37,7 +41,7 @@ TABLE = 400_000
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: The pattern of byte-level pre-tokens, as published with the vocabulary.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-NO_RANK = 1 << 60
+NO_RANK = (1 << 31) - 1
 
 
 def byte_symbols() -> list[str]:
@@ -71,6 +75,43 @@ class Recent(dict):
         return value
 
 
+class PairTable:
+    """Ranks by pair of token ids, for arrays: a hash table whose collisions go to a smaller one."""
+
+    def __init__(self, pairs: dict[int, int]):
+        keys, ranks = np.array(list(pairs), "u8"), np.array(list(pairs.values()), "i8")
+        self.levels, bits = [], 20
+        while len(keys):
+            slot = self.slot(keys, bits)
+            _, first = np.unique(slot, return_index=True)
+            k, r = np.full(1 << bits, (1 << 64) - 1, "u8"), np.full(1 << bits, NO_RANK, "i4")
+            k[slot[first]], r[slot[first]] = keys[first], ranks[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, ranks = keys[rest], ranks[rest]
+            more = np.zeros(1 << bits, bool)
+            more[self.slot(keys, bits)] = True
+            self.levels.append((bits, k, r, more))
+            bits = max(8, bits - 3)
+
+    @staticmethod
+    def slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype("i8")
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._look(a.astype("u8") << np.uint64(20) | b.astype("u8"), 0)
+
+    def _look(self, key: np.ndarray, level: int) -> np.ndarray:
+        bits, keys, ranks, more = self.levels[level]
+        slot = self.slot(key, bits)
+        out = np.where(keys[slot] == key, ranks[slot], np.int32(NO_RANK))
+        if level + 1 < len(self.levels):
+            deeper = np.nonzero(more[slot] & (out == NO_RANK))
+            if len(deeper[0]):
+                out[deeper] = self._look(key[deeper], level + 1)
+        return out
+
+
 class MergeTable:
     """Vocabulary, merge ranks and text rules of one file."""
 
@@ -101,8 +142,11 @@ class MergeTable:
         self.by_word = bool(splits)
         self.joins_bytes = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.bytes_of = {c: b for b, c in enumerate(symbols)}
+        self.pairs = PairTable(self.rank)
+        self.new_id = np.array(self.made, "i4")
         self.words = Recent(self.word)
         self.pieces = Recent(lambda p: len(self.parts(p)))
+        self.marks = {m: self.word(m) for m in ".,"} if self.by_word else {}
 
     def normal(self, text: str) -> str:
         if "NFC" in self.rules and not unicodedata.is_normalized("NFC", text):
@@ -156,6 +200,104 @@ class MergeTable:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [t for t, live in zip(ids, alive, strict=True) if live]
 
+    def merge_many(self, pieces: list[str]) -> list[np.ndarray]:
+        """Token ids of many pre-tokens, in their order."""
+        out: list = [None] * len(pieces)
+        data = [p.encode() for p in pieces]
+        size = np.fromiter(map(len, data), "i4", len(data))
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero(size == n)
+            if n > SHORT or len(at) < 16 or not self.whole:
+                for i in at.tolist():
+                    out[i] = np.array(self.parts(pieces[i]), "<u4")
+                continue
+            symbols = np.frombuffer(b"".join([data[i] for i in at.tolist()]), np.uint8).reshape(-1, n)
+            ids = np.array(self.inner, "i4")[symbols]
+            ids[:, -1] = np.array(self.final, "i4")[symbols[:, -1]]
+            ranks = self.pairs.look(ids[:, :-1], ids[:, 1:])
+            while len(at):
+                low = ranks.min(1) if ranks.shape[1] else np.full(len(at), NO_RANK)
+                done = low == NO_RANK
+                if done.any():
+                    for i, row in zip(at[done].tolist(), ids[done].astype("<u4"), strict=True):
+                        out[i] = row
+                    live = ~done
+                    at, ids, ranks, low = at[live], ids[live], ranks[live], low[live]
+                    if not len(at):
+                        break
+                k, rows = ranks.argmin(1), np.arange(len(at))
+                ids[rows, k] = self.new_id[low]
+                cols = np.arange(ids.shape[1] - 1)
+                ids = np.take_along_axis(ids, cols + (cols > k[:, None]), 1)
+                cols = cols[:-1]
+                ranks = np.take_along_axis(ranks, cols + (cols >= k[:, None]), 1)
+                r = np.flatnonzero(k > 0)
+                ranks[r, k[r] - 1] = self.pairs.look(ids[r, k[r] - 1], ids[r, k[r]])
+                r = np.flatnonzero(k < ranks.shape[1])
+                ranks[r, k[r]] = self.pairs.look(ids[r, k[r]], ids[r, k[r] + 1])
+        return out
+
+    def learn(self, texts: list[str]) -> None:
+        """Puts what a batch of texts has of new words into the table. A word is looked up in lower case and without one closing mark, which is a pre-token of its own."""
+        words, new = self.words, set()
+        for t in texts:
+            if t and not ODD_SPACE.search(t):
+                new.update(t.split())
+        new = [w for w in new if w not in words]
+        stems, fresh = [], {}
+        for w in new:
+            if (ids := words.old.get(w)) is not None:
+                words.keep(w, ids)
+                continue
+            mark = w[-1] if w[-1] in self.marks and w[-2:-1].isalpha() else ""
+            stem = w[:-1] if mark else w
+            if stem.isascii():
+                stem = stem.lower()
+            stems.append((w, stem, mark))
+            if stem not in words and stem not in words.old:
+                fresh[stem] = None
+        cut, pieces = [], []
+        for w in fresh:
+            x = self.normal(w)
+            # letters only: one pre-token
+            found = [x] if x.isalpha() else self.pattern.findall(x)
+            cut.append((w, len(found)))
+            pieces += found
+        made, k, learnt = self.merge_many(pieces), 0, {}
+        for w, n in cut:
+            learnt[w] = made[k].tobytes() if n == 1 else b"".join(x.tobytes() for x in made[k : k + n])
+            k += n
+        for w, stem, mark in stems:
+            ids = learnt.get(stem)
+            if ids is None:
+                ids = words[stem]
+            words.keep(w, ids + self.marks[mark] if mark else ids)
+
+    def learn_pieces(self, texts: list[str]) -> list[tuple[Counter, int]]:
+        """Pre-token frequencies of each text with its number of special strings; pieces of new pre-tokens are counted once, together."""
+        out, new = [], {}
+        for text in texts:
+            freq, known, at = Counter(), 0, 0
+            for m in self.specials.finditer(text or ""):
+                freq.update(self.pattern.findall(self.normal(text[at : m.start()])))
+                known, at = known + 1, m.end()
+            freq.update(self.pattern.findall(self.normal((text or "")[at:])))
+            out.append((freq, known))
+            new.update((p, None) for p in freq if p not in self.pieces and p not in self.pieces.old)
+        for p, ids in zip(new, self.merge_many(list(new)), strict=True):
+            self.pieces.keep(p, len(ids))
+        return out
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        if self.by_word:
+            self.learn(texts)
+        return list(map(self.encode, texts))
+
+    def count_many(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text: its pre-token frequencies joined to the pieces of each distinct pre-token, and summed."""
+        look = self.pieces.__getitem__
+        return [known + sum(map(mul, map(look, freq), freq.values())) for freq, known in self.learn_pieces(texts)]
+
     def word(self, word: str) -> bytes:
         """Ids of a word without white space, as little-endian 32-bit integers."""
         return struct.pack("<%dI" % len(ids := [i for piece in self.pattern.findall(self.normal(word)) for i in self.parts(piece)]), *ids)
@@ -193,15 +335,7 @@ class MergeTable:
         return bytes(b for t in tokens for b in (t.encode() if t in self.special else map(self.bytes_of.__getitem__, t))).decode(errors="replace")
 
     def count(self, text: str | None) -> int:
-        """Tokens of a text: its pre-token frequencies joined to the pieces of each distinct pre-token."""
-        if not text:
-            return 0
-        freq, known, at = Counter(), 0, 0
-        for m in self.specials.finditer(text):
-            freq.update(self.pattern.findall(self.normal(text[at : m.start()])))
-            known, at = known + 1, m.end()
-        freq.update(self.pattern.findall(self.normal(text[at:])))
-        return known + sum(map(mul, map(self.pieces.__getitem__, freq), freq.values()))
+        return self.count_many([text])[0]
 
 
 @lru_cache(maxsize=4)
@@ -229,7 +363,7 @@ def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str
 
     def kernel(texts):
         t = merge_table(tokenizer)
-        return {"ids": pa.array([np.frombuffer(t.encode(x), "<u4").astype("int64") for x in texts], pa.list_(pa.int64()))}
+        return {"ids": pa.array([np.frombuffer(x, "<u4").astype("int64") for x in t.encode_many(texts)], pa.list_(pa.int64()))}
 
     return _mapped(df, keep, text, "ids array<bigint>", kernel)
 
@@ -254,7 +388,7 @@ def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: list
 
     def kernel(texts):
         t = merge_table(tokenizer)
-        ids = list(map(t.encode, texts))
+        ids = t.encode_many(texts)
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
@@ -276,7 +410,7 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, text: str = "
 
     def kernel(texts):
         t = merge_table(tokenizer)
-        n = [t.count(x) for x in texts]
+        n = t.count_many(texts)
         return {
             "n_bytes": pa.array([len(x.encode()) if x else 0 for x in texts], pa.int64()),
             "n_tokens": pa.array(n, pa.int64()),

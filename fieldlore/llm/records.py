@@ -16,7 +16,6 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlore.llm.bpe import ODD_SPACE, Recent
+from fieldlore.llm.bpe import merge_table
 from fieldlore.llm.shared import batches, get, make_dir, plain, put
 
 MASK = 0xA282EAD8
@@ -83,57 +82,6 @@ def read_record(path: str, place: int) -> tuple[int | None, np.ndarray]:
     return unpack(next(frames(get(path), place)))
 
 
-class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct word.
-
-    No pre-token or normalisation of the vocabulary crosses white space, so the ids of a text are those of its
-    white-space-delimited words. Texts that may hold special strings or odd white space go to the library whole.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.own = Tokenizer.from_file(path)
-        self.own.no_truncation()
-        self.own.no_padding()
-        self.by_word = self.own.normalizer is not None and self.own.decoder is None
-        self.words = Recent(None)
-
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, "<u4")
-        if not self.by_word or "<|" in text or ODD_SPACE.search(text):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4")
-        split, words = text.split(), self.words
-        if new := [w for w in set(split) if w not in words]:
-            self.learn(new)
-        return np.frombuffer(b"".join(map(words.__getitem__, split)), "<u4")
-
-    def learn(self, new: list[str]) -> None:
-        """Encodes new words in one call; a token belongs to the word in which its characters lie."""
-        words = self.words
-        fresh = [w for w in new if w not in words.old]
-        found = {w: words.old[w] for w in new if w in words.old}
-        if fresh:
-            e = self.own.encode(" ".join(fresh), add_special_tokens=False)
-            ids, at = np.array(e.ids, "<u4"), np.array([a for a, _ in e.offsets], "i8")
-            ends = np.searchsorted(at, np.cumsum([len(w) + 1 for w in fresh])).tolist()
-            start = 0
-            for w, end in zip(fresh, ends, strict=True):
-                found[w] = ids[start:end].tobytes()
-                start = end
-        if len(words) + len(found) > words.limit:
-            words.old = dict(words)
-            words.clear()
-        words.update(found)
-
-
-@lru_cache(maxsize=2)
-def library(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
-
-
 def write_records(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None) -> tuple[str, list[tuple]]:
     """Encodes every whole text, appends end_id and writes shards in ascending order of the key.
 
@@ -148,14 +96,14 @@ def write_records(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = df.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = np.unique(np.array(cuts, "i8"))
-    folder = make_dir(spark, "records")
+    folder, end = make_dir(spark, "records"), struct.pack("<I", end_id)
 
     def encode(parts):
-        lib = library(tokenizer)
+        own = merge_table(tokenizer)
         for b in parts:
             keys, out = b.column(0).to_pylist(), []
-            for k, t in zip(keys, b.column(1).to_pylist(), strict=True):
-                out.append(pack(k, np.append(lib.encode(t), np.array([end_id], "<u4"))))
+            for k, ids in zip(keys, own.encode_many(b.column(1).to_pylist()), strict=True):
+                out.append(pack(k, np.frombuffer(ids + end, "<u4")))
             shard = [-1 if k is None else int(s) for k, s in zip(keys, np.searchsorted(cuts, [k or 0 for k in keys], side="right"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([max(0, s) for s in shard], pa.int32()), pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["shard", "k", "payload"])
 

@@ -31,7 +31,12 @@ def sample():
 @pytest.mark.parametrize("path", [WORD, BYTE])
 def test_matches_library(path):
     lib, own = Tokenizer.from_file(path), merge_table(path)
-    for text in sample():
+    texts = sample()
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
+    assert own.count_many(texts) == list(map(len, want))
+    own.words.clear(), own.words.old.clear(), own.pieces.clear(), own.pieces.old.clear()
+    for text in texts:
         want = lib.encode(text, add_special_tokens=False).ids
         got = own.encode(text)
         assert np.frombuffer(got, "<u4").tolist() == want, repr(text)
