@@ -36,7 +36,7 @@ from fieldlore.llm.shared import batches
 #: Symbols up to which the rank array is scanned.
 SHORT = 192
 #: Entries of each half of a worker's table of words already seen.
-TABLE = 400_000
+TABLE = 700_000
 #: White space to str.split() but not to the vocabulary's patterns.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: The pattern of byte-level pre-tokens, as published with the vocabulary.
@@ -67,6 +67,13 @@ class Recent(dict):
         value = self.old.get(key)
         return self.keep(key, self.make(key) if value is None else value)
 
+    def add(self, entries: dict) -> None:
+        """Many entries at once; they all stay until the table is full again."""
+        if len(self) + len(entries) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(entries)
+
     def keep(self, key, value):
         if len(self) >= self.limit:
             self.old = dict(self)
@@ -237,41 +244,40 @@ class MergeTable:
                 ranks[r, k[r]] = self.pairs.look(ids[r, k[r]], ids[r, k[r] + 1])
         return out
 
-    def learn(self, texts: list[str]) -> None:
-        """Puts what a batch of texts has of new words into the table. A word is looked up in lower case and without one closing mark, which is a pre-token of its own."""
-        words, new = self.words, set()
-        for t in texts:
-            if t and not ODD_SPACE.search(t):
-                new.update(t.split())
-        new = [w for w in new if w not in words]
-        stems, fresh = [], {}
+    def learn(self, new: set[str]) -> None:
+        """Puts new words into the table. A word is encoded in lower case and without one closing mark, which is a pre-token of its own."""
+        words, old, marks = self.words, self.words.old, self.marks
+        learnt, stems, fresh = {}, [], set()
         for w in new:
-            if (ids := words.old.get(w)) is not None:
-                words.keep(w, ids)
+            if w in old:
+                learnt[w] = old[w]
                 continue
-            mark = w[-1] if w[-1] in self.marks and w[-2:-1].isalpha() else ""
-            stem = w[:-1] if mark else w
-            if stem.isascii():
-                stem = stem.lower()
+            stem = w.lower() if w.isascii() else w
+            mark = ""
+            if stem[-1] in marks and stem[-2:-1].isalpha():
+                stem, mark = stem[:-1], stem[-1]
             stems.append((w, stem, mark))
-            if stem not in words and stem not in words.old:
-                fresh[stem] = None
-        cut, pieces = [], []
+            if stem not in words:
+                fresh.add(stem)
+        fresh, cut, pieces = list(fresh), [], []
         for w in fresh:
-            x = self.normal(w)
             # letters only: one pre-token
-            found = [x] if x.isalpha() else self.pattern.findall(x)
-            cut.append((w, len(found)))
-            pieces += found
-        made, k, learnt = self.merge_many(pieces), 0, {}
-        for w, n in cut:
-            learnt[w] = made[k].tobytes() if n == 1 else b"".join(x.tobytes() for x in made[k : k + n])
+            x = self.normal(w)
+            if x.isalpha():
+                cut.append(1)
+                pieces.append(x)
+            else:
+                found = self.pattern.findall(x)
+                cut.append(len(found))
+                pieces += found
+        made, k, ids_of = self.merge_many(pieces), 0, {}
+        for w, n in zip(fresh, cut, strict=True):
+            ids_of[w] = made[k].tobytes() if n == 1 else b"".join(x.tobytes() for x in made[k : k + n])
             k += n
         for w, stem, mark in stems:
-            ids = learnt.get(stem)
-            if ids is None:
-                ids = words[stem]
-            words.keep(w, ids + self.marks[mark] if mark else ids)
+            ids = ids_of[stem] if stem in ids_of else words[stem]
+            learnt[w] = ids + marks[mark] if mark else ids
+        words.add(learnt)
 
     def learn_pieces(self, texts: list[str]) -> list[tuple[Counter, int]]:
         """Pre-token frequencies of each text with its number of special strings; pieces of new pre-tokens are counted once, together."""
@@ -289,9 +295,19 @@ class MergeTable:
         return out
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        if self.by_word:
-            self.learn(texts)
-        return list(map(self.encode, texts))
+        if not self.by_word:
+            return list(map(self.encode, texts))
+        look, split, found, missing = self.words.get, [], [], []
+        for t in texts:
+            usual = t and not self.specials.search(t) and not ODD_SPACE.search(t)
+            split.append(t.split() if usual else None)
+            found.append(list(map(look, split[-1])) if usual else self.encode(t))
+            missing.append([k for k, ids in enumerate(found[-1]) if ids is None] if usual else [])
+        self.learn({words[k] for words, gaps in zip(split, missing, strict=True) for k in gaps})
+        for words, ids, gaps in zip(split, found, missing, strict=True):
+            for k in gaps:
+                ids[k] = self.words[words[k]]
+        return [b"".join(x) if isinstance(x, list) else x for x in found]
 
     def count_many(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text: its pre-token frequencies joined to the pieces of each distinct pre-token, and summed."""
