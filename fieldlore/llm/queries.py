@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,39 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def bucket(n: int):
+    """crc32 of the id as text, modulo n; 0 to n - 1, and null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.language import predict, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket(4) == 2, F.lit(False)))
+    names, model = train(docs.where(~F.col("held_out")))
+    return predict(docs, names, model, keep=["doc_id", "held_out"])
+
+
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.rules import cascade
+
+    return cascade(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.toxicity import score, train
+
+    held = F.coalesce(bucket(5) == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    slot, machine = train(docs, table(spark, sf_dir, "labels").where(~held))
+    return score(docs.withColumn("held_out", held), slot, machine, keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_records": op3_records, "op5_token_counts": op5_token_counts}
+    return {"op1_bpe": op1_bpe, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from fieldlore.llm import rules
+
+    return {"op7_rules": rules.ORACLE_SQL}
