@@ -65,8 +65,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs.withColumn("held_out", held), slot, machine, keep=["doc_id", "held_out"])
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_epoch", "mix_block", "mix_at")
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_minhash": op4_minhash, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

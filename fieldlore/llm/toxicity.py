@@ -189,3 +189,19 @@ def score(df: DataFrame, slot: np.ndarray, machine: Machine, text: str = "text",
     return df.select(*keep, text).mapInArrow(run, fields)
 
 
+
+
+def remove_toxic(df: DataFrame, slot: np.ndarray, machine: Machine, text: str = "text") -> DataFrame:
+    """The rows of df with a score below 0.5, with all their columns."""
+    batches(df.sparkSession)
+    sent, at = df.sparkSession.sparkContext.broadcast((slot, machine)), df.columns.index(text)
+
+    def run(parts):
+        slot, machine = sent.value
+        for b in parts:
+            texts, out = b.column(at).to_pylist(), []
+            for a, z in chunks(texts):
+                out.append(machine.score(z - a, *slots(texts[a:z], slot)) < 0.5)
+            yield b.filter(pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
+
+    return df.mapInArrow(run, df.schema)
