@@ -19,6 +19,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ SLACK = 0.12
 #: Points aimed at beyond the mean number that fills all registers, per register.
 SPARE = 4.0
 CELLS = 1 << 20
+#: Rows of a block that is compared with another one.
+BLOCK = 256
 
 
 def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,17 +177,84 @@ def verify(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs whose registers' agreement doesn't rule out that similarity."""
-    side = reps.select(F.col("id").alias("k"), "sig")
-    joined = pairs.join(side.toDF("b", "sb"), "b").join(side.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
+def near_registers(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of y agree with row x in so many registers that the similarity may be reached."""
+    return np.count_nonzero(y == x, 1) >= (least - SLACK) * y.shape[1]
 
-    def run(parts):
-        for batch in parts:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u1").reshape(batch.num_rows, -1) for i in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array((x == y).mean(1) >= least - SLACK))
 
-    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+def registers_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), "u1").reshape(len(column), -1)
+
+
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two sorted bags of shingle hashes."""
+    if len(b[0]) < len(a[0]):
+        a, b = b, a
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    hit = b[0][at] == a[0]
+    both = np.minimum(a[1][hit], b[1][at[hit]]).sum()
+    return both / (a[1].sum() + b[1].sum() - both)
+
+
+def pairs_of_few(few: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Likely pairs (a, b) of different components among rows (band, id, c) of a band. Large bands are compared in blocks of BLOCK by BLOCK rows, so that no group grows with its band; only likely pairs leave."""
+    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    rows = few.join(sizes, "band").join(reps.select("id", "sig"), "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
+    dealt = rows.select("band", "id", "c", "sig", "i", other).select("band", "id", "c", "sig", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
+
+    def compare(key, g):
+        sig, ids, c, i = registers_of(g.sig), g.id.to_numpy(), g.c.to_numpy(), g.i.to_numpy()
+        out = []
+        for k in range(len(g)):
+            # a pair of one block is seen in that block's own group alone
+            hit = near_registers(sig[k], sig, least) & (c != c[k]) & (ids > ids[k]) & ((i != i[k]) | (key[1] == key[2]))
+            out += [(ids[k], y) for y in ids[hit]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("band", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct()
+
+
+def links_to_many(asked: DataFrame, found: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """One link (a, b), if there is any, of each asked (x, main) with each block of that component's members.
+
+    Members and askers are dealt in blocks, each pair of blocks to a group of its own; a text is sent once for each block
+    it meets. Registers choose whom an asker is compared with exactly, the most agreeing first, up to the first link.
+    """
+    asked = asked.distinct()
+    size = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
+    shape = asked.groupBy(F.col("main").alias("component")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx")).join(size, "component")
+    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = found.join(shape, "component").select("component", F.col("node").alias("id"), "nx", "ny").select("component", "id", F.lit(False).alias("asks"), every("nx").alias("p"), block("ny").alias("q"))
+    askers = asked.select(F.col("main").alias("component"), F.col("x").alias("id")).join(shape, "component").select("component", "id", F.lit(True).alias("asks"), block("nx").alias("p"), every("ny").alias("q"))
+    rows = members.union(askers)
+    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(rows.select("id").distinct(), "id", "left_semi")
+    dealt = rows.join(reps.select("id", "sig"), "id").join(texts, "id")
+
+    def compare(g):
+        asks = g.asks.to_numpy()
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        sig, ids, texts, bags, out = registers_of(g.sig), g.id.to_numpy(), g.t.to_list(), {}, []
+
+        def bag_of(k):
+            if k not in bags:
+                h, c, _ = shingles([texts[k]])
+                bags[k] = (h, c)
+            return bags[k]
+
+        theirs = np.flatnonzero(~asks)
+        for k in np.flatnonzero(asks):
+            near = theirs[near_registers(sig[k], sig[theirs], least)]
+            for y in near[np.argsort(-np.count_nonzero(sig[near] == sig[k], 1), kind="stable")]:
+                if overlap(bag_of(k), bag_of(y)) >= least:
+                    out.append((min(ids[k], ids[y]), max(ids[k], ids[y])))
+                    break
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("component", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -212,13 +282,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     label = F.coalesce("component", "id").alias("c")
     inside = rows.join(buckets.where("n > 2").select("band"), "band").join(found, F.col("id") == F.col("node"), "left").select("band", "id", label)
     groups = inside.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = save(inside.join(groups.select("band", "main"), "band"), "apart")
-    x, y = apart.where("c <> main").select("band", F.col("id").alias("x"), F.col("c").alias("cx")), apart.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), "main")
-    across = x.join(y, "band").where("cx <> cy AND (cy = main OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    maybe = save(likely(across, reps, least), "maybe")
-    more = save(verify(maybe, df, key, text, least), "links")
+    apart = save(inside.join(groups.select("band", "main"), "band").where("c <> main").select("band", "id", "c", "main"), "apart")
+    # a document without a link so far is a component of its own
+    alone = apart.select("main").distinct().join(found.select(F.col("node").alias("main")), "main", "left_anti")
+    whole = found.union(alone.select("main", F.col("main").alias("component")))
+    many = links_to_many(apart.select(F.col("id").alias("x"), "main"), whole, reps, df, key, text, least)
+    few = verify(pairs_of_few(apart.select("band", "id", "c"), reps, least), df, key, text, least)
+    more = save(many.union(few), "links")
     final = found if more.isEmpty() else save(components(links.union(more)), "components")
-    drop(spark, reps, buckets, star, apart, maybe)
+    drop(spark, reps, buckets, star, apart)
     # a class's rows of one id and other classes of that id are linked, too
     out = member.join(final, F.col("class_id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

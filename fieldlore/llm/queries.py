@@ -77,8 +77,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.vectors import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_minhash": op4_minhash, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity}
+    return {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_minhash": op4_minhash, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op10_vectors": op10_vectors}
 
 
 def oracle_sql() -> dict[str, str]:
