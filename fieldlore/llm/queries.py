@@ -77,6 +77,13 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldlore.llm.lm import score, train
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket(10) == 0, F.lit(False)))
+    return score(docs, train(docs.where(~F.col("held_out"))), keep=["doc_id", "held_out"])
+
+
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldlore.llm.vectors import link_vectors
 
@@ -84,7 +91,7 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_minhash": op4_minhash, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op10_vectors": op10_vectors}
+    return {"op1_bpe": op1_bpe, "op2_mixing": op2_mixing, "op4_minhash": op4_minhash, "op3_records": op3_records, "op5_token_counts": op5_token_counts, "op6_language": op6_language, "op7_rules": op7_rules, "op8_toxicity": op8_toxicity, "op9_ngram_trie": op9_ngram_trie, "op10_vectors": op10_vectors}
 
 
 def oracle_sql() -> dict[str, str]:
