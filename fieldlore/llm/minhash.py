@@ -197,20 +197,42 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return both / (a[1].sum() + b[1].sum() - both)
 
 
-def pairs_of_few(few: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) of different components among rows (band, id, c) of a band. Large bands are compared in blocks of BLOCK by BLOCK rows, so that no group grows with its band; only likely pairs leave."""
-    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-    rows = few.join(sizes, "band").join(reps.select("id", "sig"), "id").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+def links_of_few(few: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """Links (a, b) that connect, among rows (band, id, c) of a band, whatever components their links connect.
+
+    Large bands are compared in blocks of BLOCK by BLOCK rows, so that no group grows with its band. A pair is looked at
+    in the first band that it shares and nowhere else; registers choose whom the exact comparison gets; no
+    pair leaves but the links.
+    """
+    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band", "k")
+    rows = few.join(sizes, "band").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
-    dealt = rows.select("band", "id", "c", "sig", "i", other).select("band", "id", "c", "sig", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
+    dealt = rows.select("band", "id", "c", "i", other).select("band", "id", "c", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
+    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(rows.select("id").distinct(), "id", "left_semi")
+    dealt = dealt.join(reps.select("id", "sig", "bands"), "id").join(texts, "id")
 
     def compare(key, g):
-        sig, ids, c, i = registers_of(g.sig), g.id.to_numpy(), g.c.to_numpy(), g.i.to_numpy()
-        out = []
+        sig, ids, c, i = registers_of(g.sig), g.id.to_numpy(), g.c.to_list(), g.i.to_numpy()
+        bands, texts, bags, up, out = np.stack(g.bands.to_list()), g.t.to_list(), {}, {}, []
+        here = int(np.flatnonzero(bands[0] == key[0])[0])
+
+        def root(x):
+            while up.setdefault(x, x) != x:
+                x = up[x]
+            return x
+
+        def bag_of(k):
+            if k not in bags:
+                bags[k] = shingles([texts[k]])[:2]
+            return bags[k]
+
         for k in range(len(g)):
             # a pair of one block is seen in that block's own group alone
-            hit = near_registers(sig[k], sig, least) & (c != c[k]) & (ids > ids[k]) & ((i != i[k]) | (key[1] == key[2]))
-            out += [(ids[k], y) for y in ids[hit]]
+            near = np.flatnonzero(near_registers(sig[k], sig, least) & (ids > ids[k]) & ((i != i[k]) | (key[1] == key[2])))
+            for y in near[~(bands[near, :here] == bands[k, :here]).any(1)]:
+                if root(c[k]) != root(c[y]) and overlap(bag_of(k), bag_of(y)) >= least:
+                    up[root(c[k])] = root(c[y])
+                    out.append((ids[k], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("band", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct()
@@ -286,10 +308,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     # a document without a link so far is a component of its own
     alone = apart.select("main").distinct().join(found.select(F.col("node").alias("main")), "main", "left_anti")
     whole = found.union(alone.select("main", F.col("main").alias("component")))
-    many = links_to_many(apart.select(F.col("id").alias("x"), "main"), whole, reps, df, key, text, least)
-    few = verify(pairs_of_few(apart.select("band", "id", "c"), reps, least), df, key, text, least)
-    more = save(many.union(few), "links")
-    final = found if more.isEmpty() else save(components(links.union(more)), "components")
+    many = save(links_to_many(apart.select(F.col("id").alias("x"), "main"), whole, reps, df, key, text, least), "links")
+    if not many.isEmpty():
+        found = save(components(links.union(many)), "components")
+    now = apart.select("band", "id").join(found, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    few = save(links_of_few(now, reps, df, key, text, least), "links")
+    final = found if few.isEmpty() else save(components(links.union(many).union(few)), "components")
     drop(spark, reps, buckets, star, apart)
     # a class's rows of one id and other classes of that id are linked, too
     out = member.join(final, F.col("class_id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("component", "class_id").alias("component_id"))

@@ -84,10 +84,15 @@ def test_near_duplicates(spark):
     assert all(r.kept == (i == r.component_id) for i, r in got.items()) and len(got) == len(rows)
 
 
-def test_near_duplicates_odd_rows(spark):
+@pytest.mark.parametrize("block", [4, 256])
+def test_near_duplicates_odd_rows(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     base = [f"word{i}" for i in range(120)]
     near = [base[:k] + ["changed"] + base[k + 1 :] for k in range(3, 118, 3)]
-    rows = [(i, " ".join(w)) for i, w in enumerate([base, *near])]
+    # copies that are near the base's own copies or near none: several edits at random places
+    rng = np.random.default_rng(12)
+    near += [[w if rng.random() > 0.035 else f"e{rng.integers(9)}" for w in base] for _ in range(60)]
+    rows = [(1000 + i, " ".join(w)) for i, w in enumerate([base, *near])]
     rows += [(100, None), (101, ""), (102, " \n"), (103, "one"), (104, "one"), (105, "one two"), (106, "a b c d"), (107, "a  b\tc d"), (106, "a b c d"), (None, "one"), (None, None), (300, "x " * 4000), (301, "x " * 3999)]
     df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id bigint, text string, class_id string")
     got = minhash.near_duplicates(df).collect()
