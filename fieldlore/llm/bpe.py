@@ -122,7 +122,7 @@ class PairTable:
 class MergeTable:
     """Vocabulary, merge ranks and text rules of one file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, table: int = TABLE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -151,8 +151,8 @@ class MergeTable:
         self.bytes_of = {c: b for b, c in enumerate(symbols)}
         self.pairs = PairTable(self.rank)
         self.new_id = np.array(self.made, "i4")
-        self.words = Recent(self.word)
-        self.pieces = Recent(lambda p: len(self.parts(p)))
+        self.words = Recent(self.word, table)
+        self.pieces = Recent(lambda p: len(self.parts(p)), table)
         self.marks = {m: self.word(m) for m in ".,"} if self.by_word else {}
 
     def normal(self, text: str) -> str:
@@ -355,9 +355,9 @@ class MergeTable:
 
 
 @lru_cache(maxsize=4)
-def merge_table(path: str) -> MergeTable:
+def merge_table(path: str, table: int = TABLE) -> MergeTable:
     """One table in each worker."""
-    return MergeTable(path)
+    return MergeTable(path, table)
 
 
 def _mapped(df: DataFrame, keep: list[str], text: str, fields: str, kernel) -> DataFrame:
@@ -395,15 +395,15 @@ def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str]
     return _mapped(df, keep, ids, "decoded string", kernel)
 
 
-def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encodes and decodes every whole text in one pass, and returns n_tokens, ids_sha256 and decoded_sha256.
+def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, table: int = TABLE) -> DataFrame:
+    """Encodes and decodes every whole text in one pass, and returns n_tokens, ids_sha256 and decoded_sha256. A worker's table of words has table entries in each half.
 
     Null and empty texts have 0 tokens and the digest of the empty string; repeated rows each get a row.
     """
     keep = ["doc_id"] if keep is None else keep
 
     def kernel(texts):
-        t = merge_table(tokenizer)
+        t = merge_table(tokenizer, table)
         ids = t.encode_many(texts)
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
