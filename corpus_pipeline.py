@@ -37,7 +37,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document and what they decode to, as digests."""
-    return bpe_round_trip(docs, vocabulary("word_bpe_49k.json"))
+    # a smaller table of words: the executors also hold what the stages before left in their heaps
+    return bpe_round_trip(docs, vocabulary("word_bpe_49k.json"), table=150_000)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
