@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 
 def _span(n: Column) -> Column:
-    """1 to n, empty for n < 1."""
-    return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    """1 to n, empty for n < 1, null for null."""
+    return F.when(n >= 1, F.sequence(F.lit(1), n)).when(n < 1, F.array().cast("array<int>"))
 
 
 def values(data: Column) -> Column:

@@ -143,7 +143,7 @@ def islands(segments: DataFrame, same) -> DataFrame:
 
     w = Window.partitionBy("msg_id").orderBy("seg_no")
     marked = segments.withColumn("_prev", F.lag("bytes").over(w))
-    marked = marked.withColumn("_new", F.coalesce(~same(F.col("_prev"), F.col("bytes")), F.lit(True)).cast("int"))
+    marked = marked.withColumn("_new", F.when(F.col("_prev").isNull(), F.lit(True)).otherwise(~same(F.col("_prev"), F.col("bytes"))).cast("int"))
     marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy("msg_id", "_run").agg(F.min("offset").alias("offset"), F.sum("length").cast("int").alias("length"), F.array_sort(F.collect_list(F.struct("seg_no", F.hex("bytes").alias("h")))).alias("p"))
     return runs.select("msg_id", (F.col("_run") - 1).cast("int").alias("seg_no"), "offset", "length", F.unhex(F.array_join("p.h", "")).alias("bytes"))
