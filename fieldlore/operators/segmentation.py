@@ -116,7 +116,7 @@ def _pieces(data: bytes, bounds: list[int]) -> list[bytes]:
     return [data[a:z] for a, z in zip(bounds, bounds[1:], strict=False) if z > a]
 
 
-def nemesys(df: DataFrame, sigma: float = 0.6, little_endian: bool = False, refined: bool = False) -> DataFrame:
+def congruence(df: DataFrame, sigma: float = 0.6, little_endian: bool = False, refined: bool = False) -> DataFrame:
     """Bit-congruence segmentation of (msg_id, data); messages of three bytes or fewer are one segment, empty ones have none. refined merges and pulls text afterwards."""
 
     def cut(data: bytes) -> list[bytes]:

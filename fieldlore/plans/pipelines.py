@@ -8,9 +8,9 @@ from fieldlore.operators import pairwise, segmentation
 
 #: name: function of (messages, sigma)
 SEGMENTERS = {
-    "nemesys": lambda d, sigma: segmentation.nemesys(d, sigma),
-    "nemesysle": lambda d, sigma: segmentation.nemesys(d, sigma, little_endian=True),
-    "original": lambda d, sigma: segmentation.nemesys(d, sigma, refined=True),
+    "congruence": lambda d, sigma: segmentation.congruence(d, sigma),
+    "congruence_le": lambda d, sigma: segmentation.congruence(d, sigma, little_endian=True),
+    "original": lambda d, sigma: segmentation.congruence(d, sigma, refined=True),
     "4bytesfixed": lambda d, sigma: segmentation.fixed(d, 4),
 }
 

@@ -173,16 +173,16 @@ def ref02_merge_text(spark, sf_dir):
     return G.islands(G.fixed(d, 4), both).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
 
 
-def seg01_nemesys(spark, sf_dir):
-    return G.nemesys(turns(spark, sf_dir)).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
+def seg01_congruence(spark, sf_dir):
+    return G.congruence(turns(spark, sf_dir)).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
 
 
-def seg02_nemesys_le(spark, sf_dir):
-    return G.nemesys(turns(spark, sf_dir), little_endian=True).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
+def seg02_congruence_le(spark, sf_dir):
+    return G.congruence(turns(spark, sf_dir), little_endian=True).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
 
 
 def pip01_original(spark, sf_dir):
-    return G.nemesys(turns(spark, sf_dir), refined=True).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
+    return G.congruence(turns(spark, sf_dir), refined=True).select("msg_id", "seg_no", "offset", "length", F.hex("bytes").alias("h"))
 
 
 def _reps(spark, sf_dir):
@@ -313,8 +313,8 @@ SELECT source, lang, size::BIGINT AS size, round(n / size, 6) AS precision, roun
     "val14_pair_counts": (val14_pair_counts, """WITH d AS (SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
 a AS (SELECT sum(n * (n - 1) / 2) AS found FROM (SELECT count(*) AS n FROM d GROUP BY source)), b AS (SELECT sum(n * (n - 1) / 2) AS tp FROM (SELECT count(*) AS n FROM d GROUP BY source, lang)),
 c AS (SELECT sum(n * (n - 1) / 2) AS wanted FROM (SELECT count(*) AS n FROM d GROUP BY lang)) SELECT tp, found, wanted, round(tp / found, 6) AS precision, round(tp / wanted, 6) AS recall FROM a, b, c"""),
-    "seg01_nemesys": (seg01_nemesys, None),
-    "seg02_nemesys_le": (seg02_nemesys_le, None),
+    "seg01_congruence": (seg01_congruence, None),
+    "seg02_congruence_le": (seg02_congruence_le, None),
     "pip01_original": (pip01_original, None),
     "clu02_dbscan": (clu02_dbscan, None),
 }

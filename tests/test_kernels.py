@@ -25,16 +25,16 @@ def test_segments_are_gap_free():
 
 def test_default_segmentation_of_short_messages(spark):
     df = spark.createDataFrame([(i, bytearray.fromhex(h)) for i, h in enumerate(SHORT)], "msg_id bigint, data binary")
-    rows = G.nemesys(df, refined=True).orderBy("msg_id", "seg_no").collect()
+    rows = G.congruence(df, refined=True).orderBy("msg_id", "seg_no").collect()
     got = [[r.bytes.hex() for r in rows if r.msg_id == i] for i in range(10)]
     assert got == [[h] if i in (0, 4) else [h[:4], h[4:]] for i, h in enumerate(SHORT)]
 
 
 def test_odd_messages(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray()), (3, bytearray(b"a")), (3, bytearray(b"a"))], "msg_id bigint, data binary")
-    for out in (G.nemesys(df), G.nemesys(df, little_endian=True), G.fixed(df)):
+    for out in (G.congruence(df), G.congruence(df, little_endian=True), G.fixed(df)):
         assert [(r.msg_id, bytes(r.bytes)) for r in out.collect()] == [(3, b"a"), (3, b"a")]
-    assert G.nemesys(df.limit(0)).collect() == []
+    assert G.congruence(df.limit(0)).collect() == []
 
 
 def test_distances(spark):
