@@ -7,11 +7,22 @@ series doesn't define are left out rather than padded, so that a series of n byt
 from __future__ import annotations
 
 import math
+from functools import wraps
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(f):
+    """Evaluates f's first argument once a row: inside a lambda it would be evaluated again for each element."""
+
+    @wraps(f)
+    def held(x: Column, *args, **kwargs) -> Column:
+        return F.element_at(F.transform(F.array(x), lambda y: f(y, *args, **kwargs)), 1)
+
+    return held
+
+
 def _span(n: Column) -> Column:
     """1 to n, empty for n < 1, null for null."""
     return F.when(n >= 1, F.sequence(F.lit(1), n)).when(n < 1, F.array().cast("array<int>"))
@@ -27,6 +38,7 @@ def nibbles(v: Column) -> Column:
     return F.flatten(F.transform(v, lambda x: F.array(F.shiftright(x, 4), x.bitwiseAND(F.lit(15)))))
 
 
+@bound
 def pairs(x: Column, f) -> Column:
     """f(x[i], x[i + 1]) for all neighbours."""
     return F.transform(_span(F.size(x) - 1), lambda i: f(F.element_at(x, i), F.element_at(x, i + 1)))
@@ -48,6 +60,7 @@ def cumulated(v: Column) -> Column:
     return F.aggregate(v, F.array(F.lit(0).cast("bigint")), lambda a, x: step(a, x.cast("bigint")))
 
 
+@bound
 def gradient(x: Column) -> Column:
     """Central differences, one-sided at both ends."""
     n = F.size(x)
@@ -56,6 +69,7 @@ def gradient(x: Column) -> Column:
     return F.when(n > 1, F.transform(_span(n), inner)).otherwise(F.array().cast("array<double>"))
 
 
+@bound
 def windows(x: Column, n: int) -> Column:
     """All runs of n neighbours."""
     return F.transform(_span(F.size(x) - n + 1), lambda i: F.slice(x, i, n))
@@ -71,6 +85,7 @@ def window_stddev(x: Column, n: int) -> Column:
     return F.transform(windows(x, n), lambda w: F.sqrt(F.aggregate(w, F.lit(0.0), lambda a, y: a + (y - mean(w)) * (y - mean(w))) / n))
 
 
+@bound
 def gaussian(x: Column, sigma: float) -> Column:
     """Gaussian filter with mirrored ends (d c b a | a b c d | d c b a) and a radius of four sigma."""
     r = int(4 * sigma + 0.5)
@@ -91,6 +106,7 @@ def gaussian(x: Column, sigma: float) -> Column:
     return F.when(n > 0, F.transform(_span(n), one)).otherwise(F.array().cast("array<double>"))
 
 
+@bound
 def extrema(x: Column, maxima: bool = True) -> Column:
     """Zero-based places of strict local maxima (or minima); an end counts if beyond its only neighbour."""
     n = F.size(x)
@@ -101,12 +117,14 @@ def extrema(x: Column, maxima: bool = True) -> Column:
     return F.when(n > 1, F.transform(F.filter(_span(n), lambda i: left(i) & right(i)), lambda i: i - 1)).otherwise(F.array().cast("array<int>"))
 
 
+@bound
 def zero_borders(v: Column) -> Column:
     """Zero-based places at which a run of zeros begins or ends."""
     at = lambda i: F.element_at(v, i)
     return F.transform(F.filter(_span(F.size(v)), lambda i: (i > 1) & ((at(i) == 0) != (at(F.greatest(i - 1, F.lit(1))) == 0))), lambda i: i - 1)
 
 
+@bound
 def plateaus(v: Column) -> Column:
     """Zero-based places whose value differs from the one before and equals the one after."""
     n = F.size(v)
@@ -114,6 +132,7 @@ def plateaus(v: Column) -> Column:
     return F.transform(F.filter(_span(n - 1), lambda i: (i > 1) & (at(F.greatest(i - 1, F.lit(1))) != at(i)) & (at(i) == at(i + 1))), lambda i: i - 1)
 
 
+@bound
 def entropy(v: Column, base: float = 2.0) -> Column:
     """Shannon entropy of the values of an array."""
     n = F.size(v)
@@ -130,6 +149,7 @@ def printable(v: Column) -> Column:
     return F.forall(v, lambda x: x.between(0x20, 0x7E))
 
 
+@bound
 def text_like(v: Column, low: float = 50, high: float = 115, least: int = 6) -> Column:
     """Long enough, not all zero, below 0x7f, the mean of non-zero bytes in a corridor, and under a third unprintable."""
     some = F.filter(v, lambda x: x != 0)
