@@ -176,3 +176,125 @@ def dissimilarity(a: Column, b: Column, relief: float = 0.33) -> Column:
     i, o = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     e, r, p = F.array_min(shifts(a, b)), (o - i) / o, i / (o * o)
     return (1 - r) * e + r + r * p * (1 - e) - relief * r * (1 - e)
+
+
+@bound
+def lagged(x: Column, k: int) -> Column:
+    """Difference of values k places apart."""
+    return F.transform(_span(F.size(x) - k), lambda i: F.element_at(x, i + k) - F.element_at(x, i))
+
+
+def gram_congruence(v: Column, n: int) -> Column:
+    """Share of equal bits between each run of n bytes and the run that starts one byte later."""
+    apart = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, c: s + c)
+    return pairs(windows(v, n), lambda a, b: 1 - apart(a, b) / (8.0 * n))
+
+
+def inner_gradient(x: Column) -> Column:
+    """Gradient without its first place, which an undefined start leaves undefined."""
+    return F.slice(gradient(x), 2, F.greatest(F.size(x) - 1, F.lit(0)))
+
+
+@bound
+def horizon(bc: Column, skip: int = 2) -> Column:
+    """Each value after the first skip ones less the mean of the two before it."""
+    at = lambda i: F.element_at(bc, i)
+    skip = max(skip, 2)
+    return F.transform(_span(F.size(bc) - skip), lambda i: at(i + skip) - (at(i + skip - 1) + at(i + skip - 2)) / 2)
+
+
+@bound
+def autocorrelation(x: Column) -> Column:
+    """Sums of products of the series with itself at every shift from one less than its length backwards to that forwards."""
+    n = F.size(x)
+    part = lambda k: F.zip_with(F.slice(x, k + 1, n - k), F.slice(x, 1, n - k), lambda a, b: a * b)
+    one = lambda k: F.aggregate(part(k), F.lit(0.0), lambda s, y: s + y)
+    return F.transform(_span(2 * n - 1), lambda i: one(F.abs(i - n)))
+
+
+def mirrored(v: Column, f) -> Column:
+    """The series f of the bytes read backwards, put back in the order of the message."""
+    return F.reverse(f(F.reverse(v)))
+
+
+def gram_entropy(v: Column, n: int) -> Column:
+    """Entropy of each run of n bytes."""
+    return F.transform(windows(v, n), lambda w: _entropy(w))
+
+
+def _entropy(v: Column) -> Column:
+    n = F.size(v)
+    share = lambda x: F.size(F.filter(v, lambda y: y == x)) / n
+    return F.aggregate(F.array_distinct(v), F.lit(0.0), lambda a, x: a - share(x) * F.log2(share(x)))
+
+
+def bits(v: Column) -> Column:
+    """The bits of bytes, the highest first."""
+    return F.flatten(F.transform(v, lambda x: F.transform(F.sequence(F.lit(7), F.lit(0)), lambda k: F.getbit(x, k).cast("int"))))
+
+
+@bound
+def bit_gram_entropy(v: Column, n: int = 3) -> Column:
+    """Entropy of overlapping runs of n bits, over n; null for no bytes."""
+    whole = lambda w: F.aggregate(w, F.lit(0), lambda a, b: a * 2 + b)
+    return F.when(F.size(v) > 0, entropy(F.transform(windows(bits(v), n), whole)) / n)
+
+
+def xor_entropy(a: Column, b: Column, n: int = 3) -> Column:
+    """Bit-run entropy of two series combined by exclusive or, as far as the shorter reaches."""
+    size = F.least(F.size(a), F.size(b))
+    return bit_gram_entropy(F.zip_with(F.slice(a, 1, size), F.slice(b, 1, size), lambda x, y: x.bitwiseXOR(y)), n)
+
+
+def similarity_at(feature: Column, hay: Column, measure: str = "sad") -> Column:
+    """A feature held against every place of a longer series: "sad" sums absolute differences, "cosine" gives a distance, "pearson" a correlation.
+
+    Where a measure isn't defined (no variance, a zero vector) it is null; a feature longer than the series has no place.
+    """
+    n = F.size(feature)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    dot = lambda a, b: total(F.zip_with(a, b, lambda x, y: x.cast("double") * y))
+
+    def one(w: Column) -> Column:
+        if measure == "sad":
+            return total(F.zip_with(feature, w, lambda x, y: F.abs(x - y).cast("double")))
+        aa, bb, ab = dot(feature, feature), dot(w, w), dot(feature, w)
+        if measure == "cosine":
+            return F.when((aa > 0) & (bb > 0), 1 - ab / F.sqrt(aa * bb))
+        sa, sb = total(feature), total(w)
+        va, vb = n * aa - sa * sa, n * bb - sb * sb
+        return F.when((va > 0) & (vb > 0), (n * ab - sa * sb) / F.sqrt(va * vb))
+
+    return F.transform(_span(F.size(hay) - n + 1), lambda i: one(F.slice(hay, i, n)))
+
+
+def best_place(at: Column, measure: str = "sad") -> Column:
+    """Zero-based place of the best match: the greatest correlation, or the least distance; the first on ties."""
+    best = F.array_max(at) if measure == "pearson" else F.array_min(at)
+    return (F.array_position(at, best) - 1).cast("int")
+
+
+def normalisation(method: str, dims: Column, span: float = 255.0) -> Column:
+    """One over the greatest distance that a method can give for series of dims values over a domain span wide."""
+    most = {"cosine": F.lit(1.0), "correlation": F.lit(2.0), "canberra": dims.cast("double"), "euclidean": dims * span, "sqeuclidean": dims * span * span}
+    return 1 / most[method]
+
+
+def sigmoid(x: Column, shift: float = 0.5) -> Column:
+    """Soft threshold of a dissimilarity."""
+    return 1 / (1 + F.exp(-(math.pi**2) * (x - shift)))
+
+
+def flag_pairs(v: Column) -> Column:
+    """Zero-based places of two bytes, not both zero, with at most two bits set in each."""
+    few = lambda x: F.bit_count(x) <= 2
+    at = lambda i: F.element_at(v, i)
+    return F.transform(F.filter(_span(F.size(v) - 1), lambda i: few(at(i)) & few(at(i + 1)) & (at(i) + at(i + 1) > 0)), lambda i: i - 1)
+
+
+def drops(v: Column, share: float = 0.3) -> Column:
+    """Zero-based places of a value in the top share of the series' range before one in the bottom share."""
+    low, high = F.array_min(v), F.array_max(v)
+    at = lambda i: F.element_at(v, i)
+    hit = lambda i: (at(i) > high - (high - low) * share) & (at(i + 1) < low + (high - low) * share)
+    return F.transform(F.filter(_span(F.size(v) - 1), hit), lambda i: i - 1)

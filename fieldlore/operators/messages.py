@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fieldlore.functions import series as S
 
@@ -57,3 +58,54 @@ def common_values(segments: DataFrame, messages: int, share: float = 0.1) -> Dat
 def with_series(df: DataFrame, series: Column, name: str = "value") -> DataFrame:
     """One row for each place of a series."""
     return df.select("msg_id", F.posexplode(series).alias("pos", name))
+
+
+def relevant(segments: DataFrame) -> DataFrame:
+    """Segments of two bytes or more that aren't all zero."""
+    return segments.where((F.col("length") > 1) & F.exists(S.values(F.col("bytes")), lambda x: x != 0))
+
+
+def value_distances(df: DataFrame) -> DataFrame:
+    """(msg_id, byte, least, most, mean) of the gaps between equal bytes of a message; null for a byte that occurs once."""
+    w = Window.partitionBy("msg_id", "byte").orderBy("pos")
+    gaps = with_series(df, S.values(F.col("data")), "byte").withColumn("gap", F.col("pos") - F.lag("pos").over(w))
+    return gaps.groupBy("msg_id", "byte").agg(F.min("gap").alias("least"), F.max("gap").alias("most"), F.avg("gap").alias("mean"))
+
+
+def ecdf(df: DataFrame) -> DataFrame:
+    """(x, y): the share of values (x) up to each distinct one. Values are counted first, so that only distinct ones are put in order."""
+    n = df.where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("n"))
+    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return n.select("x", (F.sum("n").over(upto) / F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("y"))
+
+
+def counts_before_after(before: DataFrame, kept: DataFrame, kind: str) -> DataFrame:
+    """Messages of each kind before a filter, and those (msg_id) that it kept."""
+    k = kept.select("msg_id", F.lit(1).alias("_kept"))
+    return before.join(k, "msg_id", "left").groupBy(kind).agg(F.count("*").alias("before"), F.count("_kept").alias("after"))
+
+
+def parts(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """Consecutive parts of given sizes, by seq: (…, part). Only the first sum(sizes) rows are put in order in one task."""
+    first = df.orderBy("seq").limit(sum(sizes))
+    rank = F.row_number().over(Window.orderBy("seq"))
+    ends = [sum(sizes[: k + 1]) for k in range(len(sizes))]
+    out = F.lit(len(sizes) - 1)
+    for k in reversed(range(len(sizes) - 1)):
+        out = F.when(F.col("_r") <= ends[k], k).otherwise(out)
+    return first.withColumn("_r", rank).withColumn("part", out).drop("_r")
+
+
+def mean_cosine(segments: DataFrame, keep: int | None = None) -> DataFrame:
+    """(msg_id, mean): mean over all messages of the cosine similarity of two messages' values, weighted by how often each occurs in all.
+
+    The sum over all messages of a value's normed weights is formed once a value, so that no pairs of messages are made.
+    """
+    n = segments.groupBy("bytes").agg(F.count("*").alias("n"))
+    x = segments.select("msg_id", "bytes").distinct().join(n, "bytes")
+    norm = x.groupBy("msg_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("w"))
+    x = x.join(norm, "msg_id").select("msg_id", "bytes", (F.col("n") / F.col("w")).alias("u"))
+    total = x.groupBy("bytes").agg(F.sum("u").alias("s"))
+    messages = norm.count()
+    out = x.join(total, "bytes").groupBy("msg_id").agg(F.round(F.sum(F.col("u") * F.col("s")) / messages, 9).alias("mean"))
+    return out.orderBy(F.desc("mean"), "msg_id").limit(keep) if keep else out

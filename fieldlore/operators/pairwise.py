@@ -18,8 +18,14 @@ def representatives(df: DataFrame, column: str = "bytes") -> DataFrame:
     return df.groupBy(F.col(column).alias("bytes")).agg(F.min("msg_id").alias("rep_id"), F.count("*").alias("n")).select("rep_id", "bytes", "n")
 
 
-def distances(reps: DataFrame, blocks: int = 4, relief: float = 0.33) -> DataFrame:
-    """(i, j, d, shift) for i < j over distinct values."""
+#: Values of a block at most, on average: a task compares two blocks.
+BLOCK = 1000
+
+
+def distances(reps: DataFrame, blocks: int | None = None, relief: float = 0.33) -> DataFrame:
+    """(i, j, d, shift) for i < j over distinct values. The number of blocks grows with that of the values."""
+    if blocks is None:
+        blocks = max(4, -(-reps.count() // BLOCK))
     x = reps.where(F.octet_length("bytes") > 0).select("rep_id", S.values(F.col("bytes")).alias("v"), F.pmod(F.xxhash64("rep_id"), F.lit(blocks)).cast("int").alias("b"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
     key = lambda d: d.withColumn("p", F.least("b", "o")).withColumn("q", F.greatest("b", "o"))
@@ -48,14 +54,14 @@ def medoids(d: DataFrame, labels: DataFrame) -> DataFrame:
     return sums.groupBy(F.col("li").alias("label")).agg(F.min_by("i", F.struct("s", "i")).alias("medoid"))
 
 
-def dbscan(d: DataFrame, ids: DataFrame, eps: float, least: int, rounds: int = 100) -> DataFrame:
+def dbscan(d: DataFrame, ids: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, label): label is the smallest core id of the cluster, -1 for noise. An element counts among its own neighbours; a border element joins the smallest label near it."""
     near = symmetric(d).where(F.col("d") <= eps).select("i", "j").persist()
     degree = near.groupBy("i").agg(F.count("*").alias("n"))
     core = ids.select("id").join(degree, F.col("id") == F.col("i"), "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select(F.col("id").alias("c")).persist()
     links = near.join(core, F.col("i") == F.col("c")).drop("c").join(core, F.col("j") == F.col("c")).select("i", "j").persist()
     labels = core.select("c", F.col("c").alias("label"))
-    for _ in range(rounds):
+    while True:
         low = links.join(labels, F.col("j") == F.col("c")).groupBy("i").agg(F.min("label").alias("m"))
         new = labels.join(low, F.col("c") == F.col("i"), "left").select("c", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")).checkpoint()
         labels = new.select("c", "label")
@@ -64,3 +70,37 @@ def dbscan(d: DataFrame, ids: DataFrame, eps: float, least: int, rounds: int = 1
     border = near.join(labels, F.col("j") == F.col("c")).groupBy("i").agg(F.min("label").alias("b"))
     out = ids.select("id").join(labels, F.col("id") == F.col("c"), "left").join(border, F.col("id") == F.col("i"), "left")
     return out.select("id", F.coalesce("label", "b", F.lit(-1)).alias("label"))
+
+
+def by_length(reps: DataFrame) -> DataFrame:
+    """(length, n, least_id): how many distinct values there are of each length."""
+    return reps.groupBy(F.octet_length("bytes").alias("length")).agg(F.count("*").alias("n"), F.min("rep_id").alias("least_id"))
+
+
+def matrix(d: DataFrame, ids: DataFrame) -> DataFrame:
+    """The full matrix in long form over ids (id): both halves and a diagonal of 0."""
+    return symmetric(d).union(ids.selectExpr("id", "id", "0D"))
+
+
+def text_gain(d: DataFrame, text: DataFrame) -> DataFrame:
+    """Halves the distance of two values that are both text-like; text holds the ids (id) of those."""
+    a, b = text.select(F.col("id").alias("i"), F.lit(True).alias("_a")), text.select(F.col("id").alias("j"), F.lit(True).alias("_b"))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return d.join(a, "i", "left").join(b, "j", "left").withColumn("d", F.when(both, F.col("d") * 0.5).otherwise(F.col("d"))).drop("_a", "_b")
+
+
+def submatrix(d: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Cells (i, j, d) of the ids (id) on the left against those on the right."""
+    return symmetric(d).join(left.select(F.col("id").alias("i")), "i", "left_semi").join(right.select(F.col("id").alias("j")), "j", "left_semi").select("i", "j", "d")
+
+
+def to_members(d: DataFrame, labels: DataFrame, centres: DataFrame) -> DataFrame:
+    """(label, medoid, id, d): distances of each cluster's centre (label, medoid) to the members (id, label)."""
+    s = symmetric(d).withColumnRenamed("i", "medoid").withColumnRenamed("j", "id")
+    return centres.join(labels, "label").where("medoid <> id").join(s, ["medoid", "id"]).select("label", "medoid", "id", "d")
+
+
+def mean_dissimilarity(d: DataFrame, ids: DataFrame, keep: int | None = None) -> DataFrame:
+    """(id, mean): mean of a value's row of the matrix, its own zero included; the keep greatest, ties by id."""
+    out = matrix(d, ids).groupBy(F.col("i").alias("id")).agg(F.round(F.avg("d"), 9).alias("mean"))
+    return out.orderBy(F.desc("mean"), "id").limit(keep) if keep else out

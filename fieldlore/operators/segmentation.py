@@ -147,3 +147,306 @@ def islands(segments: DataFrame, same) -> DataFrame:
     marked = marked.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = marked.groupBy("msg_id", "_run").agg(F.min("offset").alias("offset"), F.sum("length").cast("int").alias("length"), F.array_sort(F.collect_list(F.struct("seg_no", F.hex("bytes").alias("h")))).alias("p"))
     return runs.select("msg_id", (F.col("_run") - 1).cast("int").alias("seg_no"), "offset", "length", F.unhex(F.array_join("p.h", "")).alias("bytes"))
+
+
+def _lows(g: np.ndarray) -> list[int]:
+    """Strict local minima; an end needs only its inner neighbour."""
+    n = len(g)
+    return [i for i in range(n) if n > 1 and (i == 0 or g[i] < g[i - 1]) and (i == n - 1 or g[i] < g[i + 1])]
+
+
+def dips(data: bytes, sigma: float = 1.5, horizon: bool = False) -> list[int]:
+    """Bounds at the least raw value around each minimum of the smoothed series, which is bit congruence or what it rises over its horizon of two bytes.
+
+    The places around a minimum reach half-way to the minima beside it, the first byte and the end, and the series starts one byte in.
+    """
+    n = len(data)
+    b = np.frombuffer(data, np.uint8)
+    raw = 1 - np.bitwise_count(b[:-1] ^ b[1:]) / 8
+    if horizon:
+        raw = raw[2:] - (raw[1:-1] + raw[:-2]) / 2
+    if len(raw) < 2:
+        return [0, n] if n else [0]
+    stops = np.array([0, *(i + 1 for i in _lows(smooth(raw, sigma))), n])
+    centres = (np.round(np.diff(stops) / 2) + stops[:-1]).astype(int)
+    raw = np.append(0.0, raw)
+    return apart([a + int(np.argmin(raw[a:z])) for a, z in zip(centres, centres[1:], strict=False) if len(raw[a:z])], n)
+
+
+def leaps(data: bytes, steepness: int = 200) -> list[int]:
+    """Bounds where the change of neighbouring bytes turns by more than steepness, or to or from no change; the cut is at the greater change."""
+    n = len(data)
+    d = np.diff(np.frombuffer(data, np.uint8).astype(int))
+    if len(d) < 2:
+        return [0, n] if n else [0]
+    left, right = d[:-1], d[1:]
+    turn = (abs(right - left) > steepness) | ((left == 0) != (right == 0))
+    at = np.arange(len(left)) + np.where(abs(left) > abs(right), 0, 1) + 1
+    return sorted({0, n, *at[turn].tolist()})
+
+
+def plunges(data: bytes, share: float = 0.3) -> list[int]:
+    """Bounds before a byte in the top share of the message's range that a byte in the bottom share follows."""
+    v = np.frombuffer(data, np.uint8).astype(float)
+    if not len(v):
+        return [0]
+    margin = (v.max() - v.min()) * share
+    return sorted({0, len(v), *np.flatnonzero((v[:-1] > v.max() - margin) & (v[1:] < v.min() + margin)).tolist()})
+
+
+def text_like(b: bytes, low: float = 50, high: float = 115, least: int = 6) -> bool:
+    """The test of ``functions.series.text_like`` for one value."""
+    some = [x for x in b if x]
+    if len(b) < least or not some:
+        return False
+    odd = sum(not 0x20 <= x <= 0x7E for x in some)
+    return max(b) < 0x7F and low <= sum(some) / len(some) <= high and odd / len(b) < 0.33
+
+
+def _ends(segments: list[bytes]) -> list[int]:
+    return np.cumsum([len(s) for s in segments]).tolist()
+
+
+def zero_slices(segments: list[bytes], little_endian: bool = False) -> list[bytes]:
+    """Cuts at the edges of runs of zeros, which outrank inferred bounds one byte away.
+
+    A run of one or two zeros belongs to text before it (or to whatever is before it, for little endian), otherwise to what follows.
+    """
+    data = b"".join(segments)
+    n = len(data)
+    if not n:
+        return []
+    edges = [0, *(i for i in range(1, n) if (data[i] == 0) != (data[i - 1] == 0)), n]
+    kept = set(edges)
+    for a, z in zip(edges, edges[1:], strict=False):
+        if data[a] == 0 and z - a <= 2:
+            if little_endian or text_like(data[max(0, a - 6) : a]):
+                kept.discard(a)
+            elif z < n:
+                kept.discard(z)
+    own = {e for e in _ends(segments) if e - 1 not in kept and e + 1 not in kept}
+    return _pieces(data, sorted(own | kept | {0, n}))
+
+
+def gather_text(segments: list[bytes], least: int = 6) -> list[bytes]:
+    """Joins neighbours that together, from least bytes on, stay text-like and free of double zeros; else the first goes as it is."""
+    out, i = [], 0
+    while i < len(segments):
+        run, found, j = b"", b"", i
+        while j < len(segments):
+            run += segments[j]
+            if len(run) >= least:
+                if not text_like(run) or b"\0\0" in run:
+                    break
+                found = run
+            j += 1
+        # without a text the first segment stands alone and the search goes on behind it
+        out.append(found or segments[i])
+        i = j if found else i + 1
+    return out
+
+
+def text_spans(data: bytes, least: int = 6) -> list[tuple[int, int]]:
+    """Longest text-like stretches without zeros, from the left, of least bytes or more."""
+    out, a = [], 0
+    while a + least <= len(data):
+        z = a + least
+        if 0 in data[a:z] or not text_like(data[a:z]):
+            a += 1
+            continue
+        while z < len(data) and data[z] and text_like(data[a : z + 1]):
+            z += 1
+        out.append((a, z))
+        a = z
+    return out
+
+
+def crop_text(segments: list[bytes]) -> list[bytes]:
+    """Text stretches become segments of their own; other bounds inside them go."""
+    data = b"".join(segments)
+    spans = text_spans(data)
+    bounds = {0, len(data), *(b for b in _ends(segments) if not any(a < b < z for a, z in spans)), *(x for s in spans for x in s)}
+    return _pieces(data, sorted(bounds))
+
+
+def bit_entropy(b: bytes, n: int = 3) -> float:
+    """Entropy of overlapping runs of n bits, over n."""
+    bit = np.unpackbits(np.frombuffer(b, np.uint8)).astype(int)
+    grams = sum(bit[k : len(bit) - n + 1 + k] << (n - 1 - k) for k in range(n))
+    p = np.bincount(grams) / max(len(grams), 1)
+    p = p[p > 0]
+    return float(-(p * np.log2(p)).sum() / n)
+
+
+def look_random(a: bytes, b: bytes) -> bool:
+    """Two neighbours of nearly one bit entropy, or of high and similar ones whose combination by exclusive or is random too."""
+    x, y = bit_entropy(a), bit_entropy(b)
+    both = bytes(p ^ q for p, q in zip(a, b, strict=False))
+    return abs(x - y) < 0.01 or (abs(x - y) < 0.2 and x > 0.5 and y > 0.5 and bit_entropy(both) > 0.8)
+
+
+def merge_random(segments: list[bytes]) -> list[bytes]:
+    """Joins runs in which each original pair looks random, until nothing changes."""
+    while True:
+        out = [list(segments[:1])] if segments else []
+        for a, b in zip(segments, segments[1:], strict=False):
+            if look_random(a, b):
+                out[-1].append(b)
+            else:
+                out.append([b])
+        joined = [b"".join(run) for run in out]
+        if joined == segments:
+            return joined
+        segments = joined
+
+
+def first_bytes(segments: list[bytes]) -> list[bytes]:
+    """The first segment in single bytes."""
+    return [segments[0][k : k + 1] for k in range(len(segments[0]))] + segments[1:] if segments else []
+
+
+#: steps on the segments of one message, by name
+STEPS = {"text": merge_text, "pull": pull_text, "gather": gather_text, "zeros": zero_slices, "crop_text": crop_text, "random": merge_random, "first_bytes": first_bytes}
+
+
+def _cut(data: bytes, steps: list[str], sigma: float) -> list[bytes]:
+    out = _pieces(data, rises(data, sigma))
+    for s in steps:
+        out = STEPS[s](out)
+    return out
+
+
+def refined(df: DataFrame, steps: list[str], sigma: float = 0.6) -> DataFrame:
+    """Bit-congruence segmentation and steps of STEPS after it."""
+    return _segmented(df, lambda data: _cut(data, steps, sigma))
+
+
+def again(segments: DataFrame, steps: list[str]) -> DataFrame:
+    """Steps of STEPS on segments that there are; those of a message are brought together first."""
+    parts = F.array_sort(F.collect_list(F.struct("seg_no", "bytes"))).alias("p")
+    rows = segments.groupBy("msg_id").agg(parts).select("msg_id", F.col("p.bytes").alias("parts"))
+
+    def run(batches):
+        for b in batches:
+            out: dict[str, list] = {k: [] for k in ("msg_id", "seg_no", "offset", "length", "bytes")}
+            for i, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for s in steps:
+                    pieces = STEPS[s](pieces)
+                at = 0
+                for k, s in enumerate(pieces):
+                    for name, v in zip(out, (i, k, at, len(s), s), strict=True):
+                        out[name].append(v)
+                    at += len(s)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    return rows.mapInArrow(run, SEGMENTS)
+
+
+def minima(df: DataFrame, sigma: float = 1.5, horizon: bool = False) -> DataFrame:
+    return _segmented(df, lambda data: _pieces(data, dips(data, sigma, horizon)))
+
+
+def variance(df: DataFrame, steepness: int = 200) -> DataFrame:
+    return _segmented(df, lambda data: _pieces(data, leaps(data, steepness)))
+
+
+def falls(df: DataFrame, share: float = 0.3) -> DataFrame:
+    return _segmented(df, lambda data: _pieces(data, plunges(data, share)))
+
+
+def zeros(df: DataFrame, little_endian: bool = False) -> DataFrame:
+    """Zero slices of whole messages, then text stretches."""
+    return _segmented(df, lambda data: crop_text(zero_slices([data] if data else [], little_endian)))
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """Each message that isn't empty as one segment."""
+    n = F.octet_length("data")
+    return df.where(n > 0).select("msg_id", F.lit(0).alias("seg_no"), F.lit(0).alias("offset"), n.alias("length"), F.col("data").alias("bytes"))
+
+
+def random(df: DataFrame, seed: int = 42, share: float = 0.25) -> DataFrame:
+    """Cuts between bytes, each with a chance of share, drawn by a hash of seed, message and place: a retried task cuts alike."""
+    n = F.octet_length("data")
+    drawn = lambda i: F.pmod(F.xxhash64(F.lit(seed), "msg_id", i), F.lit(1_000_000)) < int(share * 1_000_000)
+    inner = F.when(n > 1, F.filter(F.sequence(F.lit(1), n - 1), drawn)).otherwise(F.array().cast("array<int>"))
+    bounds = F.concat(F.array(F.lit(0)), inner, F.array(n)).alias("b")
+    cut = df.where(n > 0).select("msg_id", "data", bounds)
+    rows = cut.select("msg_id", "data", F.posexplode(F.arrays_zip(F.expr("slice(b, 1, size(b) - 1)").alias("a"), F.expr("slice(b, 2, size(b) - 1)").alias("z"))).alias("seg_no", "s"))
+    size = F.col("s.z") - F.col("s.a")
+    return rows.select("msg_id", "seg_no", F.col("s.a").alias("offset"), size.alias("length"), F.substring("data", F.col("s.a") + 1, size).alias("bytes"))
+
+
+def from_lengths(df: DataFrame, fields: DataFrame) -> DataFrame:
+    """Segments of given lengths (msg_id, pos, len), as dissected fields have them."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("msg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    f = fields.withColumn("offset", (F.sum("len").over(w) - F.col("len")).cast("int"))
+    return f.join(df.select("msg_id", "data"), "msg_id").select("msg_id", F.col("pos").cast("int").alias("seg_no"), "offset", F.col("len").cast("int").alias("length"), F.substring("data", F.col("offset") + 1, F.col("len")).alias("bytes"))
+
+
+def fill_gaps(df: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments, and new ones for the bytes before, between and after them; messages without any are one segment."""
+    from pyspark.sql.window import Window
+
+    size = df.where(F.octet_length("data") > 0).select("msg_id", F.octet_length("data").alias("offset"), F.lit(0).alias("length"))
+    w = Window.partitionBy("msg_id").orderBy("offset", "length")
+    ends = segments.select("msg_id", "offset", "length").union(size)
+    at = F.coalesce(F.lag(F.col("offset") + F.col("length")).over(w), F.lit(0))
+    gaps = ends.withColumn("from", at).where(F.col("from") < F.col("offset")).select("msg_id", F.col("from").alias("offset"), (F.col("offset") - F.col("from")).alias("length"))
+    every = segments.select("msg_id", "offset", "length").union(gaps).join(df.select("msg_id", "data"), "msg_id")
+    number = (F.row_number().over(Window.partitionBy("msg_id").orderBy("offset")) - 1).alias("seg_no")
+    return every.select("msg_id", number, "offset", "length", F.substring("data", F.col("offset") + 1, F.col("length")).alias("bytes"))
+
+
+def wobble(df: DataFrame, segments: DataFrame) -> DataFrame:
+    """Each segment, and forms of it that start one byte earlier and one later, within the message and not empty."""
+    s = segments.select("msg_id", F.explode(F.array(*(F.struct((F.col("offset") + k).alias("offset"), (F.col("length") - k).alias("length")) for k in (-1, 0, 1)))).alias("s"))
+    s = s.select("msg_id", "s.offset", "s.length").where("offset >= 0 AND length > 0").join(df.select("msg_id", "data"), "msg_id")
+    return s.select("msg_id", "offset", "length", F.substring("data", F.col("offset") + 1, F.col("length")).alias("bytes"))
+
+
+def split_segment(segments: DataFrame, number: int = 0, size: int = 1) -> DataFrame:
+    """Chops the segment of that number into chunks of size bytes."""
+    from pyspark.sql.window import Window
+
+    hit = F.col("seg_no") == number
+    steps = F.when(hit, F.sequence(F.lit(0), F.col("length") - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
+    rows = segments.where("length > 0").select("*", F.explode(steps).alias("k"))
+    length = F.when(hit, F.least(F.lit(size), F.col("length") - F.col("k"))).otherwise(F.col("length"))
+    rows = rows.select("msg_id", (F.col("offset") + F.col("k")).alias("offset"), length.alias("length"), F.substring("bytes", F.col("k") + 1, length).alias("bytes"))
+    return rows.select("msg_id", (F.row_number().over(Window.partitionBy("msg_id").orderBy("offset")) - 1).alias("seg_no"), "offset", "length", "bytes")
+
+
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(msg_id, left_no, right_no, shared): pairs of segments of one message whose ranges meet, and by how many bytes."""
+    a = left.select("msg_id", F.col("seg_no").alias("left_no"), F.col("offset").alias("a"), (F.col("offset") + F.col("length")).alias("z"))
+    b = right.select("msg_id", F.col("seg_no").alias("right_no"), F.col("offset").alias("c"), (F.col("offset") + F.col("length")).alias("y"))
+    return a.join(b, "msg_id").where("a < y AND c < z").select("msg_id", "left_no", "right_no", (F.least("z", "y") - F.greatest("a", "c")).alias("shared"))
+
+
+def crop_common(segments: DataFrame, messages: DataFrame, share: float = 0.1) -> DataFrame:
+    """Cuts the most frequent common value that a segment holds, at its first place, out of it.
+
+    Common values occur in over share of the messages' number, so that there are at most (segments a message / share) of them: that bounds the broadcast.
+    """
+    from pyspark.sql.window import Window
+
+    from fieldlore.operators import messages as M
+
+    # ties in frequency go by the bytes
+    common = M.common_values(segments, messages.count(), share).select(F.col("bytes").alias("value"), F.col("n").alias("often"))
+    key = ["msg_id", "offset"]
+    hits = segments.join(F.broadcast(common), F.position("value", "bytes") > 0)
+    first = hits.groupBy(*key).agg(F.max_by("value", F.struct("often", "value")).alias("value"))
+    s = segments.join(first, key, "left")
+    at = F.coalesce(F.position("value", "bytes") - 1, F.lit(0))
+    size = F.coalesce(F.octet_length("value"), F.col("length"))
+    s = s.withColumn("at", at).withColumn("size", size)
+    part = lambda a, n: F.struct((F.col("offset") + a).alias("offset"), n.alias("length"), F.substring("bytes", a + 1, n).alias("bytes"))
+    after = F.col("at") + F.col("size")
+    s = s.select("msg_id", F.explode(F.array(part(F.lit(0), F.col("at")), part(F.col("at"), F.col("size")), part(after, F.col("length") - after))).alias("s"))
+    s = s.select("msg_id", "s.*").where("length > 0")
+    return s.select("msg_id", (F.row_number().over(Window.partitionBy("msg_id").orderBy("offset")) - 1).alias("seg_no"), "offset", "length", "bytes")

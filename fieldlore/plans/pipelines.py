@@ -11,10 +11,23 @@ SEGMENTERS = {
     "congruence": lambda d, sigma: segmentation.congruence(d, sigma),
     "congruence_le": lambda d, sigma: segmentation.congruence(d, sigma, little_endian=True),
     "original": lambda d, sigma: segmentation.congruence(d, sigma, refined=True),
+    "base": lambda d, sigma: base(d, sigma),
+    "first_bytes": lambda d, sigma: segmentation.split_segment(base(d, sigma)),
+    "char": lambda d, sigma: segmentation.refined(d, ["text", "pull", "gather"], sigma),
+    "zero": lambda d, sigma: base(d, sigma, ["zeros"]),
+    "zeros": lambda d, sigma: segmentation.zeros(d),
+    "minima": lambda d, sigma: segmentation.minima(d, sigma),
+    "whole": lambda d, sigma: segmentation.whole(d),
     "4bytesfixed": lambda d, sigma: segmentation.fixed(d, 4),
 }
 
 
+def base(messages: DataFrame, sigma: float = 0.6, before: list[str] | None = None) -> DataFrame:
+    """Text merged and pulled, common values cut out, and text gathered."""
+    s = segmentation.refined(messages, [*(before or []), "text", "pull"], sigma)
+    return segmentation.again(segmentation.crop_common(s, messages), ["gather"])
+
+
 def segment(messages: DataFrame, method: str = "original", sigma: float = 0.6) -> DataFrame:
     return SEGMENTERS[method](messages, sigma)
 

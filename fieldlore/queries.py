@@ -67,8 +67,51 @@ def _bc() -> Column:
 
 _SIGMA = 0.6
 
+def _gauss(x: str, sigma: float) -> str:
+    """SQL of the Gaussian filter of series x."""
+    r, w = int(4 * sigma + 0.5), f"exp(-0.5 * (k / {sigma}) ** 2)"
+    m = f"((i + k - 1) % (2 * len({x})) + 2 * len({x})) % (2 * len({x}))"
+    at = f"{x}[(CASE WHEN {m} < len({x}) THEN {m} + 1 ELSE 2 * len({x}) - {m} END)::INT]"
+    ks = f"range(-{r}, {r + 1})"
+    return f"list_transform(range(1, len({x}) + 1), lambda i: list_sum(list_transform({ks}, lambda k: {w} * {at})) / list_sum(list_transform({ks}, lambda k: {w})))"
+
+
+def _gradient(x: str) -> str:
+    return f"list_transform(range(1, len({x}) + 1), lambda i: ({x}[least(i + 1, len({x}))] - {x}[greatest(i - 1, 1)]) / CASE WHEN i = 1 OR i = len({x}) THEN 1.0 ELSE 2.0 END)"
+
+
+def _more(x: str) -> str:
+    """SQL that leaves series of under two values, which have no gradient, empty."""
+    return f"CASE WHEN len({x}) > 1 THEN {_gradient(x)} ELSE [] END"
+
+
+_MEAN2 = "list_transform(range(1, len(x0)), lambda i: (x0[i] + x0[i + 1]) / 2)"
+_LAG2 = "list_transform(range(1, len(x1) - 1), lambda i: x1[i + 2] - x1[i])"
+_HORIZON = "list_transform(range(3, len(x0) + 1), lambda i: x0[i] - (x0[i - 1] + x0[i - 2]) / 2)"
+
+
+def _mean2() -> Column:
+    return S.window_mean(_bc(), 2)
+
+
 #: name: (query, SQL)
 SERIES = {
+    "fea03_bit_congruence_gauss": (_series(lambda: S.gaussian(_bc(), 1.5)), _series_sql(_BC, _gauss("x0", 1.5))),
+    "fea06_delta_backwards": (_series(lambda: S.mirrored(_v(), lambda v: S.delta(S.bit_congruence(v)))), _series_sql(_BC, "list_transform(range(1, len(x0)), lambda i: x0[i] - x0[i + 1])")),
+    "fea08_gram_congruence": (_series(lambda: S.gram_congruence(_v(), 2)), _series_sql("list_transform(range(1, len(v) - 1), lambda i: 1 - (bit_count(xor(v[i], v[i + 1])) + bit_count(xor(v[i + 1], v[i + 2]))) / 16.0)")),
+    "fea12_sliding_mean": (_series(_mean2), _series_sql(_BC, _MEAN2)),
+    "fea13_sliding_gradient": (_series(lambda: S.inner_gradient(_mean2())), _series_sql(_BC, _MEAN2, _more("x1"), "x2[2:]")),
+    "fea14_sliding_delta": (_series(lambda: S.lagged(_mean2(), 2)), _series_sql(_BC, _MEAN2, _LAG2)),
+    "fea15_sliding_delta_gauss": (_series(lambda: S.gaussian(S.lagged(_mean2(), 2), 1.5)), _series_sql(_BC, _MEAN2, _LAG2, _gauss("x2", 1.5))),
+    "fea16_sliding_2nd_delta": (_series(lambda: S.delta(S.delta(_mean2()))), _series_sql(_BC, _MEAN2, _delta("x1"), _delta("x2"))),
+    "fea17_horizon": (_series(lambda: S.horizon(_bc())), _series_sql(_BC, _HORIZON)),
+    "fea18_horizon_gauss": (_series(lambda: S.gaussian(S.horizon(_bc()), 1.5)), _series_sql(_BC, _HORIZON, _gauss("x1", 1.5))),
+    "fea19_horizon_gradient": (_series(lambda: S.gradient(S.horizon(_bc()))), _series_sql(_BC, _HORIZON, _more("x1"))),
+    "fea19_horizon_2nd_delta": (_series(lambda: S.delta(S.delta(S.horizon(_bc())))), _series_sql(_BC, _HORIZON, _delta("x1"), _delta("x2"))),
+    "fea20_autocorrelation": (_series(lambda: S.autocorrelation(_bc())), _series_sql(_BC, "list_transform(range(1, 2 * len(x0)), lambda i: list_sum(list_transform(range(1, len(x0) - abs(i - len(x0)) + 1), lambda j: x0[j] * x0[(j + abs(i - len(x0)))::INT])))")),
+    "fea23_gram_entropy": (_series(lambda: S.gram_entropy(_v(), 3)), _series_sql("list_transform(range(1, len(v) - 1), lambda i: CASE len(list_distinct([v[i], v[i + 1], v[i + 2]])) WHEN 1 THEN 0 WHEN 2 THEN log2(3) - 2 / 3.0 ELSE log2(3) END)")),
+    "seg08_drops": (_series(lambda: S.drops(_v()), True), _series_sql("list_filter(range(0, len(v) - 1), lambda i: v[i + 1] > list_max(v) - (list_max(v) - list_min(v)) * 0.3::DOUBLE AND v[i + 2] < list_min(v) + (list_max(v) - list_min(v)) * 0.3::DOUBLE)", whole=True)),
+    "tpl10_flags": (_series(lambda: S.flag_pairs(_v()), True), _series_sql("list_filter(range(0, len(v) - 1), lambda i: bit_count(v[i + 1]) <= 2 AND bit_count(v[i + 2]) <= 2 AND v[i + 1] + v[i + 2] > 0)", whole=True)),
     "fea02_bit_congruence": (_series(lambda: _bc()), _series_sql(_BC)),
     "fea04_bit_congruence_delta": (_series(lambda: S.delta(_bc())), _series_sql(_BC, _delta("x0"))),
     "fea07_bit_congruence_2nd_delta": (_series(lambda: S.delta(S.delta(_bc()))), _series_sql(_BC, _delta("x0"), _delta("x1"))),
@@ -91,10 +134,7 @@ def fea05_gaussian(spark, sf_dir):
     return _series(lambda: S.gaussian(S.delta(_bc()), _SIGMA))(spark, sf_dir)
 
 
-_R = int(4 * _SIGMA + 0.5)
-_MIRROR = "CASE WHEN ((i + k - 1) % (2 * len(x1)) + 2 * len(x1)) % (2 * len(x1)) < len(x1) THEN ((i + k - 1) % (2 * len(x1)) + 2 * len(x1)) % (2 * len(x1)) + 1 ELSE 2 * len(x1) - ((i + k - 1) % (2 * len(x1)) + 2 * len(x1)) % (2 * len(x1)) END"
-_W = f"exp(-0.5 * (k / {_SIGMA}) ** 2)"
-FEA05 = _series_sql(_BC, _delta("x0"), f"list_transform(range(1, len(x1) + 1), lambda i: list_sum(list_transform(range(-{_R}, {_R + 1}), lambda k: {_W} * x1[({_MIRROR})::INT])) / list_sum(list_transform(range(-{_R}, {_R + 1}), lambda k: {_W})))")
+FEA05 = _series_sql(_BC, _delta("x0"), _gauss("x1", _SIGMA))
 
 
 def fea26_value_frequency(spark, sf_dir):
@@ -319,12 +359,15 @@ c AS (SELECT sum(n * (n - 1) / 2) AS wanted FROM (SELECT count(*) AS n FROM d GR
     "clu02_dbscan": (clu02_dbscan, None),
 }
 
-ALL = SERIES | OTHERS
+def _all() -> dict:
+    from fieldlore import queries_clusters, queries_segments
+
+    return SERIES | OTHERS | queries_segments.QUERIES | queries_clusters.QUERIES
 
 
 def queries() -> dict:
-    return {name: q for name, (q, _) in ALL.items()}
+    return {name: q for name, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in ALL.items() if sql}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
