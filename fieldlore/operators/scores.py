@@ -58,3 +58,37 @@ def pair_counts(df: DataFrame, cluster: str, kind: str, noise=None) -> DataFrame
     c = df.groupBy(kind).agg(F.count("*").alias("n")).agg(pairs("n").alias("wanted"))
     row = a.crossJoin(b).crossJoin(c)  # one row each
     return row.select("tp", "found", "wanted", (F.col("tp") / F.col("found")).alias("precision"), (F.col("tp") / F.col("wanted")).alias("recall"))
+
+
+def formats(fields: DataFrame) -> DataFrame:
+    """(format, n, msg_id): each sequence of field lengths, how many messages have it, and the first of them."""
+    seq = F.transform(F.array_sort(F.collect_list(F.struct("pos", "len"))), lambda s: s["len"])
+    f = fields.groupBy("msg_id").agg(F.array_join(seq.cast("array<string>"), ",").alias("format"))
+    return f.groupBy("format").agg(F.count("*").alias("n"), F.min("msg_id").alias("msg_id"))
+
+
+def overlays(true_fields: DataFrame, inferred_ends: DataFrame) -> DataFrame:
+    """(msg_id, pos, code) of true fields (msg_id, pos, offset, length) against ends (msg_id, end).
+
+    0 where both bounds were inferred and none between, k > 0 where k bounds lie inside, -1 where none does and a bound is missed.
+    Every message starts with a bound.
+    """
+    ends = inferred_ends.select("msg_id", "end").union(true_fields.select("msg_id", F.lit(0).cast("bigint"))).distinct()
+    t = true_fields.withColumn("z", F.col("offset") + F.col("length"))
+    x = t.join(ends, "msg_id", "left").groupBy("msg_id", "pos").agg(F.count(F.when((F.col("end") > F.col("offset")) & (F.col("end") < F.col("z")), 1)).alias("k"), F.count(F.when((F.col("end") == F.col("offset")) | (F.col("end") == F.col("z")), 1)).alias("edges"))
+    return x.select("msg_id", "pos", F.when(F.col("k") > 0, F.col("k")).when(F.col("edges") == 2, 0).otherwise(-1).cast("int").alias("code"))
+
+
+def statistics(scores: DataFrame, by: str | None = None) -> DataFrame:
+    """(least, centre, most, median, mean, spread, n) of scores (score); centre is the score nearest the mean, the smaller on ties."""
+    key = [by] if by else []
+    mean = scores.where("score IS NOT NULL").groupBy(*key).agg(F.round(F.avg("score"), 9).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), F.median("score").alias("median"), F.stddev_pop("score").alias("spread"), F.count("*").alias("n"))
+    x = scores.where("score IS NOT NULL").select(*key, "score").distinct()
+    x = x.join(mean.select(*key, "mean"), by) if by else x.join(mean.select("mean"))
+    near = x.groupBy(*key).agg(F.min(F.struct(F.abs(F.col("score") - F.col("mean")).alias("off"), "score")).alias("m")).select(*key, F.col("m.score").alias("centre"))
+    return mean.join(near, by) if by else mean.join(near)
+
+
+def by_score(scores: DataFrame, digits: int = 3) -> DataFrame:
+    """(score, n, msg_id): messages of each rounded score and the first of them."""
+    return scores.groupBy(F.round("score", digits).alias("score")).agg(F.count("*").alias("n"), F.min("msg_id").alias("msg_id"))

@@ -32,7 +32,7 @@ def test_zero_slices():
 
 
 def test_text_steps():
-    assert G.gather_text([b"ab", b"cd", b"efg", b"\x01\x02"]) == [b"abcdefg", b"\x01\x02"]
+    assert G.gather_text([b"ab", b"cd", b"efg", b"\xff\x02"]) == [b"abcdefg", b"\xff\x02"]
     assert G.gather_text([b"\xff", b"abc", b"def", b"\0\0"]) == [b"\xff", b"abcdef", b"\0\0"]
     assert G.text_spans(b"\x01\x02hello world\0abc") == [(1, 13)]
     assert G.crop_text([b"\xf0\xf1hel", b"lo wor", b"ld\0abc"]) == [b"\xf0\xf1", b"hello world", b"\0abc"]
