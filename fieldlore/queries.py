@@ -262,11 +262,16 @@ def sem13_max_distance(spark, sf_dir):
     return d.join(r, "i").join(r.select(F.col("i").alias("j"), F.col("label").alias("lj")), "j").where("label = lj").groupBy("label").agg(F.round(F.max("d"), 6).alias("max_distance"))
 
 
-def clu02_dbscan(spark, sf_dir):
+def checkpoints(spark) -> None:
+    """Sets a checkpoint folder where the session has none: the one that it names, else a local one, as in tests."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.gettempdir()}/checkpoints")
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints")
+
+
+def clu02_dbscan(spark, sf_dir):
+    checkpoints(spark)
     d = _distances(spark, sf_dir)
     return P.dbscan(d, _reps(spark, sf_dir).select(F.col("rep_id").alias("id")), eps=0.01, least=4)
 

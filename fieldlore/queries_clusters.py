@@ -11,6 +11,7 @@ from fieldlore.operators import clusters as C
 from fieldlore.operators import pairwise as P
 from fieldlore.operators import scores as V
 from fieldlore.operators import segmentation as G
+from fieldlore.operators import sequences as SQ
 
 
 def _d(spark, sf_dir):
@@ -152,6 +153,31 @@ def _aligned(spark, sf_dir):
     return G.fixed(t, 3).join(t.select("msg_id", "event_type"), "msg_id").select(F.col("event_type").alias("label"), "msg_id", F.col("seg_no").alias("col"), "bytes")
 
 
+def _close(spark, sf_dir):
+    """Clusters of distinct payloads by message distance."""
+    Q.checkpoints(spark)
+    first = Q._reps(spark, sf_dir).select(F.col("rep_id").alias("msg_id"), F.col("bytes").alias("data"))
+    d = A.message_distances(G.fixed(first, 3)).select("i", "j", F.col("distance").alias("d"))
+    return d, P.dbscan(d, first.selectExpr("msg_id AS id"), eps=1.5, least=3)
+
+
+def aln07_clusters(spark, sf_dir):
+    return _close(spark, sf_dir)[1]
+
+
+def aln09_align(spark, sf_dir):
+    """Distinct payloads, cut into digits and other characters, aligned by their length."""
+    labels, first = _labels(spark, sf_dir), Q._reps(spark, sf_dir).select(F.col("rep_id").alias("msg_id"))
+    fields = G.from_lengths(Q.events(spark, sf_dir), Q._fields(spark, sf_dir)).join(first, "msg_id", "left_semi")
+    out = A.star_alignment(fields, labels.withColumnRenamed("id", "msg_id"), P.medoids(_d(spark, sf_dir), labels))
+    return out.select("label", "msg_id", "col", F.hex("bytes").alias("h"))
+
+
+def seq01_frequent(spark, sf_dir):
+    Q.checkpoints(spark)
+    return SQ.frequent(Q.events(spark, sf_dir))
+
+
 def aln13_columns(spark, sf_dir):
     return C.columns(_aligned(spark, sf_dir)).withColumn("bytes", F.hex("bytes"))
 
@@ -214,5 +240,9 @@ SELECT msg_id, pos, CASE WHEN len(list_filter(e, lambda x: x > a AND x < z)) > 0
     "aln13_columns": (aln13_columns, """WITH m AS (SELECT event_type AS label, event_id, hex(encode(props)) AS h, strlen(props) AS size FROM events), o AS (SELECT label, h, unnest(range(0, size, 3)) AS o FROM m),
 c AS (SELECT label, (o // 3)::INT AS col, substr(h, (2 * o + 1)::INT, 6) AS b FROM o) SELECT label, col, count(DISTINCT b) AS values, 0::BIGINT AS gaps, CASE WHEN count(DISTINCT b) = 1 THEN 'static' ELSE 'dynamic' END AS kind, CASE WHEN count(DISTINCT b) = 1 THEN min(b) END AS bytes FROM c GROUP BY label, col"""),
     "aln21_least_size": (aln21_least_size, _O + " SELECT id, CASE WHEN count(*) OVER (PARTITION BY label) < ln((SELECT count(*) FROM r) ** 3) THEN -1 ELSE label END::INT AS label FROM r"),
+    "aln09_align": (aln09_align, """WITH r AS (SELECT min(event_id)::BIGINT AS msg_id, strlen(props)::BIGINT AS label, regexp_extract_all(props, '([0-9]+|[^0-9]+)') AS f FROM events GROUP BY props)
+SELECT label, msg_id, unnest(range(len(f)))::INT AS col, hex(encode(unnest(f))) AS h FROM r"""),
     "aln05_message_similarity": (aln05_message_similarity, None),
+    "aln07_clusters": (aln07_clusters, None),
+    "seq01_frequent": (seq01_frequent, None),
 }

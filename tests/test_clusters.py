@@ -60,3 +60,54 @@ def test_empty(spark):
     for f in (C.remotest, C.detours, C.trace_means, C.links, C.ecdf, P.medoids):
         assert f(d, labels).count() == 0
     assert V.statistics(spark.createDataFrame([], "score double, k int"), "k").count() == 0
+
+
+def test_divided_alignment():
+    sim = [[1.0 if i == j else 0.0 for j in range(5)] for i in range(5)]
+    sim[2][1] = sim[1][2] = 0.9
+    score = lambda a, b: sim[a][b]
+    assert A.divided_alignment([2, 4, 3, 0], [1, 4, 0], score) == ([2, 4, 3, 0], [1, 4, None, 0])
+    assert A.divided_alignment([], [1, 2], score) == ([None, None], [1, 2])
+
+
+def test_star_alignment(spark):
+    messages = {1: ["aa", "0102", "bb"], 2: ["aa", "bb"], 3: ["10", "aa", "0102", "bb", "f0f1f2"], 4: ["aa", "0102", "bb", "f0f1f2", "55"], 5: ["77"]}
+    s = spark.createDataFrame([(i, k, bytearray.fromhex(h)) for i, p in messages.items() for k, h in enumerate(p)], "msg_id bigint, seg_no int, bytes binary")
+    labels = spark.createDataFrame([(i, -1 if i == 5 else 0) for i in messages], "msg_id bigint, label int")
+    rows = A.star_alignment(s, labels, spark.createDataFrame([(0, 1)], "label int, medoid bigint")).orderBy("msg_id", "col").collect()
+    table = {i: [r.bytes and bytes(r.bytes).hex() for r in rows if r.msg_id == i] for i in range(1, 5)}
+    assert table == {
+        1: [None, "aa", "0102", "bb", None, None],
+        2: [None, "aa", None, "bb", None, None],
+        3: ["10", "aa", "0102", "bb", "f0f1f2", None],
+        4: [None, "aa", "0102", "bb", "f0f1f2", "55"],
+    }
+    assert [r.col for r in rows if r.msg_id == 1] == list(range(6)) and not [r for r in rows if r.msg_id == 5]
+
+
+def plain_frequent(messages, share, drop):
+    least, out = share * len(messages), {}
+    occ = {(i, o): m[o : o + 1] for i, m in enumerate(messages) for o in range(len(m))}
+    count = lambda x: {g: sum(v == g for v in x.values()) for g in x.values()}
+    occ = {p: g for p, g in occ.items() if count(occ)[g] >= least}
+    while occ:
+        n = count(occ)
+        longer = {(i, o): g + occ[i, o + 1][-1:] for (i, o), g in occ.items() if (i, o + 1) in occ}
+        m = count(longer)
+        grown = {p: g for p, g in longer.items() if m[g] >= least and m[g] >= drop * n[g[:-1]]}
+        covered = {(i, o + k) for i, o in grown for k in (0, 1)}
+        for g in n:
+            out[g.hex().upper()] = (len(g), n[g], sum(v == g and p not in covered for p, v in occ.items()))
+        occ = grown
+    return out
+
+
+def test_frequent_sequences(spark):
+    spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+    messages = [b"abcabcx", b"xabcd", b"abab", b"bcabc", b"", b"zzzz"]
+    df = spark.createDataFrame([(i, bytearray(m)) for i, m in enumerate(messages)], "msg_id bigint, data binary")
+    from fieldlore.operators import sequences as SQ
+
+    for share, drop in ((0.6, 0.6), (0.4, 0.9), (5.0, 0.6)):
+        got = {r.h: (r.length, r.n, r.rest) for r in SQ.frequent(df, share, drop).collect()}
+        assert got == plain_frequent(messages, share, drop)
