@@ -228,33 +228,57 @@ def zero_slices(segments: list[bytes], little_endian: bool = False) -> list[byte
     return _pieces(data, sorted(own | kept | {0, n}))
 
 
+class Sums:
+    """Prefix sums of a message, by which any stretch is tested for text in constant time."""
+
+    def __init__(self, data: bytes):
+        v = np.frombuffer(data, np.uint8).astype(np.int64)
+        odd = (v != 0) & ((v < 0x20) | (v > 0x7E))
+        double = np.append((v[:-1] == 0) & (v[1:] == 0), False)[: len(v)]
+        self.some, self.total, self.odd, self.high, self.double = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (v != 0, v, odd, v >= 0x7F, double))
+
+    def text_like(self, a: int, z: int, low: float = 50, high: float = 115, least: int = 6) -> bool:
+        """What text_like says of bytes a to z."""
+        some = self.some[z] - self.some[a]
+        if z - a < least or not some or self.high[z] > self.high[a]:
+            return False
+        return low <= (self.total[z] - self.total[a]) / some <= high and (self.odd[z] - self.odd[a]) / (z - a) < 0.33
+
+    def zeros(self, a: int, z: int) -> int:
+        return z - a - (self.some[z] - self.some[a])
+
+    def double_zero(self, a: int, z: int) -> bool:
+        return z - a > 1 and self.double[z - 1] > self.double[a]
+
+
 def gather_text(segments: list[bytes], least: int = 6) -> list[bytes]:
     """Joins neighbours that together, from least bytes on, stay text-like and free of double zeros; else the first goes as it is."""
-    out, i = [], 0
+    data = b"".join(segments)
+    ends, sums, out, i, start = _ends(segments), Sums(data), [], 0, 0
     while i < len(segments):
-        run, found, j = b"", b"", i
+        found, j = 0, i
         while j < len(segments):
-            run += segments[j]
-            if len(run) >= least:
-                if not text_like(run) or b"\0\0" in run:
+            if ends[j] - start >= least:
+                if not sums.text_like(start, ends[j]) or sums.double_zero(start, ends[j]):
                     break
-                found = run
+                found = ends[j]
             j += 1
         # without a text the first segment stands alone and the search goes on behind it
-        out.append(found or segments[i])
         i = j if found else i + 1
+        out.append(data[start : ends[i - 1]])
+        start = ends[i - 1]
     return out
 
 
 def text_spans(data: bytes, least: int = 6) -> list[tuple[int, int]]:
     """Longest text-like stretches without zeros, from the left, of least bytes or more."""
-    out, a = [], 0
+    sums, out, a = Sums(data), [], 0
     while a + least <= len(data):
         z = a + least
-        if 0 in data[a:z] or not text_like(data[a:z]):
+        if sums.zeros(a, z) or not sums.text_like(a, z):
             a += 1
             continue
-        while z < len(data) and data[z] and text_like(data[a : z + 1]):
+        while z < len(data) and data[z] and sums.text_like(a, z + 1):
             z += 1
         out.append((a, z))
         a = z
@@ -265,8 +289,8 @@ def crop_text(segments: list[bytes]) -> list[bytes]:
     """Text stretches become segments of their own; other bounds inside them go."""
     data = b"".join(segments)
     spans = text_spans(data)
-    bounds = {0, len(data), *(b for b in _ends(segments) if not any(a < b < z for a, z in spans)), *(x for s in spans for x in s)}
-    return _pieces(data, sorted(bounds))
+    inner = {b for a, z in spans for b in range(a + 1, z)}
+    return _pieces(data, sorted(({0, len(data), *_ends(segments)} - inner) | {x for s in spans for x in s}))
 
 
 def bit_entropy(b: bytes, n: int = 3) -> float:

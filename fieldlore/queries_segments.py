@@ -188,7 +188,8 @@ FROM c JOIN t ON c.msg_id = t.msg_id AND c."offset" < t."offset" + t.length AND
     "pre03_shared_values": (pre03_shared_values, Q._C + """, n AS (SELECT h, count(*) AS n FROM c GROUP BY h), x AS (SELECT DISTINCT msg_id, h, n FROM c JOIN n USING (h)), w AS (SELECT msg_id, sqrt(sum(n * n)) AS w FROM x GROUP BY msg_id),
 u AS (SELECT h, sum(n / w) AS s FROM x JOIN w USING (msg_id) GROUP BY h), r AS (SELECT x.msg_id, round(sum(n / w * s) / (SELECT count(*) FROM w), 9) AS mean FROM x JOIN w USING (msg_id) JOIN u USING (h) GROUP BY x.msg_id)
 SELECT msg_id, round(mean, 6) AS mean FROM r ORDER BY r.mean DESC, msg_id LIMIT 100"""),
-    "pre11_text_segments": (pre11_text_segments, None),
+    "pre11_text_segments": (pre11_text_segments, Q._C.replace(", 4)) AS o", ", 8)) AS o").replace("o // 4", "o // 8").replace("least(4,", "least(8,").replace("::INT, 8) AS h", "::INT, 16) AS h") + """, v AS (SELECT *, list_transform(range(0, length), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::INT) AS v FROM c), w AS (SELECT *, list_filter(v, lambda y: y <> 0) AS w FROM v)
+SELECT msg_id, seg_no, "offset", length, h FROM w WHERE length >= 6 AND len(w) > 0 AND list_max(v) < 127 AND list_avg(w) BETWEEN 50 AND 115 AND len(list_filter(w, lambda y: y < 32 OR y > 126)) / length < 0.33"""),
     "seg03_congruence_minima": (seg03_congruence_minima, None),
     "seg04_horizon_minima": (seg04_horizon_minima, None),
     "seg07_variance": (seg07_variance, None),

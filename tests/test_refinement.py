@@ -38,6 +38,22 @@ def test_text_steps():
     assert G.crop_text([b"\xf0\xf1hel", b"lo wor", b"ld\0abc"]) == [b"\xf0\xf1", b"hello world", b"\0abc"]
 
 
+def test_sums_say_what_one_value_says():
+    rng = np.random.default_rng(2)
+    for low, high in ((0, 4), (0, 128), (30, 127), (90, 120)):
+        data = rng.integers(low, high, 60, dtype=np.int64).astype(np.uint8).tobytes() + b"hello world, \0\0some text\x01"
+        sums = G.Sums(data)
+        for a in range(len(data)):
+            for z in range(a, len(data) + 1):
+                assert sums.text_like(a, z) == G.text_like(data[a:z]), (a, z)
+                assert sums.double_zero(a, z) == (b"\0\0" in data[a:z]) and sums.zeros(a, z) == data[a:z].count(0)
+
+
+def test_long_text_is_linear():
+    data = b"plain words " * 100_000
+    assert G.text_spans(data) == [(0, len(data))] and G.gather_text([data[k : k + 3] for k in range(0, len(data), 3)]) == [data]
+
+
 def test_leaps_and_plunges():
     assert G.leaps(bytes([5, 5, 5, 9, 9])) == [0, 3, 5]
     assert G.plunges(bytes([0, 255, 0, 100])) == [0, 1, 4]
