@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -293,8 +295,7 @@ def crop_text(segments: list[bytes]) -> list[bytes]:
     return _pieces(data, sorted(({0, len(data), *_ends(segments)} - inner) | {x for s in spans for x in s}))
 
 
-def bit_entropy(b: bytes, n: int = 3) -> float:
-    """Entropy of overlapping runs of n bits, over n."""
+def _bit_entropy(b: bytes, n: int) -> float:
     bit = np.unpackbits(np.frombuffer(b, np.uint8)).astype(int)
     grams = sum(bit[k : len(bit) - n + 1 + k] << (n - 1 - k) for k in range(n))
     p = np.bincount(grams) / max(len(grams), 1)
@@ -302,24 +303,34 @@ def bit_entropy(b: bytes, n: int = 3) -> float:
     return float(-(p * np.log2(p)).sum() / n)
 
 
-def look_random(a: bytes, b: bytes) -> bool:
-    """Two neighbours of nearly one bit entropy, or of high and similar ones whose combination by exclusive or is random too."""
-    x, y = bit_entropy(a), bit_entropy(b)
-    both = bytes(p ^ q for p, q in zip(a, b, strict=False))
-    return abs(x - y) < 0.01 or (abs(x - y) < 0.2 and x > 0.5 and y > 0.5 and bit_entropy(both) > 0.8)
+#: short values recur; long ones aren't kept
+_short_entropy = lru_cache(50_000)(_bit_entropy)
+
+
+def bit_entropy(b: bytes, n: int = 3) -> float:
+    """Entropy of overlapping runs of n bits, over n."""
+    return _short_entropy(b, n) if len(b) <= 16 else _bit_entropy(b, n)
+
+
+def look_random(a: bytes, b: bytes, x: float, y: float) -> bool:
+    """Two neighbours of nearly one bit entropy (x and y), or of high and similar ones whose combination by exclusive or is random too."""
+    if abs(x - y) < 0.01:
+        return True
+    return abs(x - y) < 0.2 and x > 0.5 and y > 0.5 and bit_entropy(bytes(p ^ q for p, q in zip(a, b, strict=False))) > 0.8
 
 
 def merge_random(segments: list[bytes]) -> list[bytes]:
     """Joins runs in which each original pair looks random, until nothing changes."""
     while True:
+        e = [bit_entropy(s) for s in segments]
         out = [list(segments[:1])] if segments else []
-        for a, b in zip(segments, segments[1:], strict=False):
-            if look_random(a, b):
-                out[-1].append(b)
+        for k in range(1, len(segments)):
+            if look_random(segments[k - 1], segments[k], e[k - 1], e[k]):
+                out[-1].append(segments[k])
             else:
-                out.append([b])
+                out.append([segments[k]])
         joined = [b"".join(run) for run in out]
-        if joined == segments:
+        if len(joined) == len(segments):
             return joined
         segments = joined
 
