@@ -96,3 +96,21 @@ def test_cosine_means(spark):
     cos = lambda a, b: sum(a[k] * b.get(k, 0) for k in a) / (sum(v * v for v in a.values()) * sum(v * v for v in b.values())) ** 0.5
     want = {i: sum(cos(vec[i], vec[j]) for j in vec) / len(vec) for i in vec}
     assert {r.msg_id: r.mean for r in M.mean_cosine(s).collect()} == pytest.approx(want, abs=1e-8)
+
+
+def test_measures_and_xor(spark):
+    from pyspark.sql import functions as F
+
+    from fieldlore.functions import series as S
+
+    hay, feature = [5, 1, 2, 9, 9, 9, 0, 0, 0, 4], [1, 2, 9]
+    df = spark.createDataFrame([(hay, feature, bytearray(b"\x1b\x74\xe5\x01"), bytearray(b"\x00\x80\x77"))], "h array<int>, f array<int>, a binary, b binary")
+    a, b = S.values(F.col("a")), S.values(F.col("b"))
+    at = {m: S.similarity_at(F.col("f"), F.col("h"), m) for m in ("sad", "cosine", "pearson")}
+    row = df.select(*(x.alias(m) for m, x in at.items()), *(S.best_place(x, m).alias("p" + m) for m, x in at.items()), S.xor_entropy(a, b).alias("x"), S.bit_gram_entropy(a).alias("e")).first()
+    w, f = np.lib.stride_tricks.sliding_window_view(np.array(hay, float), 3), np.array(feature, float)
+    assert row.sad == np.abs(w - f).sum(axis=1).tolist() and row.psad == row.pcosine == row.ppearson == 1
+    for k, x in enumerate(w):
+        assert row.cosine[k] is None if not x.any() else row.cosine[k] == pytest.approx(1 - x @ f / np.sqrt(x @ x * (f @ f)))
+        assert row.pearson[k] is None if x.std() == 0 else row.pearson[k] == pytest.approx(np.corrcoef(x, f)[0, 1])
+    assert row.e == pytest.approx(G.bit_entropy(b"\x1b\x74\xe5\x01")) and row.x == pytest.approx(G.bit_entropy(b"\x1b\xf4\x92"))
