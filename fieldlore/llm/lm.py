@@ -32,8 +32,8 @@ from fieldlore.llm import eliasfano as ef
 from fieldlore.llm.shared import batches, get, make_dir, plain, put
 from fieldlore.llm.words import Words, chunks
 
-#: Discount, order, logarithms' step, entries that a task sorts at once, characters that are looked up at once.
-DISCOUNT, ORDER, STEP, RUN, CHARS = 0.75, 2, 12 / 65535, 3_000_000, 3_000_000
+#: Discount, the query's order, logarithms' step, entries that a task sorts at once, characters that are looked up at once.
+DISCOUNT, ORDER, STEP, RUN, CHARS = 0.75, 3, 12 / 65535, 3_000_000, 3_000_000
 ADD = 0.1
 #: The end of a text, as a hash that words don't get but by chance.
 END = np.uint64(0xE0D0F7EC5AFE57AB)
@@ -301,7 +301,7 @@ def grams(levels: list[Level], h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return context[ok].astype("u8") << np.uint64(levels[0].size.bit_length()) | out[0][0][ok].astype("u8")
 
 
-def train(df: DataFrame, text: str = "text", order: int = ORDER, parts: int | None = None) -> list[Level]:
+def train(df: DataFrame, text: str = "text", order: int = 2, parts: int | None = None) -> list[Level]:
     """The levels of a trie over all rows of df; a null text is empty (its end still counts)."""
     batches(df.sparkSession)
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -78,10 +78,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldlore.llm.lm import score, train
+    from fieldlore.llm.lm import ORDER, score, train
 
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(bucket(10) == 0, F.lit(False)))
-    return score(docs, train(docs.where(~F.col("held_out"))), keep=["doc_id", "held_out"])
+    return score(docs, train(docs.where(~F.col("held_out")), order=ORDER), keep=["doc_id", "held_out"])
 
 
 def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

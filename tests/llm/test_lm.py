@@ -108,3 +108,15 @@ def test_query(spark):
         assert r.base_score == pytest.approx(w[3], rel=1e-12) and abs(r.score - w[4]) <= r.n_tokens * lm.STEP / 2 + 1e-9
     out = [r for r in got if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_query_uses_trigrams(spark, tmp_path):
+    """After b, the word before it alone tells c from e."""
+    rows = [(i, "a b c" if i % 2 else "d b e") for i in range(60)] + [(i, "a b e") for i in range(60, 90) if zlib.crc32(str(i).encode()) % 10 == 0]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    got = {r.doc_id: r.score for r in queries.op9_ngram_trie(spark, str(tmp_path)).collect()}
+    want = brute(train, [t for _, t in rows], 3)
+    assert len(rows) > 60 and len(got) == len(rows)
+    assert all(abs(got[i] - w[4]) <= w[0] * lm.STEP / 2 + 1e-9 for (i, _), w in zip(rows, want, strict=True))
+    assert got[1] > got[rows[-1][0]] + 0.5
