@@ -53,6 +53,16 @@ def test_every_code_point():
     assert not bad, list(map(hex, bad[:20]))
 
 
+def test_every_code_point_above():
+    """The rest of the code points: CJK extensions G and H, tags, variation selectors, private planes."""
+    lib, own = Tokenizer.from_file(WORD), merge_table(WORD)
+    known = [c for c in range(0x30000, 0x110000) if unicodedata.category(chr(c)) not in ("Cn", "Cs")]
+    assert len(known) > 140_000 and known[-1] == 0x10FFFD
+    texts = [f"1{chr(c)}b!{chr(c)}!" for c in known]
+    bad = [c for c, t, e in zip(known, texts, lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(own.encode(t), "<u4").tolist() != e.ids]
+    assert not bad, list(map(hex, bad[:20]))
+
+
 def test_frames(spark):
     rows = [(i, t, "x") for i, t in enumerate(ODD)] + [(None, None, "x"), (7, ODD[7], "x"), (3, None, "x")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string")
