@@ -23,17 +23,17 @@ _letters: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
-    """The code point of each lower-case letter, 32 for whatever is none."""
+    """The code point of each letter, 32 for whatever is none, over all code points."""
     global _letters
     if _letters is None:
-        _letters = np.array([ord(c) if (c := chr(i)).isalpha() else 32 for i in range(0x30000)] + [32], "u4")
+        _letters = np.array([ord(c) if (c := chr(i)).isalpha() else 32 for i in range(0x110000)], "u4")
     return _letters
 
 
 def trigrams(text: str) -> np.ndarray:
     """Hashed trigrams around each letter of a text; none where it has no letter."""
     codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), "u4")
-    c = letters()[np.minimum(codes, 0x30000)]
+    c = letters()[codes]
     h = (c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
     return (h >> np.uint32(32 - BITS))[c[1:-1] != 32]
 

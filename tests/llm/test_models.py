@@ -64,6 +64,15 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_letters_of_every_plane(spark):
+    """CJK extensions G and H are letters, private and unassigned code points are none."""
+    assert all(len(language.trigrams(chr(c))) == chr(c).isalpha() for c in (0x20000, 0x2FFFF, 0x30000, 0x3134A, 0x31350, 0x323AF, 0x323B0, 0xE0041, 0xF0000, 0x10FFFF))
+    rare = "".join(map(chr, range(0x30000, 0x30040)))
+    train = spark.createDataFrame([(1, "the quick brown fox " * 20, "en"), (2, rare * 20, "zh")], "doc_id bigint, text string, lang string")
+    (got,) = language.predict(spark.createDataFrame([(1, rare)], "doc_id bigint, text string"), *language.train(train)).collect()
+    assert got.lang_pred == "zh" and got.score > 0.9
+
+
 def test_mixture_and_odd_texts(spark):
     en, de = "the quick brown fox jumps over the lazy dog and runs ", "der schnelle braune fuchs springt über den faulen hund und läuft "
     train = spark.createDataFrame([(1, en * 20, "en"), (2, de * 20, "de"), (3, None, "de"), (4, en, None)], "doc_id bigint, text string, lang string")
