@@ -17,8 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fieldlore.llm.shared import col, drop, fresh, save, without
+
 #: Target entropy as a part of the largest possible, epochs of a source at most, blocks of a source.
 ENTROPY, REPEATS, BLOCKS, SEED = 0.95, 2.0, 1024, 17
+#: Sources at most.
+SOURCES = 1_000_000
 STEPS = 60
 
 
@@ -66,46 +70,54 @@ def solve(tokens: dict, target: float = ENTROPY, limit: float = REPEATS, budget:
     return exponent, weights, repeats(tokens, weights, budget)
 
 
-def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", target: float = ENTROPY, limit: float = REPEATS, budget: float | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """A row for each time that a document is used: df's columns with mix_epoch, mix_block and mix_at.
+def mix_sources(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", target: float = ENTROPY, limit: float = REPEATS, budget: float | None = None, blocks: int = BLOCKS, seed: int = SEED, prefix: str = "mix_") -> DataFrame:
+    """A row for each time that a document is used: df's columns with mix_epoch, mix_block and mix_at (or another prefix).
 
-    Ordering by mix_at interleaves the sources in their weights' proportion. Tokens are white-space-delimited words. A null
-    source is a source of its own; a source without tokens is used once. With no budget every document is used at
-    least once. Repeated rows share their key, so that a last pass takes all or none of them and ends within a key of its
-    budget. The number of sources must fit the driver, with four numbers each.
+    Ordering by mix_at interleaves the sources in their weights' proportion. Tokens are white-space-delimited words of the whole
+    text; null and empty texts have none. A null source is a source of its own; a source without tokens is used once. With no
+    budget every document is used at least once. Repeated rows share their key, so that a last pass takes all or none
+    of them and ends within a key of its budget; null keys are one key. Two keys whose hashes tie are taken together. An
+    empty table gives none. Columns of df under the three names are replaced, all others stay as they are, whatever they are called.
+    There may be SOURCES sources at most, with four numbers each on the driver; more raise ValueError.
     """
     spark = df.sparkSession
-    name = F.concat(F.when(F.col(source).isNull(), "-").otherwise("+"), F.coalesce(F.col(source).cast("string"), F.lit("")))
-    count = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^ \t-\r]+")), F.lit(0))
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
+    sources, own = spark.createDataFrame, [f"{prefix}{x}" for x in ("epoch", "block", "at")]
+    s, b, k, whole_, turn_, key_, epoch_ = fresh("s", "b", "k", "whole", "turn", "key", "epoch")
+    name = F.concat(F.when(col(source).isNull(), "-").otherwise("+"), F.coalesce(col(source).cast("string"), F.lit("")))
+    count = F.coalesce(F.regexp_count(col(text), F.lit(r"[^ \t-\r]+")), F.lit(0))
+    order = F.xxhash64(col(key).cast("string"), F.lit(seed))
     block = F.pmod(F.xxhash64(F.lit(seed + 1), order), F.lit(blocks))
 
     def turn(epoch, at):
         """Where a block comes in an epoch, in [0, 1)."""
         return F.pmod(F.xxhash64(F.lit(seed + 2), epoch.cast("long"), at), F.lit(1 << 52)) / float(1 << 52)
 
-    base = df.select(name.alias("s"), block.alias("b"), order.alias("k"), count.alias("n"))
-    totals = base.groupBy("s", "b").agg(F.sum("n").alias("n")).persist()
-    tokens = {r.s: r.n for r in totals.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    # words are counted once; the counts are far smaller than the texts
+    base = save(df.select(name.alias("s"), block.alias("b"), order.alias("k"), count.alias("n")), "counted")
+    totals = save(base.groupBy("s", "b").agg(F.sum("n").alias("n")), "totals")
+    by_source = totals.groupBy("s").agg(F.sum("n").alias("n")).limit(SOURCES + 1).collect()
+    if len(by_source) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
+    tokens = {r.s: r.n for r in by_source}
     _, _, epochs = solve(tokens, target, limit, budget)
-    plan = {s: [math.floor(r + 1e-9), max(0.0, r - math.floor(r + 1e-9)) * tokens[s]] for s, r in epochs.items()}
-    schema = "s string, whole bigint, rest double"
-    local = spark.createDataFrame([(s, w, x) for s, (w, x) in plan.items()], schema)
+    plan = {x: [math.floor(r + 1e-9), max(0.0, r - math.floor(r + 1e-9)) * tokens[x]] for x, r in epochs.items()}
+    local = sources([(x, w, r) for x, (w, r) in plan.items()], "s string, whole bigint, rest double")
     # the block in which the last epoch ends: one row for each source
     sums = Window.partitionBy("s").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     ends = totals.join(local, "s").withColumn("turn", turn(F.col("whole"), F.col("b"))).withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0)))
     ends = ends.where("before < rest").groupBy("s").agg(F.max_by(F.struct("turn", "b", "before"), "turn").alias("e")).select("s", "e.*").collect()
-    totals.unpersist()
-    last = spark.createDataFrame([(r.s, r.b, plan[r.s][1] - r.before) for r in ends], "s string, b bigint, room double")
+    last = sources([(r.s, r.b, plan[r.s][1] - r.before) for r in ends], "s string, b bigint, room double")
     by_key = base.join(last, ["s", "b"]).groupBy("s", "k", "room").agg(F.sum("n").alias("n"))
     sums = Window.partitionBy("s").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     keys = {r.s: r.k for r in by_key.withColumn("before", F.coalesce(F.sum("n").over(sums), F.lit(0))).where("before < room").groupBy("s").agg(F.max("k").alias("k")).collect()}
+    drop(spark, base, totals)
     cut = {r.s: r.turn for r in ends}
-    local = spark.createDataFrame([(s, w, cut.get(s, -1.0), keys.get(s)) for s, (w, _) in plan.items()], "_s string, _whole bigint, _turn double, _key bigint")
-    out = df.withColumns({"_name": name, "_k": order, "_b": block}).join(local, F.col("_name") == F.col("_s"))
-    mine = turn(F.col("_whole"), F.col("_b"))
-    part = (mine < F.col("_turn")) | ((mine == F.col("_turn")) & F.coalesce(F.col("_k") <= F.col("_key"), F.lit(False)))
-    used = F.col("_whole") + part.cast("long")
-    out = out.where(used > 0).withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), used - 1)))
-    place = F.when(F.col("mix_epoch") < F.col("_whole"), turn(F.col("mix_epoch"), F.col("_b"))).otherwise(F.least(F.lit(1.0), mine / F.greatest(F.col("_turn"), F.lit(1e-12))))
-    return out.select(*df.columns, "mix_epoch", F.col("_b").alias("mix_block"), ((F.col("mix_epoch") + place) / (F.col("_whole") + F.when(F.col("_turn") >= 0, 1).otherwise(0))).alias("mix_at"))
+    local = sources([(x, w, cut.get(x, -1.0), keys.get(x)) for x, (w, _) in plan.items()], f"{s} string, {whole_} bigint, {turn_} double, {key_} bigint")
+    out = df.withColumns({s: name, k: order, b: block}).join(local, s)
+    mine = turn(F.col(whole_), F.col(b))
+    part = (mine < F.col(turn_)) | ((mine == F.col(turn_)) & F.coalesce(F.col(k) <= F.col(key_), F.lit(False)))
+    used = F.col(whole_) + part.cast("long")
+    out = out.where(used > 0).withColumn(epoch_, F.explode(F.sequence(F.lit(0).cast("long"), used - 1)))
+    place = F.when(F.col(epoch_) < F.col(whole_), turn(F.col(epoch_), F.col(b))).otherwise(F.least(F.lit(1.0), mine / F.greatest(F.col(turn_), F.lit(1e-12))))
+    at = (F.col(epoch_) + place) / (F.col(whole_) + F.when(F.col(turn_) >= 0, 1).otherwise(0))
+    return out.select(*map(col, without(df.columns, *own)), F.col(epoch_).alias(own[0]), F.col(b).alias(own[1]), at.alias(own[2]))
