@@ -2,8 +2,8 @@
 
 Each language has a distribution over hashed letter trigrams, counted over all labelled training texts. A
 document is a mixture of languages: expectation-maximisation finds the proportions from its trigrams'
-likelihoods, and languages join the document's set, largest proportion first, while the likelihood gained exceeds
-a penalty per language.
+likelihoods, round by round until they stand still, and languages join the document's set, largest proportion first,
+while the likelihood gained exceeds a penalty per language.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlore.llm.shared import batches
+from fieldlore.llm.shared import batches, by_place, col, without
 
 BITS = 16
 BUCKETS = 1 << BITS
-#: Rounds of expectation-maximisation, added count, smallest share considered, penalty factor.
-ROUNDS, ALPHA, LEAST, PENALTY = 12, 0.5, 0.02, 3.0
+#: Added count, penalty factor, change of a proportion that counts as none, rounds of expectation-maximisation after which a document that still moves is taken as it is.
+ALPHA, PENALTY, STILL, ROUNDS = 0.5, 3.0, 1e-5, 2000
+#: Languages at most: the driver holds 65,536 numbers of each.
+LANGUAGES = 1000
 _letters: np.ndarray | None = None
 
 
@@ -38,18 +40,20 @@ def trigrams(text: str) -> np.ndarray:
     return (h >> np.uint32(32 - BITS))[c[1:-1] != 32]
 
 
-def mixture(counts: np.ndarray, like: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def mixture(counts: np.ndarray, like: np.ndarray, rounds: int = ROUNDS, still: float = STILL) -> tuple[np.ndarray, float]:
     """Proportions of languages (columns of like) by expectation-maximisation, and their log-likelihood."""
     p = np.full(like.shape[1], 1 / like.shape[1])
-    n = counts.sum()
+    share = counts / counts.sum()
     for _ in range(rounds):
-        joint = like * p
-        p = (counts / joint.sum(1)) @ joint / n
+        before = p
+        p = p * ((share / (like @ p)) @ like)
+        if np.abs(p - before).max() < still:
+            break
     return p, float(counts @ np.log(like @ p))
 
 
 def languages(counts: np.ndarray, log_like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen languages of a document (largest share first) and their proportions."""
+    """The chosen languages of a document (largest share first, ties in the order of languages) and their proportions."""
     like = np.exp(log_like - log_like.max(1, keepdims=True))
     p, _ = mixture(counts, like)
     order = np.argsort(-p, kind="stable")
@@ -57,8 +61,6 @@ def languages(counts: np.ndarray, log_like: np.ndarray) -> tuple[np.ndarray, np.
     best = float(counts @ np.log(np.maximum(like[:, chosen[0]], 1e-300)))
     penalty = PENALTY * np.log(counts.sum() + 1)
     for k in order[1:]:
-        if p[k] < LEAST:
-            break
         more = np.append(chosen, k)
         q, gained = mixture(counts, like[:, more])
         if gained - best <= penalty:
@@ -69,7 +71,11 @@ def languages(counts: np.ndarray, log_like: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the logarithm of each bucket's probability in each. All rows with a language count."""
+    """Languages in order, and the logarithm of each bucket's probability in each.
+
+    All rows with a language count, repeated ones each time, with their whole texts; null and empty texts and those without a letter only name a language.
+    An empty table teaches none. More than LANGUAGES languages raise ValueError.
+    """
     batches(df.sparkSession)
 
     def count(parts):
@@ -83,9 +89,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[s
             k = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(k) + 1), pa.string()), pa.array(np.append(k, -1), pa.int64()), pa.array(np.append(c[k], 1), pa.int64())], names=["lang", "bucket", "n"])
 
-    counted = df.where(F.col(lang).isNotNull()).select(text, lang).mapInArrow(count, "lang string, bucket bigint, n bigint")
+    counted = df.where(col(lang).isNotNull()).select(col(text), col(lang).cast("string")).mapInArrow(count, "lang string, bucket bigint, n bigint")
     # languages times buckets at most
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    most = LANGUAGES * (BUCKETS + 1)
+    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).limit(most + 1).toPandas()
+    if len(rows) > most or rows.lang.nunique() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     names = sorted(rows.lang.unique())
     at = {n: i for i, n in enumerate(names)}
     c = np.zeros((BUCKETS, len(names)))
@@ -98,10 +107,10 @@ def predict(df: DataFrame, names: list[str], model: np.ndarray, text: str = "tex
     """lang_pred, score (its share of the document) and langs (the chosen set with shares) of every whole text.
 
     Null texts, texts without a letter, and all texts where no language was learnt are ``und`` with score 0. Ties
-    go to the first language by name. Repeated rows each get a row.
+    go to the first language by name. Repeated rows each get a row, an empty table none. Kept columns with one of the three names are replaced.
     """
     batches(df.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = without(["doc_id"] if keep is None else keep, "lang_pred", "score", "langs")
     shared = df.sparkSession.sparkContext.broadcast((names, model))
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double, langs map<string,double>"
 
@@ -121,6 +130,6 @@ def predict(df: DataFrame, names: list[str], model: np.ndarray, text: str = "tex
             cols = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols], names=[*keep, "lang_pred", "score", "langs"])
 
-    return df.select(*keep, text).mapInArrow(run, fields)
+    return by_place(df.select(*map(col, keep), col(text))).mapInArrow(run, fields)
 
 

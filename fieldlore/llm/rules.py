@@ -1,24 +1,26 @@
 """Quality rules as a short-circuit cascade.
 
-A rule rejects a page or not. On a sample of the documents each rule's cost (seconds a document, with the
-features it has to compute) and selectivity (share rejected) are estimated; rules then run in the order of
-rejection per cost, and a document leaves at the first rule that rejects it. The order changes what a verdict costs,
-never the verdict.
+A rule rejects a page or not. On a sample of the documents it is estimated what each rule costs (its own seconds, and
+those of the features it has to compute) and which pages it rejects. Rules are then put in order one by one: next comes the rule
+with the most rejections per cost among the pages that no rule before it rejects, where a feature that a rule
+before it has computed costs nothing any more. A document leaves at the first rule that rejects it. The
+order changes what a verdict costs, never the verdict.
 """
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlore.llm.shared import batches
+from fieldlore.llm.shared import batches, by_place, col, without
 
 SYMBOLS = "#*$%&|<>"
 BLANK = " \t\n\v\f\r"
@@ -26,6 +28,13 @@ BLANK = " \t\n\v\f\r"
 SAMPLE = 2000
 
 
+@lru_cache(maxsize=1)
+def cases() -> np.ndarray:
+    """For each code point 2 for a capital letter (category Lu), 1 for another letter (L), 0 for the rest."""
+    kind = map(unicodedata.category, map(chr, range(0x110000)))
+    return np.fromiter((2 if k == "Lu" else k[0] == "L" for k in kind), "u1", 0x110000)
+
+
 class Page:
     """A text whose features are computed when a rule first asks for them. Null counts as empty."""
 
@@ -76,94 +85,161 @@ class Page:
             cover[twice + k] = True
         return int(cover.sum())
 
+    @cached_property
+    def case_counts(self) -> tuple[int, int]:
+        """(letters, capital letters)."""
+        codes = np.frombuffer(self.text.encode("utf-32-le", "replace"), "<u4")
+        n = np.bincount(cases()[codes], minlength=3)
+        return int(n[1] + n[2]), int(n[2])
+
+    @cached_property
+    def n_marks(self) -> int:
+        return self.text.count("!")
+
     @property
     def base_failed(self) -> bool:
-        return self.n_words < 50 or 100 * self.n_repeat_words > 50 * self.n_words
+        return any(r.rejects(self) for r in BASE)
 
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule and the features of a page that it asks for."""
+
     name: str
+    needs: tuple[str, ...]
     rejects: Callable[[Page], bool]
 
 
-def _upper(p: Page) -> bool:
-    letters = sum(map(str.isalpha, p.text))
-    return 2 * sum(map(str.isupper, p.text)) > letters
-
-
+#: The rules that the base verdict consists of.
+BASE = (
+    Rule("too_short", ("n_words",), lambda p: p.n_words < 50),
+    Rule("repetition", ("n_words", "n_repeat_words"), lambda p: 100 * p.n_repeat_words > 50 * p.n_words),
+)
 RULES = (
-    Rule("too_short", lambda p: p.n_words < 50),
-    Rule("repetition", lambda p: 100 * p.n_repeat_words > 50 * p.n_words),
-    Rule("symbols", lambda p: 10 * p.n_symbols > p.n_words),
-    Rule("shouting", _upper),
-    Rule("exclaiming", lambda p: 10 * p.text.count("!") > 3 * p.n_words),
-    Rule("duplicate_lines", lambda p: 10 * p.n_dup_lines > 4 * len(p.lines)),
-    Rule("word_length", lambda p: not 2 * p.n_words <= p.word_chars <= 20 * p.n_words),
+    *BASE,
+    Rule("symbols", ("n_words", "n_symbols"), lambda p: 10 * p.n_symbols > p.n_words),
+    Rule("shouting", ("case_counts",), lambda p: 2 * p.case_counts[1] > p.case_counts[0]),
+    Rule("exclaiming", ("n_words", "n_marks"), lambda p: 10 * p.n_marks > 3 * p.n_words),
+    Rule("duplicate_lines", ("lines", "n_dup_lines"), lambda p: 10 * p.n_dup_lines > 4 * len(p.lines)),
+    Rule("word_length", ("n_words", "word_chars"), lambda p: not 2 * p.n_words <= p.word_chars <= 20 * p.n_words),
 )
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+@dataclass(frozen=True)
+class Costs:
+    """What a sample says: seconds a page of each feature and of each rule's own test, and how many pages each set of rules rejects."""
+
+    features: dict[str, float]
+    tests: dict[str, float]
+    rejected: dict[frozenset, int]
+
 
+def features_of(rules: Iterable[Rule]) -> list[str]:
+    """Features in an order in which none is computed while another is measured: words and lines come first."""
+    needed = list(dict.fromkeys(n for r in rules for n in r.needs))
+    return [*(n for n in ("words", "n_words", "lines") if n in needed or n == "words"), *(n for n in needed if n not in ("words", "n_words", "lines"))]
 
-def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: int = SAMPLE) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) from about sample documents, in the order in which rules should run."""
+
+def measure(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample: int = SAMPLE) -> Costs:
+    """Costs on about sample documents of df (by hash of the text, so that repeated texts are taken together; all of a small table). An empty table costs and rejects nothing."""
     batches(df.sparkSession)
     n = df.count()
     share = min(1.0, sample / max(1, n))
-    some = df.select(text).where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    some = df.select(text).where(F.pmod(F.xxhash64(col(text)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    names = features_of(rules)
 
-    def measure(parts):
-        spent, hit, seen = [0.0] * len(rules), [0] * len(rules), 0
+    def run(parts):
+        spent, seen = np.zeros(len(names) + len(rules)), {}
         for b in parts:
             for t in b.column(0).to_pylist():
-                seen += 1
+                p, at = Page(t), 0
+                for name in names:
+                    began = time.perf_counter()
+                    getattr(p, name)
+                    spent[at] += time.perf_counter() - began
+                    at += 1
+                hit = 0
                 for k, r in enumerate(rules):
-                    p, began = Page(t), time.perf_counter()
-                    hit[k] += bool(r.rejects(p))
-                    spent[k] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array(spent), pa.array(hit, pa.int64()), pa.array([seen] * len(rules), pa.int64())], names=["k", "spent", "hit", "seen"])
-
-    got = {r.k: r for r in some.mapInArrow(measure, "k int, spent double, hit bigint, seen bigint").groupBy("k").agg(*(F.sum(c).alias(c) for c in ("spent", "hit", "seen"))).collect()}
-    out = []
-    for k, r in enumerate(rules):
-        g = got.get(k)
-        out.append((r.name, g.spent / g.seen if g and g.seen else 0.0, g.hit / g.seen if g and g.seen else 0.0))
-    return sorted(out, key=lambda x: (-x[2] / max(x[1], 1e-9), x[0]))
+                    began = time.perf_counter()
+                    hit |= bool(r.rejects(p)) << k
+                    spent[at] += time.perf_counter() - began
+                    at += 1
+                seen[hit] = seen.get(hit, 0) + 1
+        rows = [(-1 - k, 0, x) for k, x in enumerate(spent.tolist())] + [(h, c, 0.0) for h, c in seen.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["k", "n", "spent"])
+
+    # a row for each feature and rule, and for each set of rules that rejects a page of the sample
+    got = some.mapInArrow(run, "k bigint, n bigint, spent double").groupBy("k").agg(F.sum("n").alias("n"), F.sum("spent").alias("spent")).collect()
+    pages = max(1, sum(r.n for r in got if r.k >= 0))
+    each = {-1 - r.k: r.spent / pages for r in got if r.k < 0}
+    sets = {frozenset(rules[i].name for i in range(len(rules)) if r.k >> i & 1): r.n for r in got if r.k >= 0}
+    return Costs({x: each.get(k, 0.0) for k, x in enumerate(names)}, {r.name: each.get(len(names) + k, 0.0) for k, r in enumerate(rules)}, sets)
+
+
+def arrange(costs: Costs, rules: tuple[Rule, ...] = RULES, paid: Iterable[str] = ()) -> list[tuple[str, float, float]]:
+    """(rule, marginal seconds a page, share rejected of the pages left) in the order in which rules should run.
+
+    paid names features that are there anyway. Ties go to the first rule by name; rules that reject nothing more come last.
+    """
+    there, left, out, rest = {"words", *paid}, dict(costs.rejected), [], {r.name: r for r in rules}
+    while rest:
+        pages = sum(left.values())
+        choice = []
+        for r in rest.values():
+            cost = costs.tests[r.name] + sum(costs.features.get(n, 0.0) for n in r.needs if n not in there)
+            share = sum(n for s, n in left.items() if r.name in s) / pages if pages else 0.0
+            choice.append((-share / max(cost, 1e-9), r.name, cost, share))
+        _, name, cost, share = min(choice)
+        out.append((name, cost, share))
+        there |= set(rest.pop(name).needs)
+        left = {s: n for s, n in left.items() if name not in s}
+    return out
+
+
+def in_order(df: DataFrame, rules: tuple[Rule, ...], order: list[str] | None, text: str, paid: Iterable[str] = ()) -> list[Rule]:
+    by_name = {r.name: r for r in rules}
+    if order is None:
+        order = [x[0] for x in arrange(measure(df, rules, text), rules, paid)]
+    return [by_name[n] for n in order if n in by_name]
 
 
 def cascade(df: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Each document's verdict, with what the base rules count.
 
-    Returns the kept columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and
-    kept. A null text has no words and fails. Without an order, it is estimated from df.
+    Returns the kept columns (but those with a name of its own) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed and kept. As these counts are wanted for every document, they count as paid for in the order; the base rules
+    come first, and the others run only on what these leave, up to the first that rejects. Without an order, it is estimated from df.
+    A null or empty text has no words and fails; whole texts of any length are read; repeated rows each get a row; an empty table has none.
     """
     batches(df.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
-    order = order or [x[0] for x in estimate(df, rules, text)]
-    by_name = {r.name: r for r in rules}
-    ordered = [by_name[n] for n in order]
-    base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in base), "base_failed boolean, kept boolean"])
+    others = tuple(r for r in rules if r not in BASE)
+    ordered = in_order(df, others, order, text, COUNTS)
+    keep = without(["doc_id"] if keep is None else keep, *COUNTS, "base_failed", "kept")
+    fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} bigint" for c in COUNTS), "base_failed boolean, kept boolean"])
 
     def run(parts):
         for b in parts:
             out = []
             for t in b.column(len(keep)).to_pylist():
                 p = Page(t)
-                kept = not p.base_failed and not any(r.rejects(p) for r in ordered)
-                out.append((*(getattr(p, c) for c in base), p.base_failed, kept))
-            cols = list(zip(*out, strict=True))
+                failed = p.base_failed
+                out.append((*(getattr(p, c) for c in COUNTS), failed, not failed and not any(r.rejects(p) for r in ordered)))
+            cols = list(zip(*out, strict=True)) or [()] * 7
             arrays = [pa.array(c, pa.int64()) for c in cols[:5]] + [pa.array(c, pa.bool_()) for c in cols[5:]]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *arrays], names=[*keep, *base, "base_failed", "kept"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *arrays], names=[*keep, *COUNTS, "base_failed", "kept"])
 
-    return df.select(*keep, text).mapInArrow(run, fields)
+    return by_place(df.select(*map(col, keep), col(text))).mapInArrow(run, fields)
 
 
 def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None, text: str = "text") -> DataFrame:
-    """The rows of df that no rule rejects, with all their columns. Here a rejected document costs no more than the rules up to the one that rejects it."""
+    """The rows of df that no rule rejects, with all their columns, whatever they are called.
+
+    A rejected document costs no more than the rules up to the one that rejects it. A null or empty text has no words and is
+    too short; whole texts of any length are read; repeated rows share a verdict; an empty table stays empty.
+    """
     batches(df.sparkSession)
-    order = order or [x[0] for x in estimate(df, rules, text)]
-    by_name = {r.name: r for r in rules}
-    ordered = [by_name[n] for n in order]
-    at = df.columns.index(text)
+    ordered, at = in_order(df, rules, order, text), df.columns.index(text)
 
     def run(parts):
         for b in parts:
@@ -173,7 +249,8 @@ def keep_good(df: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] |
                 keep.append(not any(r.rejects(p) for r in ordered))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    plain = by_place(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
 
 
 #: DuckDB SQL for cascade() with RULES.

@@ -13,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlore.llm.shared import batches, drop, save
+from fieldlore.llm.shared import batches, by_place, col, drop, fresh, save, without
 from fieldlore.llm.words import NO_LETTER, Words, chunks
 
 BITS = 22
-#: Bytes of a word that make a term of their own, besides the whole word.
+#: Lengths in bytes of a longer word's starts that are terms besides the whole word: what a term is, at every size of the tables.
 PREFIXES = (4, 5, 6)
-#: Labelled rows to fit on (about; by hash of the id), least toxic documents with a term, terms, factors, rounds.
-ROWS, SUPPORT, TERMS, FACTORS, EPOCHS = 12_000, 5, 2048, 4, 40
+#: The documented bounds of the fit: labelled rows (about; by hash of the id), least toxic documents of the sample with a term, terms that the machine has at most
+#: (the best ones), least log-likelihood gain of a term. Whole texts are read, and each text is scored with all terms that the machine has. Factors and rounds.
+ROWS, SUPPORT, TERMS, GAIN, FACTORS, EPOCHS = 12_000, 5, 2048, 3.0, 4, 40
 
 
 def terms(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +91,23 @@ class Machine:
         return self
 
 
-def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS) -> tuple[np.ndarray, Machine]:
-    """The slot of each hashed term (-1: none) and the machine. Rows without a label or key don't count; of a table without both classes only the bias is learnt."""
+def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = ROWS, support: int = SUPPORT, most: int = TERMS, gain: float = GAIN) -> tuple[np.ndarray, Machine]:
+    """The slot of each hashed term (-1: none) and the machine, fitted on about rows labelled documents.
+
+    A term is taken if support toxic documents of the sample have it and its share among toxic ones is so much greater than among clean ones that
+    the log-likelihood gained exceeds gain; the best ones are, up to most, ties by hash. Rows without a label or key don't count; of several labels of
+    one key the greatest does; repeated documents count each time; null and empty texts have no terms. Of a table without both classes only the bias
+    is learnt, of an empty one nothing (all scores are 0.5).
+    """
     spark = df.sparkSession
     batches(spark)
-    named = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    (own,) = fresh("key")
+    named = labels.where(col(label).isNotNull() & col(key).isNotNull()).groupBy(col(key).alias(own)).agg(F.max(col(label)).cast("int").alias("y"))
     n = named.count()
     share = min(1.0, rows / max(1, n))
-    named = named.where(F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = save(df.select(key, text).join(named, key).select(text, "y"), "labelled")
+    named = named.where(F.pmod(F.xxhash64(own), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    # about rows of them
+    sample = save(df.select(col(key).alias(own), col(text).alias("t")).join(F.broadcast(named), own).select("t", "y"), "labelled")
 
     def toxic_terms(parts):
         seen = np.zeros(1 << BITS, "i4")
@@ -109,8 +118,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         k = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(seen[k], pa.int32())], names=["term", "n"])
 
-    positive = sample.where("y = 1").mapInArrow(toxic_terms, "term bigint, n int").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).toPandas()
-    slot = np.full(1 << BITS, -1, "i2" if TERMS < 1 << 15 else "i4")
+    positive = sample.where("y = 1").mapInArrow(toxic_terms, "term bigint, n int").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support).toPandas()
+    slot = np.full(1 << BITS, -1, "i2" if most < 1 << 15 else "i4")
     counts = sample.groupBy("y").count().collect()
     size = {r.y: r["count"] for r in counts}
     machine = Machine(0)
@@ -135,8 +144,8 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         p, q = (both.n + 0.5) / (size[1] + 1), (both.m + 0.5) / (size[0] + 1)
         # the log-likelihood ratio of the term's share among toxic documents against its share among clean ones
         both["gain"] = np.where(p > q, both.n * np.log(p / q), 0)
-        best = both.sort_values(["gain", "term"], ascending=[False, True]).head(TERMS)
-        best = best[best.gain > 3].term.to_numpy()
+        best = both.sort_values(["gain", "term"], ascending=[False, True]).head(most)
+        best = best[best.gain > gain].term.to_numpy()
         slot[best] = np.arange(len(best))
         machine = Machine(len(best))
         sent = spark.sparkContext.broadcast(slot)
@@ -150,7 +159,7 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     out += [x.tolist() for x in np.split(what, np.searchsorted(who, np.arange(1, z - a)))]
                 yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.list_(pa.int32()))], names=["y", "x"])
 
-        # ROWS documents at most, each with TERMS terms at most
+        # about rows documents, each with most terms at most
         got = sample.mapInArrow(features, "y int, x array<int>").toPandas()
         got["k"] = [tuple(x) for x in got.x]
         got = got.sort_values(["y", "k"])
@@ -171,9 +180,12 @@ def slots(texts: list[str | None], slot: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def score(df: DataFrame, slot: np.ndarray, machine: Machine, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """score (0 to 1) and predicted (1 from 0.5 on) of every whole text. Null and empty texts have the bias alone; repeated rows each get a row."""
+    """score (0 to 1) and predicted (1 from 0.5 on) of every whole text.
+
+    Null and empty texts have the bias alone; repeated rows each get a row, an empty table none. Kept columns with one of the two names are replaced.
+    """
     batches(df.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = without(["doc_id"] if keep is None else keep, "score", "predicted")
     sent = df.sparkSession.sparkContext.broadcast((slot, machine))
     fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int"
 
@@ -186,13 +198,14 @@ def score(df: DataFrame, slot: np.ndarray, machine: Machine, text: str = "text",
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("i4"))], names=[*keep, "score", "predicted"])
 
-    return df.select(*keep, text).mapInArrow(run, fields)
-
-
+    return by_place(df.select(*map(col, keep), col(text))).mapInArrow(run, fields)
 
 
 def remove_toxic(df: DataFrame, slot: np.ndarray, machine: Machine, text: str = "text") -> DataFrame:
-    """The rows of df with a score below 0.5, with all their columns."""
+    """The rows of df with a score below 0.5, with all their columns, whatever they are called.
+
+    Null and empty texts have the bias alone; whole texts of any length are read; repeated rows share a verdict; an empty table stays empty.
+    """
     batches(df.sparkSession)
     sent, at = df.sparkSession.sparkContext.broadcast((slot, machine)), df.columns.index(text)
 
@@ -204,4 +217,5 @@ def remove_toxic(df: DataFrame, slot: np.ndarray, machine: Machine, text: str =
                 out.append(machine.score(z - a, *slots(texts[a:z], slot)) < 0.5)
             yield b.filter(pa.array(np.concatenate(out) if out else np.zeros(0, bool)))
 
-    return df.mapInArrow(run, df.schema)
+    plain = by_place(df)
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
