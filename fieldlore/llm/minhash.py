@@ -5,38 +5,34 @@ intervals (0, 1], (1, 2], (2, 4], (4, 8], ...; each has a Poisson process of its
 whose points have a time, a register and, within the interval, a weight. A shingle of count c takes the points of
 weight up to c, so the points of the smaller of two counts are among those of the larger. A register holds the
 earliest point that falls on it; two documents agree on a register with the probability of their weighted Jaccard
-similarity. Points later than a time by which all registers are full are never made.
+similarity. As soon as all registers of a document are full, points later than the latest of them are never made.
 
 Equal multisets are one class from the start. Signatures of class representatives are cut into bands; in a bucket of
 equal bands, every member is verified against the smallest one, which gives most links in few pairs. What then is
-still apart in a bucket is compared across components, so that no linked pair that shares a band is lost
-while the pairs within a component are never listed.
+still apart in a bucket is compared across components by its multisets, so that no linked pair that shares a band is
+lost while the pairs within a component are never listed. Two bounds that can't err spare comparisons: sizes that differ
+too much, and, as one less the similarity is a distance, the triangle inequality by way of a few pivots.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlore.llm.graph import components
-from fieldlore.llm.shared import batches, drop, save
+from fieldlore.llm.graph import components, joined_by
+from fieldlore.llm.shared import batches, col, drop, fresh, lookup, save, wanted_rows
 from fieldlore.llm.words import Words, chunks, mix
 
 #: Words of a shingle, registers, registers of a band, similarity of a link.
 WIDTH, REGISTERS, BAND, SIMILARITY = 5, 280, 5, 0.8
-#: How much the signatures' estimate may fall short before an exact check is left out: five standard deviations.
-SLACK = 0.12
 #: Points aimed at beyond the mean number that fills all registers, per register.
 SPARE = 4.0
 CELLS = 1 << 20
-#: Rows of a block that is compared with another one.
-BLOCK = 256
+#: Rows of a block that is compared with another one, pivots of a block, and rounding allowed where a bound decides.
+BLOCK, PIVOTS, EPS = 128, 4, 1e-9
 
 
 def shingles(texts: list[str | None], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,8 +102,12 @@ def signatures(h: np.ndarray, count: np.ndarray, first: np.ndarray, registers: i
             s, d, lo, sp, lim, t = s[live], d[live], lo[live], sp[live], lim[live], t[live]
             r += b
             b = max(1, min(2 * b, 64, CELLS // max(1, len(s))))
-        empty = np.isinf(best).reshape(texts, registers).any(1)
-        left &= empty
+            if len(s):
+                # what comes after the latest register can't win any more
+                until = np.minimum(until, np.maximum(best.reshape(texts, registers).max(1), 0))
+                live = t < until[d]
+                s, d, lo, sp, lim, t = s[live], d[live], lo[live], sp[live], lim[live], t[live]
+        left &= np.isinf(best).reshape(texts, registers).any(1)
         until = np.where(left, 2 * until, until)
         again = np.repeat(left, registers)
         best[again], ident[again] = np.inf, 0
@@ -123,29 +123,50 @@ def band_hashes(sig: np.ndarray, band: int = BAND) -> np.ndarray:
     return acc
 
 
-@lru_cache(maxsize=64)
-def bag(text: str, width: int = WIDTH) -> Counter:
-    words = text.encode().split()
-    return Counter(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else Counter()
-
-
 def similarity(a: str, b: str) -> float:
     """Weighted Jaccard similarity of two texts' shingle multisets; 0 where one has no word."""
-    x, y = bag(a), bag(b)
-    if len(y) < len(x):
-        x, y = y, x
-    both = sum(min(n, y[s]) for s, n in x.items() if s in y)
-    total = x.total() + y.total() - both
-    return both / total if total else 0.0
+    bags = Bags([a, b])
+    return float(bags.similar(0, np.array([1]))[0]) if bags.size.all() else 0.0
+
+
+class Bags:
+    """Shingle multisets of texts, as sorted hashes with counts in one buffer."""
+
+    def __init__(self, texts: list[str | None]):
+        parts = [shingles(texts[a:z]) for a, z in chunks(texts)]
+        self.h = np.concatenate([p[0] for p in parts] or [np.zeros(0, "u8")])
+        self.count = np.concatenate([p[1] for p in parts] or [np.zeros(0, "i8")])
+        self.first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts] or [np.zeros(0, "i8")]))])
+        self.size = np.diff(np.concatenate([[0], np.cumsum(self.count)])[self.first])
+
+    def similar(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Similarity of bag k to others."""
+        own, n = self.h[self.first[k] : self.first[k + 1]], self.count[self.first[k] : self.first[k + 1]]
+        a, z = self.first[others], self.first[others + 1]
+        if not len(own) or not len(others):
+            return np.zeros(len(others))
+        who = np.repeat(np.arange(len(others)), z - a)
+        at = np.arange(len(who)) + np.repeat(a - np.concatenate([[0], np.cumsum(z - a)[:-1]]), z - a)
+        h = self.h[at]
+        place = np.searchsorted(own, h)
+        place[place == len(own)] = 0
+        hit = own[place] == h
+        both = np.bincount(who[hit], np.minimum(n[place[hit]], self.count[at[hit]]), len(others))
+        return both / np.maximum(self.size[k] + self.size[others] - both, 1)
+
+    def may_link(self, k: int, others: np.ndarray, least: float) -> np.ndarray:
+        """Others whose size lets the similarity be reached."""
+        n, m = self.size[k], self.size[others]
+        return (np.minimum(n, m) >= (least - EPS) * np.maximum(n, m)) & (m > 0)
 
 
 def sign(df: DataFrame, key: str, text: str) -> DataFrame:
-    """id, n (shingles), f1 and f2 (fingerprint of the multiset), bands and registers (8 bits each) of every row."""
+    """id, n (shingles), f1 and f2 (fingerprint of the multiset) and bands of every row."""
 
     def run(parts):
         for b in parts:
             ids, texts = b.column(0), b.column(1).to_pylist()
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], []]
             for a, z in chunks(texts):
                 h, count, first = shingles(texts[a:z])
                 sig = signatures(h, count, first)
@@ -155,128 +176,120 @@ def sign(df: DataFrame, key: str, text: str) -> DataFrame:
                 for k, e in enumerate(ends):
                     cols[1 + k] += (e[first[1:]] - e[first[:-1]]).astype("i8").tolist()
                 cols[3] += list(band_hashes(sig).astype("i8"))
-                cols[4] += [x.tobytes() for x in (mix(sig) >> np.uint64(56)).astype("u1")]
             # reduceat gives the next text's value for an empty range
             n = [x if cols[1][i] or cols[2][i] else 0 for i, x in enumerate(cols[0])]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.binary())], names=["id", "n", "f1", "f2", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "bands"])
 
-    return df.select(F.col(key).cast("bigint").alias("id"), text).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
+    return df.select(col(key).cast("bigint").alias("id"), col(text)).mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>")
 
 
-def verify(pairs: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts have at least that similarity. Each side's text is joined to the pair."""
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    texts = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).join(wanted, "k", "left_semi")
-    joined = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+def verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts (id, t) have at least that similarity. A text a with many pairs is sent once for each block of them."""
+    total = pairs.count()
+    blocks = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = lookup(pairs, blocks, ["a"], total).select("a", "b", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("s"))
+    centres = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s")).join(texts.toDF("a", "ta"), "a")
+    joined = dealt.join(texts.toDF("b", "tb"), "b").join(centres, ["a", "s"]).select("a", "b", "ta", "tb")
 
     def run(parts):
         for batch in parts:
-            keep = [bool(x and y) and similarity(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            number: dict[str, int] = {}
+            pairs = [(number.setdefault(x, len(number)), number.setdefault(y, len(number))) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            bags = Bags(list(number))
+            # rows come in the order of a
+            keep, k = np.zeros(len(pairs), bool), 0
+            while k < len(pairs):
+                z = k
+                while z < len(pairs) and pairs[z][0] == pairs[k][0]:
+                    z += 1
+                keep[k:z] = bags.similar(pairs[k][0], np.array([y for _, y in pairs[k:z]])) >= least
+                k = z
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def near_registers(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of y agree with row x in so many registers that the similarity may be reached."""
-    return np.count_nonzero(y == x, 1) >= (least - SLACK) * y.shape[1]
-
-
-def registers_of(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "u1").reshape(len(column), -1)
-
-
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sorted bags of shingle hashes."""
-    if len(b[0]) < len(a[0]):
-        a, b = b, a
-    at = np.searchsorted(b[0], a[0])
-    at[at == len(b[0])] = 0
-    hit = b[0][at] == a[0]
-    both = np.minimum(a[1][hit], b[1][at[hit]]).sum()
-    return both / (a[1].sum() + b[1].sum() - both)
-
-
-def links_of_few(few: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+def links_of_few(few: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that connect, among rows (band, id, c) of a band, whatever components their links connect.
 
     Large bands are compared in blocks of BLOCK by BLOCK rows, so that no group grows with its band. A pair is looked at
-    in the first band that it shares and nowhere else; registers choose whom the exact comparison gets; no
-    pair leaves but the links.
+    in the least band that it shares and nowhere else; no pair leaves but the links.
     """
-    sizes = few.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band", "k")
-    rows = few.join(sizes, "band").withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    sizes = few.groupBy("band").agg(F.count("*").alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("band", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
+    rows = save(lookup(few, sizes, ["band"], few.count()).select("band", "id", "c", "k", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("i")), "rows")
+    # an id has no more bands than a signature
+    facts = rows.groupBy("id").agg(F.sort_array(F.collect_set("band")).alias("bands"))
     other = F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o")
     dealt = rows.select("band", "id", "c", "i", other).select("band", "id", "c", "i", F.least("i", "o").alias("p"), F.greatest("i", "o").alias("q"))
-    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(rows.select("id").distinct(), "id", "left_semi")
-    dealt = dealt.join(reps.select("id", "sig", "bands"), "id").join(texts, "id")
+    ids = save(rows.select("id").distinct(), "wanted")
+    dealt = dealt.join(facts.join(wanted_rows(texts, "id", ids, ids.count()), "id"), "id")
 
     def compare(key, g):
-        sig, ids, c, i = registers_of(g.sig), g.id.to_numpy(), g.c.to_list(), g.i.to_numpy()
-        bands, texts, bags, up, out = np.stack(g.bands.to_list()), g.t.to_list(), {}, {}, []
-        here = int(np.flatnonzero(bands[0] == key[0])[0])
+        ids, c, i, up, out = g.id.to_numpy(), g.c.to_list(), g.i.to_numpy(), {}, []
+        bags, lower = Bags(g.t.to_list()), [set(b[: np.searchsorted(b, key[0])].tolist()) for b in g.bands]
 
         def root(x):
             while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
                 x = up[x]
             return x
 
-        def bag_of(k):
-            if k not in bags:
-                bags[k] = shingles([texts[k]])[:2]
-            return bags[k]
-
         for k in range(len(g)):
             # a pair of one block is seen in that block's own group alone
-            near = np.flatnonzero(near_registers(sig[k], sig, least) & (ids > ids[k]) & ((i != i[k]) | (key[1] == key[2])))
-            for y in near[~(bands[near, :here] == bands[k, :here]).any(1)]:
-                if root(c[k]) != root(c[y]) and overlap(bag_of(k), bag_of(y)) >= least:
+            near = np.flatnonzero((ids > ids[k]) & ((i != i[k]) | (key[1] == key[2])))
+            near = near[bags.may_link(k, near, least)]
+            near = np.array([y for y in near.tolist() if root(c[y]) != root(c[k]) and lower[k].isdisjoint(lower[y])], "i8")
+            for y in near[bags.similar(k, near) >= least]:
+                if root(c[k]) != root(c[y]):
                     up[root(c[k])] = root(c[y])
                     out.append((ids[k], ids[y]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("band", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct()
+    out = save(dealt.groupBy("band", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct(), "links")
+    drop(few.sparkSession, rows, ids)
+    return out
 
 
-def links_to_many(asked: DataFrame, found: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str, least: float) -> DataFrame:
+def links_to_many(asked: DataFrame, found: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """One link (a, b), if there is any, of each asked (x, main) with each block of that component's members.
 
     Members and askers are dealt in blocks, each pair of blocks to a group of its own; a text is sent once for each block
-    it meets. Registers choose whom an asker is compared with exactly, the most agreeing first, up to the first link.
+    it meets. Sizes, and distances to a block's pivots, say which members an asker can't be linked with; the rest is compared.
     """
     asked = asked.distinct()
-    size = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ny"))
-    shape = asked.groupBy(F.col("main").alias("component")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nx")).join(size, "component")
+    size = found.groupBy("component").agg(F.count("*").alias("members"))
+    shape = asked.groupBy(F.col("main").alias("component")).agg(F.count("*").alias("askers")).join(size, "component")
+    shape = save(shape.withColumn("nx", F.ceil(F.col("askers") / BLOCK).cast("int")).withColumn("ny", F.ceil(F.col("members") / BLOCK).cast("int")), "shape")
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    members = found.join(shape, "component").select("component", F.col("node").alias("id"), "nx", "ny").select("component", "id", F.lit(False).alias("asks"), every("nx").alias("p"), block("ny").alias("q"))
-    askers = asked.select(F.col("main").alias("component"), F.col("x").alias("id")).join(shape, "component").select("component", "id", F.lit(True).alias("asks"), block("nx").alias("p"), every("ny").alias("q"))
-    rows = members.union(askers)
-    texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).join(rows.select("id").distinct(), "id", "left_semi")
-    dealt = rows.join(reps.select("id", "sig"), "id").join(texts, "id")
+    members = lookup(found.select("component", F.col("node").alias("id")), shape, ["component"], found.count(), "members")
+    members = members.select("component", "id", F.lit(False).alias("asks"), every("nx").alias("p"), block("ny").alias("q"))
+    askers = lookup(asked.select(F.col("main").alias("component"), F.col("x").alias("id")), shape, ["component"], asked.count(), "askers")
+    askers = askers.select("component", "id", F.lit(True).alias("asks"), block("nx").alias("p"), every("ny").alias("q"))
+    dealt = members.union(askers)
+    ids = save(dealt.select("id").distinct(), "wanted")
+    dealt = dealt.join(wanted_rows(texts, "id", ids, ids.count()), "id")
 
     def compare(g):
         asks = g.asks.to_numpy()
         if asks.all() or not asks.any():
             return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sig, ids, texts, bags, out = registers_of(g.sig), g.id.to_numpy(), g.t.to_list(), {}, []
-
-        def bag_of(k):
-            if k not in bags:
-                h, c, _ = shingles([texts[k]])
-                bags[k] = (h, c)
-            return bags[k]
-
+        ids, bags, out = g.id.to_numpy(), Bags(g.t.to_list()), []
         theirs = np.flatnonzero(~asks)
+        pivots = theirs[:: max(1, len(theirs) // PIVOTS)][:PIVOTS]
+        known = 1 - np.stack([bags.similar(p, theirs) for p in pivots])
         for k in np.flatnonzero(asks):
-            near = theirs[near_registers(sig[k], sig[theirs], least)]
-            for y in near[np.argsort(-np.count_nonzero(sig[near] == sig[k], 1), kind="stable")]:
-                if overlap(bag_of(k), bag_of(y)) >= least:
-                    out.append((min(ids[k], ids[y]), max(ids[k], ids[y])))
-                    break
+            # |d(x, p) - d(p, y)| is at most d(x, y)
+            far = np.abs(known - (1 - bags.similar(k, pivots))[:, None]).max(0)
+            near = theirs[(far <= 1 - least + EPS) & bags.may_link(k, theirs, least)]
+            hit = near[bags.similar(k, near) >= least]
+            if len(hit):
+                out.append((min(ids[k], ids[hit[0]]), max(ids[k], ids[hit[0]])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("component", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct()
+    out = save(dealt.groupBy("component", "p", "q").applyInPandas(compare, "a bigint, b bigint").distinct(), "links")
+    drop(found.sparkSession, shape, ids)
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -284,52 +297,75 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", leas
 
     class_id is the smallest id with the same shingle multiset, component_id the smallest id reachable by links of at
     least that similarity; kept marks the rows whose id is their component's. A document without words
-    (null, empty, white space) links with nothing and is kept. Rows of one id count as linked. A row without an id has null
-    ids and is kept.
+    (null, empty, white space) links with nothing but other rows of its id. Rows of one id count as linked, whatever their texts. A row
+    without an id has null ids and is kept. Whole texts of any length count; ties don't arise, as smallest ids decide; an
+    empty table gives no rows; other columns, whatever they are called, don't matter.
     """
     spark = df.sparkSession
     batches(spark)
-    signed = save(sign(df.where(F.col(key).isNotNull()), key, text), "signed")
+    signed = save(sign(df.where(col(key).isNotNull()), key, text), "signed")
+    total = signed.count()
     print_of = ["n", "f1", "f2"]
-    classes = signed.where("n > 0").groupBy(*print_of).agg(F.min("id").alias("class_id"))
-    reps = save(signed.join(classes.withColumnRenamed("class_id", "id"), [*print_of, "id"], "left_semi").select("id", "bands", "sig"), "representatives")
-    member = save(signed.select("id", *print_of).join(classes, print_of, "left").select("id", F.coalesce("class_id", "id").alias("class_id")), "members")
-    drop(spark, signed)
-    rows = reps.select("id", F.explode("bands").alias("band"))
-    buckets = save(rows.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("far"), F.count("*").alias("n")).where("center <> far").drop("far"), "buckets")
-    star = save(rows.join(buckets, "band").where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    links = save(verify(star, df, key, text, least), "links")
-    found = save(components(links), "components")
+    classes = save(signed.where("n > 0").groupBy(*print_of).agg(F.min("id").alias("class_id"), F.count("*").alias("rows")), "prints")
+    # rows that another one stands for; only their numbers travel
+    copies = lookup(signed.where("n > 0").select("id", *print_of), classes.where("rows > 1"), print_of, total, "rows").where("id <> class_id").select("id", *print_of)
+    reps = signed.where("n > 0").join(copies, ["id", *print_of], "left_anti")
+    rows = save(reps.select("id", F.explode("bands").alias("band")), "bands")
+    buckets = rows.groupBy("band").agg(F.min("id").alias("center"), F.max("id").alias("far"), F.count("*").alias("n")).where("center <> far").drop("far")
+    buckets = save(buckets, "buckets")
+    # most bands are one document's alone, and are left behind here
+    met = save(lookup(rows, buckets, ["band"], rows.count()), "buckets")
+    star = save(met.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    some = star.select(F.col("a").alias("id")).union(star.select("b")).distinct()
+    some = save(some, "wanted")
+    texts = save(wanted_rows(df.select(col(key).cast("bigint").alias("id"), col(text).alias("t")), "id", some, some.count()), "texts")
+    links = save(verify(star, texts, least), "links")
+    found = first = save(components(links), "components")
     # what is still apart in a bucket
     label = F.coalesce("component", "id").alias("c")
-    inside = rows.join(buckets.where("n > 2").select("band"), "band").join(found, F.col("id") == F.col("node"), "left").select("band", "id", label)
-    groups = inside.groupBy("band", "c").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    apart = save(inside.join(groups.select("band", "main"), "band").where("c <> main").select("band", "id", "c", "main"), "apart")
+    inside = save(met.where("n > 2").select("band", "id").join(found, F.col("id") == F.col("node"), "left").select("band", "id", label), "inside")
+    parts = inside.groupBy("band", "c").agg(F.count("*").alias("n"))
+    mains = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    apart = save(lookup(inside, mains, ["band"], inside.count()).where("c <> main").select("band", "id", "c", "main"), "apart")
     # a document without a link so far is a component of its own
     alone = apart.select("main").distinct().join(found.select(F.col("node").alias("main")), "main", "left_anti")
     whole = found.union(alone.select("main", F.col("main").alias("component")))
-    many = save(links_to_many(apart.select(F.col("id").alias("x"), "main"), whole, reps, df, key, text, least), "links")
+    many = links_to_many(apart.select(F.col("id").alias("x"), "main"), whole, texts, least)
     if not many.isEmpty():
-        found = save(components(links.union(many)), "components")
-    now = apart.select("band", "id").join(found, F.col("id") == F.col("node"), "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    few = save(links_of_few(now, reps, df, key, text, least), "links")
-    final = found if few.isEmpty() else save(components(links.union(many).union(few)), "components")
-    drop(spark, reps, buckets, star, apart)
-    # a class's rows of one id and other classes of that id are linked, too
-    out = member.join(final, F.col("class_id") == F.col("node"), "left").select(F.col("id").alias("doc_id"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    if df.where(F.col(key).isNull()).isEmpty():
-        return out
-    return out.union(df.where(F.col(key).isNull()).select(*[F.lit(None).cast("bigint")] * 3, F.lit(True)))
+        found = joined_by(found, many)
+    now = apart.select("band", "id").join(found, F.col("id") == F.col("node"), "left").select("band", "id", label)
+    now = save(now, "apart")
+    few = links_of_few(now, texts, least)
+    # classes of one id that has several texts
+    again = signed.where("n > 0").groupBy("id").agg(F.count_distinct(*print_of).alias("c")).where("c > 1").select("id")
+    again = save(signed.join(again, "id").join(classes, print_of).select(F.col("id").alias("a"), F.col("class_id").alias("b")), "links")
+    second = found
+    if not few.union(again).isEmpty():
+        found = joined_by(found, few.union(again))
+    named = classes.join(found, F.col("class_id") == F.col("node"), "left").select(*print_of, "class_id", "rows", F.coalesce("component", "class_id").alias("component_id"))
+    out = lookup(signed.where("n > 0").select("id", *print_of), named, print_of, total, "rows").select(F.col("id").alias("doc_id"), "class_id", "component_id")
+    # a row without words goes with the other rows of its id, if there are any
+    bare = signed.where("n = 0").select("id")
+    own = out.join(bare.distinct(), F.col("doc_id") == F.col("id"), "left_semi").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("component_id").alias("component_id"))
+    out = out.union(bare.join(own, F.col("id") == F.col("doc_id"), "left").select("id", F.coalesce("class_id", "id"), F.coalesce("component_id", "id")))
+    out = save(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "duplicates")
+    drop(spark, signed, classes, rows, buckets, met, some, inside, star, texts, links, apart, now, many, few, again, first, second, found)
+    return out.union(df.where(col(key).isNull()).select(*[F.lit(None).cast("bigint")] * 3, F.lit(True)))
 
 
 def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """df with one row of each group of near-duplicates, with all its columns."""
+    """df with one row of each group of near-duplicates, with all its columns, whatever they are called.
+
+    Rows as in near_duplicates(): the row with a group's smallest id stays; of several rows with that id the one whose text has the
+    smallest hash (of rows with equal texts, any one). Rows without an id all stay. An empty table stays empty.
+    """
+    (own,) = fresh("id")
     near = near_duplicates(df, key, text, least).where(F.col("doc_id").isNotNull())
-    gone = near.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    out = df.join(gone.where("NOT kept").select(F.col("doc_id").alias("_gone")), F.col(key).cast("bigint") == F.col("_gone"), "left_anti")
-    repeated = gone.where("kept AND n > 1").select(F.col("doc_id").alias("_gone"))
+    gone = near.groupBy(F.col("doc_id").alias(own)).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    same = col(key).cast("bigint") == F.col(own)
+    out = df.join(gone.where("NOT kept").select(own), same, "left_anti")
+    repeated = gone.where("kept AND n > 1").select(own)
     if repeated.isEmpty():
         return out
-    same = F.col(key).cast("bigint") == F.col("_gone")
-    return out.join(repeated, same, "left_anti").unionByName(out.join(repeated, same, "left_semi").dropDuplicates([key]))
+    several = out.join(repeated, same, "left_semi").groupBy(col(key).alias(own)).agg(F.min_by(F.struct(*map(col, df.columns)), F.xxhash64(col(text))).alias("row"))
+    return out.join(repeated, same, "left_anti").union(several.select("row.*"))

@@ -165,3 +165,24 @@ def get(path: str, at: int = 0, n: int | None = None) -> bytes:
     with store.open_input_file(p) as f:
         f.seek(at)
         return f.read(n)
+
+
+#: Bits of a sieve for each wanted key, about, and 32,768-bit pieces that it has at most (32 MB).
+SIEVE_BITS, SIEVE_PIECES = 16, 8192
+
+
+def wanted_rows(df: DataFrame, key: str, wanted: DataFrame, number: int) -> DataFrame:
+    """Rows of df whose key is among those of wanted (one column of that name and type, each of number keys once).
+
+    First through a sieve of one bit for each hash that a wanted key has, which every task gets and whose size is bounded, so that few of the
+    other rows are shuffled; then exactly.
+    """
+    pieces = min(SIEVE_PIECES, max(1, number * SIEVE_BITS >> 15))
+    piece, at, bits = fresh("piece", "at", "bits")
+    hashed = F.xxhash64(col(key))
+    with_place = lambda d: d.withColumns({piece: F.pmod(F.shiftright(hashed, 15), F.lit(pieces)), at: F.pmod(hashed, F.lit(1 << 15))})
+    made = with_place(wanted).groupBy(piece).agg(F.bitmap_construct_agg(at).alias(bits))
+    byte = F.conv(F.hex(F.substring(col(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    some = with_place(df).join(F.broadcast(made), piece).where(F.call_function("shiftright", byte, F.pmod(F.col(at), F.lit(8)).cast("int")).bitwiseAND(1) == 1)
+    # no semi-join: the optimizer would put that first
+    return some.select(*map(col, df.columns)).join(wanted, key).select(*map(col, df.columns))
