@@ -1,4 +1,4 @@
-"""BPE encoding and decoding over a contiguous rank array, and token counts without ids.
+"""BPE encoding and decoding over a contiguous rank array.
 
 ``MergeTable`` reads a vocabulary file in the JSON form of the tokenizers library. A short word is held as
 one list of parts (its boundaries) beside one list with the rank of each adjacent pair; the smallest rank is
@@ -21,9 +21,7 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections import Counter
 from functools import lru_cache
-from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import normalizers
 
-from fieldlore.llm.shared import batches
+from fieldlore.llm.shared import batches, by_place, col, without
 
 #: Symbols up to which the rank array is scanned.
 SHORT = 192
@@ -152,7 +150,6 @@ class MergeTable:
         self.pairs = PairTable(self.rank)
         self.new_id = np.array(self.made, "i4")
         self.words = Recent(self.word, table)
-        self.pieces = Recent(lambda p: len(self.parts(p)), table)
         self.marks = {m: self.word(m) for m in ".,"} if self.by_word else {}
 
     def normal(self, text: str) -> str:
@@ -207,8 +204,8 @@ class MergeTable:
                     heapq.heappush(heap, (q, x, ids[x], ids[y]))
         return [t for t, live in zip(ids, alive, strict=True) if live]
 
-    def merge_many(self, pieces: list[str]) -> list[np.ndarray]:
-        """Token ids of many pre-tokens, in their order."""
+    def merge_many(self, pieces: list[str], sizes: bool = False) -> list:
+        """Token ids of many pre-tokens, in their order, or only how many there are of each."""
         out: list = [None] * len(pieces)
         data = [p.encode() for p in pieces]
         size = np.fromiter(map(len, data), "i4", len(data))
@@ -216,7 +213,8 @@ class MergeTable:
             at = np.flatnonzero(size == n)
             if n > SHORT or len(at) < 16 or not self.whole:
                 for i in at.tolist():
-                    out[i] = np.array(self.parts(pieces[i]), "<u4")
+                    ids = self.parts(pieces[i])
+                    out[i] = len(ids) if sizes else np.array(ids, "<u4")
                 continue
             symbols = np.frombuffer(b"".join([data[i] for i in at.tolist()]), np.uint8).reshape(-1, n)
             ids = np.array(self.inner, "i4")[symbols]
@@ -226,8 +224,12 @@ class MergeTable:
                 low = ranks.min(1) if ranks.shape[1] else np.full(len(at), NO_RANK)
                 done = low == NO_RANK
                 if done.any():
-                    for i, row in zip(at[done].tolist(), ids[done].astype("<u4"), strict=True):
-                        out[i] = row
+                    if sizes:
+                        for i in at[done].tolist():
+                            out[i] = ids.shape[1]
+                    else:
+                        for i, row in zip(at[done].tolist(), ids[done].astype("<u4"), strict=True):
+                            out[i] = row
                     live = ~done
                     at, ids, ranks, low = at[live], ids[live], ranks[live], low[live]
                     if not len(at):
@@ -279,20 +281,20 @@ class MergeTable:
             learnt[w] = ids + marks[mark] if mark else ids
         words.add(learnt)
 
-    def learn_pieces(self, texts: list[str]) -> list[tuple[Counter, int]]:
-        """Pre-token frequencies of each text with its number of special strings; pieces of new pre-tokens are counted once, together."""
-        out, new = [], {}
-        for text in texts:
-            freq, known, at = Counter(), 0, 0
-            for m in self.specials.finditer(text or ""):
-                freq.update(self.pattern.findall(self.normal(text[at : m.start()])))
-                known, at = known + 1, m.end()
-            freq.update(self.pattern.findall(self.normal((text or "")[at:])))
-            out.append((freq, known))
-            new.update((p, None) for p in freq if p not in self.pieces and p not in self.pieces.old)
-        for p, ids in zip(new, self.merge_many(list(new)), strict=True):
-            self.pieces.keep(p, len(ids))
-        return out
+    def pre_tokens(self, text: str | None) -> tuple[list[str], int]:
+        """Pre-tokens of a text (null counts as empty) in their order, special strings left out, and how many of these there are."""
+        if not text:
+            return [], 0
+        out, known, at = [], 0, 0
+        for m in self.specials.finditer(text):
+            out += self.pattern.findall(self.normal(text[at : m.start()]))
+            known, at = known + 1, m.end()
+        rest = self.pattern.findall(self.normal(text[at:] if at else text))
+        return (out + rest if known else rest), known
+
+    def count_pieces(self, pieces: list[str]) -> list[int]:
+        """How many token ids each pre-token has."""
+        return self.merge_many(pieces, True)
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
@@ -309,11 +311,6 @@ class MergeTable:
                 ids[k] = self.words[words[k]]
         return [b"".join(x) if isinstance(x, list) else x for x in found]
 
-    def count_many(self, texts: list[str | None]) -> list[int]:
-        """Tokens of each text: its pre-token frequencies joined to the pieces of each distinct pre-token, and summed."""
-        look = self.pieces.__getitem__
-        return [known + sum(map(mul, map(look, freq), freq.values())) for freq, known in self.learn_pieces(texts)]
-
     def word(self, word: str) -> bytes:
         """Ids of a word without white space, as little-endian 32-bit integers."""
         return struct.pack("<%dI" % len(ids := [i for piece in self.pattern.findall(self.normal(word)) for i in self.parts(piece)]), *ids)
@@ -350,9 +347,6 @@ class MergeTable:
             return " ".join(tokens)
         return bytes(b for t in tokens for b in (t.encode() if t in self.special else map(self.bytes_of.__getitem__, t))).decode(errors="replace")
 
-    def count(self, text: str | None) -> int:
-        return self.count_many([text])[0]
-
 
 @lru_cache(maxsize=4)
 def merge_table(path: str, table: int = TABLE) -> MergeTable:
@@ -360,9 +354,10 @@ def merge_table(path: str, table: int = TABLE) -> MergeTable:
     return MergeTable(path, table)
 
 
-def _mapped(df: DataFrame, keep: list[str], text: str, fields: str, kernel) -> DataFrame:
-    """Columns keep of df and those of fields, which kernel(texts) gives as lists, batch by batch."""
+def mapped(df: DataFrame, keep: list[str], text: str, fields: str, kernel) -> DataFrame:
+    """Columns keep of df and those of fields, which kernel(texts) gives as lists, batch by batch; a kept column with the name of one of these is replaced."""
     batches(df.sparkSession)
+    keep = without(keep, *(f.split()[0] for f in fields.split(", ")))
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), fields])
 
     def run(parts):
@@ -370,67 +365,49 @@ def _mapped(df: DataFrame, keep: list[str], text: str, fields: str, kernel) -> D
             cols = kernel(b.column(len(keep)).to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), *cols.values()], names=[*keep, *cols])
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    return by_place(df.select(*map(col, keep), col(text))).mapInArrow(run, schema)
 
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Column ids array<bigint> beside the kept ones (all but the text by default). Null and empty texts give an empty array; rows are neither dropped nor merged."""
+    """Column ids array<bigint> beside the kept ones (all but the text by default; one called ids is replaced). Null and empty texts give an empty array; whole texts of any length are read; rows are neither dropped nor merged; an empty table stays empty."""
     keep = [c for c in df.columns if c != text] if keep is None else keep
 
     def kernel(texts):
         t = merge_table(tokenizer)
         return {"ids": pa.array([np.frombuffer(x, "<u4").astype("int64") for x in t.encode_many(texts)], pa.list_(pa.int64()))}
 
-    return _mapped(df, keep, text, "ids array<bigint>", kernel)
+    return mapped(df, keep, text, "ids array<bigint>", kernel)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
-    """Column decoded string beside the kept ones; a null array gives an empty string."""
+    """Column decoded string beside the kept ones (one of that name is replaced); a null or empty array gives an empty string."""
     keep = [c for c in df.columns if c != ids] if keep is None else keep
 
     def kernel(lists):
         t = merge_table(tokenizer)
         return {"decoded": pa.array([t.decode(np.array(x or [], "<u4").tobytes()) for x in lists], pa.string())}
 
-    return _mapped(df, keep, ids, "decoded string", kernel)
+    return mapped(df, keep, ids, "decoded string", kernel)
 
 
-def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, table: int = TABLE) -> DataFrame:
-    """Encodes and decodes every whole text in one pass, and returns n_tokens, ids_sha256 and decoded_sha256. A worker's table of words has table entries in each half.
+def bpe_round_trip(df: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None, table: int = TABLE, with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes every whole text in one pass, and returns n_tokens, ids_sha256 and decoded_sha256, and the ids on request. A worker's table of words has table entries in each half.
 
-    Null and empty texts have 0 tokens and the digest of the empty string; repeated rows each get a row.
+    Null and empty texts have 0 tokens and the digest of the empty string; repeated rows each get a row, an empty table none. Kept columns with one of these names are replaced.
     """
     keep = ["doc_id"] if keep is None else keep
 
     def kernel(texts):
         t = merge_table(tokenizer, table)
         ids = t.encode_many(texts)
+        more = {}
+        if with_ids:
+            place = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])])
+            more["ids"] = pa.ListArray.from_arrays(pa.array(place, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
         return {
             "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
             "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
             "decoded_sha256": pa.array([hashlib.sha256(t.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-        }
-
-    return _mapped(df, keep, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", kernel)
-
-
-def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """n_bytes, n_tokens and over_limit of every whole text, without materialising ids.
-
-    The pieces of a pre-token are counted once for each table of distinct pre-tokens, which a worker holds and
-    bounds at TABLE entries; each document's pre-token frequencies are joined to that table in place. A
-    table for the whole corpus would have to be shuffled against every (document, pre-token) pair, which is
-    more than the texts. Null and empty texts have 0 bytes and 0 tokens; repeated rows each get a row.
-    """
-    keep = ["doc_id"] if keep is None else keep
-
-    def kernel(texts):
-        t = merge_table(tokenizer)
-        n = t.count_many(texts)
-        return {
-            "n_bytes": pa.array([len(x.encode()) if x else 0 for x in texts], pa.int64()),
-            "n_tokens": pa.array(n, pa.int64()),
-            "over_limit": pa.array([x > limit for x in n], pa.bool_()),
-        }
+        } | more
 
-    return _mapped(df, keep, text, "n_bytes bigint, n_tokens bigint, over_limit boolean", kernel)
+    return mapped(df, keep, text, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, kernel)

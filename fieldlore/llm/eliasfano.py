@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import json
 import mmap
+import tempfile
 
 import numpy as np
 
+from fieldlore.llm.shared import get, plain
+
 U = np.uint64
 
 
@@ -82,18 +85,20 @@ class EliasFano:
         i = np.asarray(i, "i8")
         return ((self.select(i, False) - i).astype("u8") << U(self.bits) | self.lows(i)) + self.base
 
-    def lower_bound(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the first value not below x, whether it equals x): the successor search."""
+    def lower_bound(self, x: np.ndarray, first: np.ndarray | int = 0, last: np.ndarray | int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first value not below x, whether it equals x), each looked for at places first to last alone: the successor search."""
         x = np.asarray(x, "u8")
-        below, above = x < self.base, x > self.base + U(self.top)
-        y = np.where(below | above, U(0), x - self.base)
+        first = np.broadcast_to(np.asarray(first, "i8"), x.shape)
+        last = np.broadcast_to(np.asarray(self.n if last is None else last, "i8"), x.shape)
         if not self.n:
             return np.zeros(len(x), "i8"), np.zeros(len(x), bool)
+        below, above = x < self.base, x > self.base + U(self.top)
+        y = np.where(below | above, U(0), x - self.base)
         h = (y >> U(self.bits)).astype("i8")
         start = np.where(h > 0, self.select(np.maximum(h - 1, 0), True) - (h - 1), 0)
-        stop = self.select(h, True) - h
+        stop = np.clip(self.select(h, True) - h, first, last)
         want = y & U((1 << self.bits) - 1)
-        a, b = start, stop.copy()
+        a, b = np.clip(start, first, last), stop.copy()
         while (open_ := np.flatnonzero(a < b)).size:
             mid = (a[open_] + b[open_]) >> 1
             less = self.lows(mid) < want[open_]
@@ -103,7 +108,7 @@ class EliasFano:
         k = np.flatnonzero(found)
         found[k] = self.lows(a[k]) == want[k]
         found &= ~(below | above)
-        return np.where(below, 0, np.where(above, self.n, a)), found
+        return np.where(below, first, np.where(above, last, a)), found
 
 
 def pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -126,3 +131,13 @@ def unpack(path: str) -> dict[str, np.ndarray]:
         data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     n = int.from_bytes(data[:8], "little")
     return {k: np.frombuffer(data, d, m, 8 + n + at) for k, (d, m, at) in json.loads(data[8 : 8 + n]).items()}
+
+
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a file in the shared folder; of one in a store that can't be mapped, a copy without a name, which goes with the map."""
+    if local := plain(path):
+        return unpack(local)
+    with tempfile.NamedTemporaryFile() as f:
+        f.write(get(path))
+        f.flush()
+        return unpack(f.name)

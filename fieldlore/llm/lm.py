@@ -1,11 +1,12 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
 Level 1 has the hashes of all training tokens in order; a token's number is its place there. A node of level k is the
-number of its context (a node of level k - 1) beside the number of its last token; these pairs, in order, are one
-monotone sequence, in which the successors of a context lie together, as numbers relative to the context's own
-offset. Pointers, monotone as well, give where each context's successors begin. A level is
-cut into files by ranges of the sequence, so that the successors of a very common context may fill several; workers map the files
-and search them by arrays of queries. Every n-gram of the training texts is kept.
+number of its context (a node of level k - 1) beside the number of its last token, in the order of both. Pointers, a monotone
+sequence, give where each context's successors begin. The successors' numbers are made monotone, too: to each is added the
+last sum of the context before. So a node is looked for among the successors of its context alone, from one pointer to the next, as
+its token's number relative to the sum that the context begins with. A level is cut into files by ranges of its order, so that the
+successors of a very common context may fill several; workers map the files and search them by arrays of queries. Every n-gram of
+the training texts is kept.
 
 Probabilities are interpolated: P1(w) = (c + 0.1) / (N + 0.1 (V + 1)) and, for a context v,
 P(w | v) = max(c(v w) - D, 0) / c(v) + D T(v) / c(v) * P(w | shorter v), T being the number of distinct successors, which
@@ -29,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldlore.llm import eliasfano as ef
-from fieldlore.llm.shared import batches, get, make_dir, plain, put
+from fieldlore.llm.shared import batches, by_place, col, make_dir, put, size_of, without
 from fieldlore.llm.words import Words, chunks
 
 #: Discount, the query's order, logarithms' step, entries that a task sorts at once, characters that are looked up at once.
 DISCOUNT, ORDER, STEP, RUN, CHARS = 0.75, 3, 12 / 65535, 3_000_000, 3_000_000
+#: Bytes of input (as stored) for each file of a level, about: what a task merges grows with it, and files with the input.
+FILE_BYTES = 16 << 20
 ADD = 0.1
 #: The end of a text, as a hash that words don't get but by chance.
 END = np.uint64(0xE0D0F7EC5AFE57AB)
@@ -75,62 +78,87 @@ def total(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarra
     return keys[at], np.add.reduceat(counts.astype("i8"), at) if len(at) else np.zeros(0, "i8")
 
 
+def packed(context: np.ndarray, token: np.ndarray, width: int) -> np.ndarray | None:
+    """Pairs as single numbers, or None where 64 bits don't hold them."""
+    if len(context) and int(context.max()).bit_length() + width > 64:
+        return None
+    return context.astype("u8") << np.uint64(width) | token.astype("u8")
+
+
+def distinct_pairs(context: np.ndarray, token: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order (contexts, tokens), and which of them each pair is."""
+    keys = packed(context, token, width)
+    if keys is not None:
+        keys, back = np.unique(keys, return_inverse=True)
+        return (keys >> np.uint64(width)).astype("i8"), (keys & np.uint64((1 << width) - 1)).astype("i8"), back
+    order = np.lexsort((token, context))
+    c, t = context[order], token[order]
+    new = np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])
+    back = np.empty(len(c), "i8")
+    back[order] = np.cumsum(new) - 1
+    return c[new], t[new], back
+
+
 @dataclass
 class Level:
-    """One level's files: where each begins in the sequence (key) and in the numbering, and contexts that files share."""
+    """One level's files: the pair (context, token) that each begins with, and its first node's number; contexts that begin a file with all their successors' number."""
 
     width: int
     paths: list[str] = field(default_factory=list)
-    first: np.ndarray = field(default_factory=lambda: np.zeros(0, "u8"))
+    context: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
+    token: np.ndarray = field(default_factory=lambda: np.zeros(0, "u8"))
     base: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
     size: int = 0
     total: int = 0
-    shared: dict = field(default_factory=dict)
+    edge: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
+    after: np.ndarray = field(default_factory=lambda: np.zeros(0, "i8"))
     weight: tuple = ()
 
-    def parts(self, keys: np.ndarray):
-        """(file, slice of the sorted keys that it may hold)."""
-        cut = np.searchsorted(keys, self.first[1:])
-        cut = np.concatenate([[0], cut, [len(keys)]])
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level 1: number (-1: none) and count of each of the sorted hashes."""
+        where, count = np.full(len(keys), -1), np.zeros(len(keys), "i8")
+        if not self.size:
+            return where, count
+        cut = np.concatenate([[0], np.searchsorted(keys, self.token[1:]), [len(keys)]])
         for i, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
             if z > a:
-                yield i, slice(a, z)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number (-1: none), count and discounted probability of each of the sorted keys."""
-        where, count, part = np.full(len(keys), -1), np.zeros(len(keys), "i8"), np.zeros(len(keys))
-        if not self.size:
-            return where, count, part
-        for i, s in self.parts(keys):
-            f = opened(self.paths[i])
-            at, hit = f.keys.lower_bound(keys[s])
-            at = at[hit]
-            k = np.flatnonzero(hit) + s.start
-            where[k], count[k] = at + self.base[i], f.count[at]
-            if f.part is not None:
-                part[k] = 10.0 ** (-STEP * f.part[at].astype("f8"))
-        return where, count, part
-
-    def successors(self, context: np.ndarray) -> np.ndarray:
-        """How many distinct tokens follow each of the sorted contexts (nodes of the level before), from the pointers."""
-        out = np.zeros(len(context), "i8")
-        if not self.size:
-            return out
-        keys = context.astype("u8") << np.uint64(self.width)
-        # a context's file is the last one that begins at or before its end
-        last = np.maximum(np.searchsorted(self.first, keys | np.uint64((1 << self.width) - 1), side="right") - 1, 0)
-        for i in np.unique(last):
-            k = np.flatnonzero(last == i)
-            f = opened(self.paths[i])
-            p = context[k] - f.low
-            ok = (p >= 0) & (p < len(f.pointers) - 1)
-            k, p = k[ok], p[ok]
-            out[k] = (f.pointers.get(p + 1) - f.pointers.get(p)).astype("i8")
-        for c, n in self.shared.items():
-            at = np.searchsorted(context, c)
-            if at < len(context) and context[at] == c:
-                out[at] = n
-        return out
+                f = opened(self.paths[i])
+                at, hit = f.keys.lower_bound(keys[a:z])
+                at, k = at[hit], np.flatnonzero(hit) + a
+                where[k], count[k] = at + self.base[i], f.count[at]
+        return where, count
+
+    def look(self, context: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Number (-1: none), count and discounted probability of each of the sorted distinct pairs, and how many distinct successors its context has."""
+        n = len(context)
+        where, count, part, after = np.full(n, -1), np.zeros(n, "i8"), np.zeros(n), np.zeros(n, "i8")
+        if not self.size or not n:
+            return where, count, part, after
+        file = np.maximum(np.searchsorted(self.context, context, side="right") - 1, 0)
+        # before the first token that a file has of a context, the file before it has them
+        while (early := np.flatnonzero((file > 0) & (context == self.context[file]) & (token < self.token[file].astype("i8")))).size:
+            file[early] -= 1
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(file)) + 1, [n]])
+        for a, z in zip(cut[:-1], cut[1:], strict=True):
+            f = opened(self.paths[file[a]])
+            new = np.concatenate([[True], context[a + 1 : z] != context[a : z - 1]])
+            own, of = context[a:z][new] - f.low, np.cumsum(new) - 1
+            inside = (own >= 0) & (own < len(f.pointers) - 1)
+            own = np.where(inside, own, 0)
+            first, last = f.pointers.get(own).astype("i8"), f.pointers.get(own + 1).astype("i8")
+            last = np.where(inside, last, first)
+            start = np.zeros(len(own), "u8")
+            some = np.flatnonzero(first > 0)
+            start[some] = f.keys.get(first[some] - 1)
+            after[a:z] = (last - first)[of]
+            at, hit = f.keys.lower_bound(start[of] + token[a:z].astype("u8"), first[of], last[of])
+            at, k = at[hit], np.flatnonzero(hit) + a
+            where[k], count[k] = at + self.base[file[a]], f.count[at]
+            part[k] = 10.0 ** (-STEP * f.part[at].astype("f8"))
+        at = np.minimum(np.searchsorted(self.edge, context), len(self.edge) - 1)
+        hit = self.edge[at] == context
+        after[hit] = self.after[at[hit]]
+        return where, count, part, after
 
 
 class File:
@@ -144,15 +172,8 @@ class File:
 
 @lru_cache(maxsize=4096)
 def opened(path: str) -> File:
-    """A level's file, mapped once in each worker; a file in a store that can't be mapped is copied first."""
-    local = plain(path)
-    if not local:
-        import tempfile
-
-        with tempfile.NamedTemporaryFile(delete=False) as f:
-            f.write(get(path))
-            local = f.name
-    return File(ef.unpack(local))
+    """A level's file, mapped once in each worker."""
+    return File(ef.mapped(path))
 
 
 def cut_points(weight: list[tuple[float, float]], n: int) -> np.ndarray:
@@ -166,29 +187,46 @@ def build_level(df: DataFrame, text: str, levels: list[Level], parts: int) -> Le
     spark = df.sparkSession
     folder, depth = make_dir(spark, f"level{len(levels) + 1}"), len(levels)
     width = levels[0].size.bit_length() if levels else 64
-    if levels and levels[-1].size.bit_length() + width > 63:
-        raise ValueError("a level's numbers and the vocabulary need more than 63 bits together")
+    # a file's pairs are numbers relative to the context that its range begins with
     if levels:
-        cuts = np.unique((cut_points(levels[-1].weight, parts) * (1 << width)).astype("u8")) if parts > 1 and levels[-1].weight else np.zeros(0, "u8")
+        some = cut_points(levels[-1].weight, parts) if parts > 1 and levels[-1].weight else np.zeros(0)
+        low = np.floor(some).astype("i8")
+        cuts = np.unique(np.stack([np.append(0, low), np.append(0, ((some - low) * (1 << width)).astype("i8"))], 1), axis=0)
+        spans = np.diff(np.append(cuts[:, 0], levels[-1].size)) + 1
+        if int(spans.max()).bit_length() + width > 64:
+            raise ValueError("the ranges of a level's files are too wide for 64 bits: more parts are needed")
     else:
-        cuts = np.array([(i << 64) // parts for i in range(1, parts)], "u8")
+        hashes = np.array([(i << 64) // parts for i in range(1, parts)], "u8")
     sent = spark.sparkContext.broadcast(levels)
 
     def count(batches_):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def flush():
-            keys, n = total(np.concatenate([k for k, _ in held]), np.concatenate([c for _, c in held]))
+            if not depth:
+                keys, n = total(*map(np.concatenate, zip(*held, strict=True)))
+                at = np.concatenate([[0], np.searchsorted(keys, hashes), [len(keys)]])
+            else:
+                context, token, n = map(np.concatenate, zip(*held, strict=True))
+                context, token, back = distinct_pairs(context, token, width)
+                n = np.bincount(back, n, len(context)).astype("i8")
+                at = np.searchsorted(context, cuts[:, 0])
+                for i in np.flatnonzero(cuts[:, 1]):
+                    at[i] += np.searchsorted(token[at[i] : np.searchsorted(context, cuts[i, 0], side="right")], cuts[i, 1])
+                at = np.append(at, len(context))
+                keys = (context - np.repeat(cuts[:, 0], np.diff(at))).astype("u8") << np.uint64(width) | token.astype("u8")
             held.clear()
-            at = np.concatenate([[0], np.searchsorted(keys, cuts), [len(keys)]])
             rows = [(i, squeeze(keys[a:z], n[a:z])) for i, (a, z) in enumerate(zip(at[:-1], at[1:], strict=True)) if z > a]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["file", "run"])
 
         size = 0
         for texts in gathered(batches_):
             h, first = tokens(texts[0])
-            keys = h if not depth else grams(sent.value, h, first)
-            held.append(total(keys))
+            if not depth:
+                held.append(total(h))
+            else:
+                context, token, back = distinct_pairs(*grams(sent.value, h, first), width)
+                held.append((context, token, np.bincount(back, minlength=len(context))))
             size += len(held[-1][0])
             if size > RUN:
                 yield flush()
@@ -199,45 +237,48 @@ def build_level(df: DataFrame, text: str, levels: list[Level], parts: int) -> Le
     def build(key, g):
         runs = [unsqueeze(r) for r in g.run]
         keys, n = total(np.concatenate([k for k, _ in runs]), np.concatenate([c for _, c in runs]))
-        path, low = f"{folder}/part-{key[0]:05d}.ef", 0
-        arrays = {f"k_{k}": v for k, v in ef.build(keys).items()}
-        arrays["count"] = n.astype("u4" if n.max() < 1 << 32 else "u8")
-        ends = (0, 0, 0, 0)
+        path, low, begin, ends = f"{folder}/part-{key[0]:05d}.ef", 0, (0, str(int(keys[0]))), (0, 0, 0, 0)
+        arrays = {}
         if depth:
-            context = (keys >> np.uint64(width)).astype("i8")
-            low = int(context[0])
+            context, token = (keys >> np.uint64(width)).astype("i8") + cuts[key[0], 0], keys & np.uint64((1 << width) - 1)
+            low, begin = int(context[0]), (int(context[0]), str(int(token[0])))
             own, at = np.unique(context, return_index=True)
+            stop = np.append(at[1:], len(keys))
             # pointers of all contexts from the first to the last, and the end
-            p = np.searchsorted(context, np.arange(low, int(context[-1]) + 1))
-            arrays |= {f"p_{k}": v for k, v in ef.build(np.append(p, len(keys))).items()}
-            c = counts_at(sent.value[-1], own)[np.searchsorted(own, context)]
+            arrays |= {f"p_{k}": v for k, v in ef.build(np.append(np.searchsorted(context, np.arange(low, int(context[-1]) + 1)), len(keys))).items()}
+            # to a context's tokens the sum that the context before ends with is added
+            before = np.concatenate([[0], np.cumsum(token[stop - 1], dtype="u8")])[:-1]
+            keys = token + np.repeat(before, stop - at)
+            c = np.repeat(counts_at(sent.value[-1], own), stop - at)
             arrays["part"] = np.clip(np.round(-np.log10((n - DISCOUNT) / c) / STEP), 0, 65535).astype("u2")
-            sizes = np.diff(np.append(at, len(keys)))
-            ends = (int(own[0]), int(sizes[0]), int(own[-1]), int(sizes[-1]))
+            ends = (int(own[0]), int(stop[0] - at[0]), int(own[-1]), int(stop[-1] - at[-1]))
+        arrays |= {f"k_{k}": v for k, v in ef.build(keys).items()}
+        arrays["count"] = n.astype("u4" if n.max() < 1 << 32 else "u8")
         arrays["low"] = np.array([low], "i8")
         put(path, ef.pack(arrays))
         # the next level's files are balanced by this: about how many successors a node has
         w = np.concatenate([[0], np.cumsum(n.astype("f8") ** 0.8)])
         marks = np.unique(np.clip(np.searchsorted(w, np.linspace(0, w[-1], 65)), 0, len(n)))
         marks = np.unique(np.concatenate([marks, np.maximum(marks - 1, 0)]))
-        return pd.DataFrame({"file": [key[0]], "path": [path], "first": [str(int(keys[0]))], "n": [len(keys)], "total": [int(n.sum())], "ends": [list(ends)], "place": [marks.astype("f8").tolist()], "weight": [w[marks].tolist()]})
+        return pd.DataFrame({"file": [key[0]], "path": [path], "context": [begin[0]], "token": [begin[1]], "n": [len(keys)], "total": [int(n.sum())], "ends": [list(ends)], "place": [marks.astype("f8").tolist()], "weight": [w[marks].tolist()]})
 
-    runs = df.select(text).mapInArrow(count, "file int, run binary")
+    runs = df.select(col(text)).mapInArrow(count, "file int, run binary")
     # one row for each file comes to the driver
-    made = sorted(runs.groupBy("file").applyInPandas(build, "file int, path string, first string, n bigint, total bigint, ends array<bigint>, place array<double>, weight array<double>").collect(), key=lambda r: r.file)
+    made = sorted(runs.groupBy("file").applyInPandas(build, "file int, path string, context bigint, token string, n bigint, total bigint, ends array<bigint>, place array<double>, weight array<double>").collect(), key=lambda r: r.file)
     level = Level(width if depth else 0)
     level.paths = [r.path for r in made]
-    level.first = np.array([int(r.first) for r in made], "u8")
+    level.context, level.token = np.array([r.context for r in made], "i8"), np.array([int(r.token) for r in made], "u8")
     level.base = np.concatenate([[0], np.cumsum([r.n for r in made])]).astype("i8")[:-1]
     level.size, level.total = sum(r.n for r in made), sum(r.total for r in made)
     before, weight, seen = 0.0, [], {}
     for r, b in zip(made, level.base, strict=True):
         weight += [(b + p, before + w) for p, w in zip(r.place, r.weight, strict=True)]
         before += r.weight[-1]
-        if depth:
-            for c, n in {r.ends[0]: r.ends[1], r.ends[2]: r.ends[3]}.items():
-                seen.setdefault(c, []).append(n)
-    level.shared = {c: sum(n) for c, n in seen.items() if len(n) > 1}
+        for c, n in {r.ends[0]: r.ends[1], r.ends[2]: r.ends[3]}.items():
+            seen[c] = seen.get(c, 0) + n
+    if depth:
+        level.edge = np.array(sorted(seen), "i8")
+        level.after = np.array([seen[c] for c in level.edge.tolist()], "i8")
     level.weight = tuple(weight)
     return level
 
@@ -269,42 +310,46 @@ def gathered(parts):
         yield held
 
 
-def looked_up(level: Level, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level.find for keys in any order, each distinct one once."""
-    distinct, back = np.unique(keys, return_inverse=True)
-    return tuple(x[back] for x in level.find(distinct))
-
-
 def walk(levels: list[Level], h: np.ndarray, first: np.ndarray):
-    """For each level the numbers, counts and discounted probabilities of the n-grams that end at each token; -1 where there is none."""
-    where, count, part = looked_up(levels[0], h)
-    out = [(where, count, part)]
-    number = where
+    """For each level the numbers, counts and discounted probabilities of the n-grams that end at each token (-1 where there is none), and how many successors their contexts have."""
+    distinct, back = np.unique(h, return_inverse=True)
+    where, count = (x[back] for x in levels[0].find(distinct))
+    out = [(where, count, None, None)]
+    # a token that was never seen comes after all others
+    number = np.where(where < 0, levels[0].size, where)
     begin = np.zeros(len(h), bool)
     begin[first[:-1]] = True
     for k, level in enumerate(levels[1:], 1):
         context = np.concatenate([[-1], out[k - 1][0][:-1]])
         context[begin] = -1
-        ok = np.flatnonzero((context >= 0) & (number >= 0))
-        where, count, part = np.full(len(h), -1), np.zeros(len(h), "i8"), np.zeros(len(h))
-        where[ok], count[ok], part[ok] = looked_up(level, context[ok].astype("u8") << np.uint64(level.width) | number[ok].astype("u8"))
-        out.append((where, count, part))
+        ok = np.flatnonzero(context >= 0)
+        got = np.full(len(h), -1), np.zeros(len(h), "i8"), np.zeros(len(h)), np.zeros(len(h), "i8")
+        if len(ok):
+            c, t, back = distinct_pairs(context[ok], number[ok], level.width)
+            for x, y in zip(got, level.look(c, t), strict=True):
+                x[ok] = y[back]
+        out.append(got)
     return out
 
 
-def grams(levels: list[Level], h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Keys of the next level for training texts."""
+def grams(levels: list[Level], h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context, token) of the next level's nodes in training texts."""
     out = walk(levels, h, first)
     context = np.concatenate([[-1], out[-1][0][:-1]])
     context[first[:-1]] = -1
     ok = context >= 0
-    return context[ok].astype("u8") << np.uint64(levels[0].size.bit_length()) | out[0][0][ok].astype("u8")
+    return context[ok], out[0][0][ok]
 
 
 def train(df: DataFrame, text: str = "text", order: int = 2, parts: int | None = None) -> list[Level]:
-    """The levels of a trie over all rows of df; a null text is empty (its end still counts)."""
-    batches(df.sparkSession)
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """The levels of a trie over all rows of df, with their whole texts however long.
+
+    A null or empty text is an end alone, which counts; repeated rows count each time; of an empty table the levels are empty. A level has about
+    parts files: as many as the session deals shuffles to, or more where the input has more than FILE_BYTES for each.
+    """
+    spark = df.sparkSession
+    batches(spark)
+    parts = parts or size_of(df, int(spark.conf.get("spark.sql.shuffle.partitions")), FILE_BYTES)
     levels: list[Level] = []
     for _ in range(order):
         levels.append(build_level(df, text, levels, parts))
@@ -317,25 +362,20 @@ def probabilities(levels: list[Level], h: np.ndarray, first: np.ndarray) -> tupl
     count = out[0][1]
     base = (count + ADD) / (levels[0].total + ADD * (levels[0].size + 1))
     p = base
-    for k, level in enumerate(levels[1:], 1):
-        context = np.concatenate([[-1], out[k - 1][0][:-1]])
+    for k in range(1, len(levels)):
         seen = np.concatenate([[0], out[k - 1][1][:-1]])
-        context[first[:-1]] = -1
-        at = np.flatnonzero(context >= 0)
-        distinct, back = np.unique(context[at], return_inverse=True)
-        after = level.successors(distinct)[back]
+        _, _, part, after = out[k]
         # a context without successors (the end) leaves the shorter one as it is
-        on = after > 0
-        at, after = at[on], after[on]
+        at = np.flatnonzero(after > 0)
         p = p.copy()
-        p[at] = out[k][2][at] + DISCOUNT * after / seen[at] * p[at]
+        p[at] = part[at] + DISCOUNT * after[at] / seen[at] * p[at]
     return count, base, p
 
 
 def score(df: DataFrame, levels: list[Level], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """n_tokens, n_known, train_tokens, base_score and score (log10) of every whole text. Null and empty texts have one token, the end; repeated rows each get a row. Without training tokens the scores are 0."""
+    """n_tokens, n_known, train_tokens, base_score and score (log10) of every whole text. Null and empty texts have one token, the end; repeated rows each get a row, an empty table none. Without training tokens the scores are 0. Kept columns with one of the five names are replaced."""
     batches(df.sparkSession)
-    keep = ["doc_id"] if keep is None else keep
+    keep = without(["doc_id"] if keep is None else keep, "n_tokens", "n_known", "train_tokens", "base_score", "score")
     sent = df.sparkSession.sparkContext.broadcast(levels)
     types = [df.schema[c].dataType for c in keep]
     kinds = [to_arrow_type(t) for t in types]
@@ -355,6 +395,6 @@ def score(df: DataFrame, levels: list[Level], text: str = "text", keep: list[str
             numbers = {"n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), levels[0].total), "base_score": sums[0], "score": sums[1]}
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols[1:], kinds, strict=True)), *map(pa.array, numbers.values())], names=[*keep, *numbers])
 
-    return df.select(text, *keep).mapInArrow(run, fields)
+    return by_place(df.select(col(text), *map(col, keep))).mapInArrow(run, fields)
 
 

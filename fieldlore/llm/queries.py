@@ -32,7 +32,7 @@ def op3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldlore.llm.bpe import token_counts
+    from fieldlore.llm.counts import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 

@@ -10,7 +10,6 @@ right by 15 bits and increased by a constant, so that a checksum over data that
 
 from __future__ import annotations
 
-import io
 import os
 import struct
 import uuid
@@ -24,9 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlore.llm.bpe import merge_table
-from fieldlore.llm.shared import batches, get, make_dir, plain, put
+from fieldlore.llm.shared import batches, col, get, make_dir, opened_for, plain, put, size_of
 
 MASK = 0xA282EAD8
+#: Bytes of input (as stored) for each shard, about.
+SHARD_BYTES = 64 << 20
 PRESS, UNPRESS = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -52,10 +53,11 @@ def frame(payload: bytes) -> bytes:
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
 
-def frames(data, at: int = 0) -> Iterator[bytes]:
-    """Payloads from a place on. A length or payload that doesn't fit its checksum raises ValueError."""
-    data = memoryview(data)
-    while at < len(data):
+def frames(data, at: int = 0, most: int | None = None) -> Iterator[bytes]:
+    """Payloads from a place on, all or so many. A length or payload that doesn't fit its checksum raises ValueError."""
+    data, left = memoryview(data), most
+    while at < len(data) and left != 0:
+        left = None if left is None else left - 1
         length = bytes(data[at : at + 8])
         if len(data) < at + 12 or struct.unpack_from("<I", data, at + 8)[0] != masked(length):
             raise ValueError(f"damaged length at byte {at}")
@@ -73,13 +75,25 @@ def read_index(path: str) -> np.ndarray:
 
 
 def read_record(path: str, place: int) -> tuple[int | None, np.ndarray]:
-    """One sequence by its place from the index, without reading those before it."""
-    if local := plain(path):
-        with open(local, "rb") as f:
-            f.seek(place)
-            head = f.read(12)
-            return unpack(next(frames(head + f.read(struct.unpack_from("<Q", head)[0] + 4))))
-    return unpack(next(frames(get(path), place)))
+    """One sequence by its place from the index, without reading those before it: two ranges of the shard are fetched."""
+    head = get(path, place, 12)
+    return unpack(next(frames(head + get(path, place + 12, struct.unpack_from("<Q", head)[0] + 4))))
+
+
+def shard_records(path: str, order: np.ndarray | None = None) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """(row of the index, document id, ids) of a shard's records by their places in the index, in its order or another one.
+
+    A mounted shard is mapped; of another one, in its own order all is fetched at once, else each record's range alone. A record
+    that isn't what the index says raises ValueError.
+    """
+    index = read_index(path.removesuffix("rec") + "idx")
+    data = mapped(path) if plain(path) or order is None else None
+    for k in range(len(index)) if order is None else order.tolist():
+        key, place, n = index[k].tolist()
+        doc_id, ids = read_record(path, place) if data is None else unpack(next(frames(data, place, 1)))
+        if len(ids) != n or (-(1 << 63) if doc_id is None else doc_id) != key:
+            raise ValueError(f"the index of {path} doesn't fit its record at byte {place}")
+        yield k, doc_id, ids
 
 
 def write_records(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", shards: int | None = None) -> tuple[str, list[tuple]]:
@@ -93,8 +107,8 @@ def write_records(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
     """
     spark = df.sparkSession
     batches(spark)
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = df.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    n = shards or size_of(df, int(spark.conf.get("spark.sql.shuffle.partitions")), SHARD_BYTES)
+    cuts = df.select(F.percentile_approx(col(key).cast("bigint"), [i / n for i in range(1, n)] or [0.5], max(10_000, 10 * n))).first()[0] or []
     cuts = np.unique(np.array(cuts, "i8"))
     folder, end = make_dir(spark, "records"), struct.pack("<I", end_id)
 
@@ -120,7 +134,7 @@ def write_records(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
             done.append(sink.close())
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
 
-    coded = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).mapInArrow(encode, "shard int, k bigint, payload binary")
+    coded = df.select(col(key).cast("bigint").alias("k"), col(text).alias("t")).mapInArrow(encode, "shard int, k bigint, payload binary")
     dealt = coded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", "k", "payload")
     # one row for each shard comes to the driver
     rows, before = [], 0
@@ -131,12 +145,14 @@ def write_records(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id
 
 
 class Shard:
-    """A shard being written: straight to a temporary file where the store is mounted, else in memory."""
+    """A shard being written, straight to a file: a temporary one where the store is mounted, else one of this attempt's own name."""
 
     def __init__(self, folder: str, number: int):
-        self.path, self.number, self.place, self.ids, self.index = f"{folder}/part-{number:05d}.rec", number, 0, 0, []
-        self.tmp = plain(f"{self.path}.{uuid.uuid4().hex}.tmp")
-        self.out = open(self.tmp, "wb", 1 << 20) if self.tmp else io.BytesIO()  # noqa: SIM115
+        own = uuid.uuid4().hex
+        self.path = f"{folder}/part-{number:05d}.rec" if plain(folder) else f"{folder}/part-{number:05d}-{own}.rec"
+        self.number, self.place, self.ids, self.index = number, 0, 0, []
+        self.tmp = plain(f"{self.path}.{own}.tmp")
+        self.out = opened_for(self.tmp or self.path)
 
     def add(self, payload: bytes) -> None:
         doc_id, n, _ = struct.unpack_from("<qIB", payload)
@@ -146,40 +162,72 @@ class Shard:
         self.ids += n
 
     def close(self) -> dict:
+        self.out.close()
         if self.tmp:
-            self.out.close()
             os.replace(self.tmp, plain(self.path))
-        else:
-            put(self.path, self.out.getvalue())
         put(self.path.removesuffix("rec") + "idx", np.array(self.index, "<i8").tobytes())
         return {"shard": self.number, "path": self.path, "records": len(self.index), "ids": self.ids}
 
 
+def arrow_batches(rows: Iterator[tuple], names: list[str], batch: int) -> Iterator[pa.RecordBatch]:
+    """Rows of 64-bit numbers, with an array of them in a column called ids."""
+    held: list[tuple] = []
+
+    def made():
+        cols = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), pa.list_(pa.int64()) if n == "ids" else pa.int64()) for n, c in zip(names, cols, strict=True)], names=names)
+
+    for r in rows:
+        held.append(r)
+        if len(held) == batch:
+            yield made()
+            held = []
+    if held:
+        yield made()
+
+
 def read_records(spark: SparkSession, manifest: list[tuple], batch: int = 1024, ids: bool = False) -> DataFrame:
-    """Reads shards back: doc_id, start (ids before it in all shards), n_tokens, ids_crc32, and the ids on request."""
-    fields = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids
-    rows = spark.createDataFrame([(p, s) for _, p, _, _, s in manifest], "path string, start bigint")
+    """Reads shards back by their indices: doc_id, start (ids before it in all shards), n_tokens, ids_crc32, and the ids on request.
+
+    Damaged records, and ones that the index doesn't fit, raise ValueError. Without shards there are no rows.
+    """
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids
+
+    def rows_of(path, start):
+        for _, doc_id, x in shard_records(path):
+            yield doc_id, start, len(x), zlib.crc32(x.tobytes()), *([x.astype("i8")] * ids)
+            start += len(x)
 
     def read(parts):
         for b in parts:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out = []
-                for payload in frames(mapped(path)):
-                    doc_id, x = unpack(payload)
-                    out.append((doc_id, start, len(x), zlib.crc32(x.tobytes()), *([x.astype("i8")] * ids)))
-                    start += len(x)
-                    if len(out) == batch:
-                        yield rows_of(out)
-                        out = []
-                if out:
-                    yield rows_of(out)
-
-    def rows_of(out):
-        cols = list(zip(*out, strict=True))
-        arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + ([pa.array(list(cols[4]), pa.list_(pa.int64()))] if ids else [])
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(arrays)])
-
-    return rows.repartition(max(1, len(manifest))).mapInArrow(read, fields)
+                yield from arrow_batches(rows_of(path, start), names, batch)
+
+    rows = spark.createDataFrame([(p, s) for _, p, _, _, s in manifest], "path string, start bigint")
+    return rows.repartition(max(1, len(manifest))).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)
+
+
+def read_shuffled(spark: SparkSession, manifest: list[tuple], seed: int = 0, batch: int = 1024) -> DataFrame:
+    """Every record once, in an order drawn anew for each seed: turn (0 and up), doc_id, n_tokens and ids, by byte ranges from the index.
+
+    The shards are put in a drawn order, and so are a shard's records; both follow from the seed and the shard's number, so that a
+    retried task reads alike. A partition is a shard, with its turns in order; partitions come in the order of their turns.
+    """
+    order = sorted(manifest, key=lambda m: zlib.crc32(struct.pack("<qq", seed, m[0])))
+    before = np.concatenate([[0], np.cumsum([m[2] for m in order])]).tolist()
+
+    def rows_of(number, path, records, at):
+        drawn = np.random.default_rng([seed & 0xFFFFFFFF, number]).permutation(records)
+        for k, (_, doc_id, x) in enumerate(shard_records(path, drawn)):
+            yield at + k, doc_id, len(x), x.astype("i8")
+
+    def read(parts):
+        for b in parts:
+            for r in b.to_pylist():
+                yield from arrow_batches(rows_of(r["number"], r["path"], r["records"], r["at"]), ["turn", "doc_id", "n_tokens", "ids"], batch)
+
+    rows = spark.createDataFrame([(m[0], m[1], m[2], a) for m, a in zip(order, before, strict=False)], "number int, path string, records bigint, at bigint")
+    return rows.repartitionByRange(max(1, len(manifest)), "at").mapInArrow(read, "turn bigint, doc_id bigint, n_tokens bigint, ids array<bigint>")
 
 
 def mapped(path: str):

@@ -28,6 +28,32 @@ def test_sequence(values, asked):
     assert hit.tolist() == np.isin(q, x).tolist()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3000), min_size=1, max_size=20, unique=True), min_size=1, max_size=20), st.integers(0, 3000))
+def test_search_within_a_context(ranges, asked):
+    """Sums make the ranges one monotone sequence, in which each range is searched alone."""
+    x, before, bounds = [], 0, [0]
+    for r in map(sorted, ranges):
+        x += [v + before for v in r]
+        before = x[-1]
+        bounds.append(len(x))
+    s = ef.EliasFano(ef.build(np.array(x, "u8")))
+    for k, r in enumerate(map(sorted, ranges)):
+        start = int(s.get(np.array([bounds[k] - 1]))[0]) if k else 0
+        q = np.array([*r, asked], "u8")
+        at, hit = s.lower_bound(q + np.uint64(start), np.full(len(q), bounds[k]), np.full(len(q), bounds[k + 1]))
+        assert hit.tolist() == [True] * len(r) + [asked in r] and (at[:-1] - bounds[k]).tolist() == list(range(len(r)))
+
+
+def test_pairs_beyond_64_bits():
+    rng = np.random.default_rng(3)
+    c, t = rng.integers(0, 40, 500) << 33, rng.integers(0, 30, 500) << 30
+    want = sorted(set(zip(c.tolist(), t.tolist(), strict=True)))
+    a, b, back = lm.distinct_pairs(c, t, 36)
+    assert list(zip(a.tolist(), b.tolist(), strict=True)) == want and (a[back] == c).all() and (b[back] == t).all()
+    assert lm.packed(c, t, 36) is None and lm.packed(c >> 33, t, 36) is not None
+
+
 def test_sequence_file(tmp_path):
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype("u8")) | np.uint64(1 << 63)
     (tmp_path / "f").write_bytes(ef.pack(ef.build(x) | {"more": np.arange(7, dtype="u2")}))
@@ -87,8 +113,8 @@ def test_trie(spark, monkeypatch, order, parts, run):
 
 def test_shared_contexts_and_empty(spark):
     train = ["the " + f"w{i}" for i in range(900)]
-    levels = lm.train(spark.createDataFrame([(t,) for t in train], "text string"), parts=6)
-    assert levels[1].shared and len(levels[1].paths) > 2  # one context fills several files
+    levels = lm.train(spark.createDataFrame([(t,) for t in train], "text string"), parts=40)
+    assert len(set(levels[1].context.tolist())) < len(levels[1].paths) and 900 in levels[1].after  # one context fills several files
     got = lm.score(spark.createDataFrame([(1, "the w5"), (2, "the zz")], "doc_id bigint, text string"), levels).collect()
     for r, w in zip(sorted(got), brute(train, ["the w5", "the zz"], 2), strict=True):
         assert r.score == pytest.approx(w[4], rel=3e-4)
