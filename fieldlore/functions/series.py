@@ -178,6 +178,41 @@ def dissimilarity(a: Column, b: Column, relief: float = 0.33) -> Column:
     return (1 - r) * e + r + r * p * (1 - e) - relief * r * (1 - e)
 
 
+def best_shift(a: Column, b: Column) -> Column:
+    """(e, shift): the least distance per element of the shorter series at any shift along the longer one, and the first shift that has it."""
+    one = lambda at: F.struct(F.array_min(at).alias("e"), (F.array_position(at, F.array_min(at)) - 1).cast("int").alias("shift"))
+    return F.element_at(F.transform(F.array(shifts(a, b)), one), 1)
+
+
+def equal_distance(a: Column, b: Column, method: str = "canberra") -> Column:
+    """Distance of two series of one length. Cosine: 0 for equal series, 1 where one has no extent; correlation: 0 for equal series, 9.9 where one doesn't vary."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    dot = lambda x, y: total(F.zip_with(x, y, lambda p, q: p.cast("double") * q))
+    squares = total(F.zip_with(a, b, lambda x, y: (x - y).cast("double") * (x - y)))
+    if method == "canberra":
+        return canberra(a, b)
+    if method in ("euclidean", "sqeuclidean"):
+        return F.sqrt(squares) if method == "euclidean" else squares
+    if method == "cosine":
+        aa, bb = dot(a, a), dot(b, b)
+        return F.when(squares == 0, 0.0).when((aa == 0) | (bb == 0), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - dot(a, b) / F.sqrt(aa * bb)))
+    n, sa, sb = F.size(a), total(a), total(b)
+    va, vb = n * dot(a, a) - sa * sa, n * dot(b, b) - sb * sb
+    return F.when(squares == 0, 0.0).when((va <= 0) | (vb <= 0), 9.9).otherwise(1 - (n * dot(a, b) - sa * sb) / F.sqrt(va * vb))
+
+
+def embedding(a: Column, b: Column, relief: float = 0.33) -> Column:
+    """(d, shift): dissimilarity of two series, and where the shorter one lies best in the longer (the first such place)."""
+    i, o = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+    r, p = (o - i) / o, i / (o * o)
+
+    def one(at):
+        e = F.array_min(at)
+        return F.struct(((1 - r) * e + r + r * p * (1 - e) - relief * r * (1 - e)).alias("d"), (F.array_position(at, e) - 1).cast("int").alias("shift"))
+
+    return F.element_at(F.transform(F.array(shifts(a, b)), one), 1)
+
+
 @bound
 def lagged(x: Column, k: int) -> Column:
     """Difference of values k places apart."""
@@ -298,3 +333,31 @@ def drops(v: Column, share: float = 0.3) -> Column:
     at = lambda i: F.element_at(v, i)
     hit = lambda i: (at(i) > high - (high - low) * share) & (at(i + 1) < low + (high - low) * share)
     return F.transform(F.filter(_span(F.size(v) - 1), hit), lambda i: i - 1)
+
+
+@bound
+def undefined_borders(x: Column) -> Column:
+    """Zero-based places at which a run of undefined (null) values begins or ends."""
+    at = lambda i: F.element_at(x, i).isNull()
+    return F.transform(F.filter(_span(F.size(x)), lambda i: (i > 1) & (at(i) != at(F.greatest(i - 1, F.lit(1))))), lambda i: i - 1)
+
+
+def first_unprintable(v: Column) -> Column:
+    """Zero-based place of the first unprintable byte; null without one."""
+    return F.array_min(F.transform(F.filter(_span(F.size(v)), lambda i: ~F.element_at(v, i).between(0x20, 0x7E)), lambda i: i - 1))
+
+
+#: Series of bytes by name.
+FEATURES = {
+    "bcpnm": lambda v: window_mean(bit_congruence(v), 4),
+    "bc": bit_congruence,
+    "bcg": lambda v: gaussian(bit_congruence(v), 1.5),
+    "bcd": lambda v: delta(bit_congruence(v)),
+    "bcdg": lambda v: gaussian(delta(bit_congruence(v)), 0.6),
+    "hbcg": lambda v: gaussian(horizon(bit_congruence(v)), 1.5),
+    "sbcdg": lambda v: gaussian(lagged(window_mean(bit_congruence(v), 2), 2), 1.5),
+    "variance": delta,
+    "value": lambda v: v,
+    "ntropy": lambda v: gram_entropy(v, 3),
+    "stropy": lambda v: F.array(entropy(v)),
+}

@@ -51,8 +51,15 @@ def common_values(segments: DataFrame, messages: int, share: float = 0.1) -> Dat
     """Values of two bytes or more in over share of the messages' number, not all zero, that hold no other such value."""
     n = segments.groupBy("bytes").agg(F.count("*").alias("n"), F.max("length").alias("length"))
     often = n.where((F.col("n") > share * messages) & (F.col("length") >= 2) & F.exists(S.values(F.col("bytes")), lambda x: x != 0))
-    inner = often.select(F.col("bytes").alias("inner"))
-    return often.join(inner, (F.col("bytes") != F.col("inner")) & (F.position("inner", "bytes") > 0), "left_anti").select("bytes", "n")
+    # who holds another one is found by the runs of bytes of each length that occurs
+    lengths = sorted(r[0] for r in often.select("length").distinct().collect())
+    if len(lengths) < 2:
+        return often.select("bytes", "n")
+    from fieldlore.operators.segmentation import substrings
+
+    held = often.select(F.col("bytes").alias("outer"), F.inline(substrings(lengths))).where(F.col("outer") != F.col("value"))
+    outer = held.join(often.select(F.col("bytes").alias("value")), "value", "left_semi").select(F.col("outer").alias("bytes")).distinct()
+    return often.select("bytes", "n").join(outer, "bytes", "left_anti")
 
 
 def with_series(df: DataFrame, series: Column, name: str = "value") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fieldlore.functions import series as S
+from fieldlore.operators.lineage import components, once
 
 
 def representatives(df: DataFrame, column: str = "bytes") -> DataFrame:
@@ -32,8 +33,8 @@ def distances(reps: DataFrame, blocks: int | None = None, relief: float = 0.33)
     a = key(x.select("rep_id", "v", "b", other))
     left, right = a.select("p", "q", F.col("rep_id").alias("i"), F.col("v").alias("vi"), F.col("b").alias("bi")), a.select("p", "q", F.col("rep_id").alias("j"), F.col("v").alias("vj"), F.col("b").alias("bj"))
     met = left.join(right, ["p", "q"]).where("i < j AND ((p = q AND bi = bj) OR (p < q AND bi <> bj))")
-    at = S.shifts(F.col("vi"), F.col("vj"))
-    return met.select("i", "j", S.dissimilarity(F.col("vi"), F.col("vj"), relief).alias("d"), (F.array_position(at, F.array_min(at)) - 1).cast("int").alias("shift"))
+    # the shifts are evaluated once a pair
+    return met.select("i", "j", F.inline(F.array(S.embedding(F.col("vi"), F.col("vj"), relief))))
 
 
 def symmetric(d: DataFrame) -> DataFrame:
@@ -56,17 +57,11 @@ def medoids(d: DataFrame, labels: DataFrame) -> DataFrame:
 
 def dbscan(d: DataFrame, ids: DataFrame, eps: float, least: int) -> DataFrame:
     """(id, label): label is the smallest core id of the cluster, -1 for noise. An element counts among its own neighbours; a border element joins the smallest label near it."""
-    near = symmetric(d).where(F.col("d") <= eps).select("i", "j").persist()
+    near = once(symmetric(d.where(F.col("d") <= eps)).select("i", "j"))
     degree = near.groupBy("i").agg(F.count("*").alias("n"))
-    core = ids.select("id").join(degree, F.col("id") == F.col("i"), "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select(F.col("id").alias("c")).persist()
-    links = near.join(core, F.col("i") == F.col("c")).drop("c").join(core, F.col("j") == F.col("c")).select("i", "j").persist()
-    labels = core.select("c", F.col("c").alias("label"))
-    while True:
-        low = links.join(labels, F.col("j") == F.col("c")).groupBy("i").agg(F.min("label").alias("m"))
-        new = labels.join(low, F.col("c") == F.col("i"), "left").select("c", F.least("label", "m").alias("label"), (F.col("m") < F.col("label")).alias("moved")).checkpoint()
-        labels = new.select("c", "label")
-        if new.where("moved").isEmpty():
-            break
+    core = once(ids.select("id").join(degree, F.col("id") == F.col("i"), "left").where(F.coalesce("n", F.lit(0)) + 1 >= least).select(F.col("id").alias("c")))
+    links = near.where("i < j").join(core, F.col("i") == F.col("c")).drop("c").join(core, F.col("j") == F.col("c")).select(F.col("i").alias("a"), F.col("j").alias("b"))
+    labels = core.join(components(links), F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("label"))
     border = near.join(labels, F.col("j") == F.col("c")).groupBy("i").agg(F.min("label").alias("b"))
     out = ids.select("id").join(labels, F.col("id") == F.col("c"), "left").join(border, F.col("id") == F.col("i"), "left")
     return out.select("id", F.coalesce("label", "b", F.lit(-1)).alias("label"))
@@ -104,3 +99,46 @@ def mean_dissimilarity(d: DataFrame, ids: DataFrame, keep: int | None = None) ->
     """(id, mean): mean of a value's row of the matrix, its own zero included; the keep greatest, ties by id."""
     out = matrix(d, ids).groupBy(F.col("i").alias("id")).agg(F.round(F.avg("d"), 9).alias("mean"))
     return out.orderBy(F.desc("mean"), "id").limit(keep) if keep else out
+
+
+def lower_triangle(m: DataFrame) -> DataFrame:
+    """Cells (i, j, d) below the diagonal of a matrix in long form."""
+    return m.where("i > j").select("i", "j", "d")
+
+
+def value_matrix(values: DataFrame) -> DataFrame:
+    """(id, col, value): each value's bytes, null from its end up to the longest value's."""
+    longest = values.agg(F.max(F.octet_length("bytes"))).first()[0] or 0
+    if not longest:
+        return values.sparkSession.createDataFrame([], "id bigint, col int, value int")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(longest - 1)), lambda k: F.struct(k.alias("col"), F.get(F.col("v"), k).alias("value")))
+    return values.select("id", S.values(F.col("bytes")).alias("v")).select("id", F.inline(cells))
+
+
+def equal_length_distances(values: DataFrame, methods: tuple[str, ...] = ("canberra",)) -> DataFrame:
+    """(i, j, and a column for each method) of values (id, bytes) of one length, i < j; lengths with many values are dealt to blocks."""
+    n = values.groupBy(F.octet_length("bytes").alias("k")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    x = values.withColumn("k", F.octet_length("bytes")).join(n, "k").select("id", "k", S.values(F.col("bytes")).alias("v"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    x = x.select("id", "k", "v", "b", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"))
+    met = x.toDF("i", "k", "vi", "bi", "p", "q").join(x.toDF("j", "k", "vj", "bj", "p", "q"), ["k", "p", "q"]).where("i < j AND ((p = q AND bi = bj) OR (p < q AND bi <> bj))")
+    return met.select("i", "j", *(S.equal_distance(F.col("vi"), F.col("vj"), m).alias(m) for m in methods))
+
+
+def representatives_of(left: DataFrame, right: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep_id, side): the representatives (id, bytes) of two sets of values (bytes), each once a side."""
+    side = lambda d, name: d.select("bytes").distinct().join(reps.select("id", "bytes"), "bytes").select(F.col("id").alias("rep_id"), F.lit(name).alias("side"))
+    return side(left, "left").union(side(right, "right"))
+
+
+def cached(spark, key: dict, build) -> DataFrame:
+    """The table that build() gives, kept in the shared folder under its parameters: built when it isn't there, else read."""
+    import hashlib
+
+    from fieldlore.operators.lineage import checkpoints
+
+    name = hashlib.sha256(repr(sorted(key.items())).encode()).hexdigest()[:24]
+    path = f"{checkpoints(spark)}/cached-{name}"
+    hp = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hp):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -44,7 +44,7 @@ def cluster_quality(df: DataFrame, cluster: str, kind: str) -> DataFrame:
     """For each cluster its most frequent type (ties: the first by name), precision and recall."""
     n = df.groupBy(cluster, kind).agg(F.count("*").alias("n"))
     of_kind = df.groupBy(kind).agg(F.count("*").alias("kind_total"))
-    top = n.groupBy(cluster).agg(F.sum("n").alias("size"), F.max_by(F.struct(F.col(kind), F.col("n")), F.struct(F.col("n"), (-F.ascii(F.col(kind).cast("string"))))).alias("t"))
+    top = n.groupBy(cluster).agg(F.sum("n").alias("size"), F.min_by(F.struct(F.col(kind), F.col("n")), F.struct(-F.col("n"), F.col(kind))).alias("t"))
     top = top.select(cluster, "size", F.col(f"t.{kind}").alias(kind), F.col("t.n").alias("n"))
     return top.join(of_kind, kind).select(cluster, kind, "size", (F.col("n") / F.col("size")).alias("precision"), (F.col("n") / F.col("kind_total")).alias("recall"))
 

@@ -1,135 +1,41 @@
-"""Segmentation: from messages to ordered, gap-free segments (msg_id, seg_no, offset, length, bytes)."""
+"""Segmentation: from messages to ordered, gap-free segments (msg_id, seg_no, offset, length, bytes).
+
+What cuts messages works on batches of them (``cuts``); the rest is expressed on columns.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-SEGMENTS = "msg_id bigint, seg_no int, offset int, length int, bytes binary"
+from fieldlore.operators import cuts as C
 
+SEGMENTS = "msg_id bigint, seg_no int, offset int, length int, bytes binary"
 
-def smooth(x: np.ndarray, sigma: float) -> np.ndarray:
-    """Gaussian filter with mirrored ends."""
-    r = int(4 * sigma + 0.5)
-    k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
-    m = np.arange(-r, len(x) + r) % (2 * len(x))
-    return np.convolve(x[np.where(m < len(x), m, 2 * len(x) - 1 - m)], k / k.sum(), "valid")
-
-
-def rises(data: bytes, sigma: float) -> list[int]:
-    """Bounds where the change of bit congruence rises most steeply from a minimum to the maximum that follows."""
-    n = len(data)
-    if n <= 3:
-        return [0, n] if n else [0]
-    b = np.frombuffer(data, np.uint8)
-    raw = np.diff(1 - np.bitwise_count(b[:-1] ^ b[1:]) / 8)
-    g, skip = smooth(raw, sigma), 2
-    beyond = np.sign(np.diff(g))
-    left, right = np.append(0, beyond), np.append(-beyond, 0)
-    # an end needs only its inner neighbour; beside the undefined start, the first value has none to its left
-    low = [i for i in range(len(g)) if (i == 0 or left[i] < 0) and (i == len(g) - 1 or right[i] < 0) and len(g) > 1]
-    high = [i for i in range(len(g)) if (i == 0 or left[i] > 0) and (i == len(g) - 1 or right[i] > 0) and len(g) > 1]
-    marks = sorted([(i + skip, 0) for i in low] + [(i + skip, 1) for i in high])
-    cuts = []
-    for (i, a), (j, z) in zip(marks, marks[1:], strict=False):
-        if (a, z) == (0, 1) and j + 1 - i > 1:
-            cuts.append(i + int(np.argmax(np.diff(raw[i - skip : j + 1 - skip]))))
-    return apart(cuts, n)
-
-
-def apart(cuts: list[int], n: int) -> list[int]:
-    """The cut rule: a candidate stays if it is more than one byte after the candidate before; the last is the end."""
-    candidates = [0, *cuts, n]
-    kept = [0] + [b for a, b in zip(candidates, candidates[1:], strict=False) if b - a > 1]
-    if kept[-1] != n:
-        if len(kept) > 1:
-            kept[-1] = n
-        else:
-            kept.append(n)
-    return kept
-
-
-def _printable(b: bytes) -> bool:
-    return all(0x20 <= x <= 0x7E for x in b)
-
-
-def merge_text(segments: list[bytes]) -> list[bytes]:
-    """Joins neighbours that are both wholly printable."""
-    out: list[bytes] = []
-    before = False
-    for s in segments:
-        now = _printable(s)
-        if out and before and now:
-            out[-1] += s
-        else:
-            out.append(s)
-        before = now
-    return out
-
-
-def pull_text(segments: list[bytes]) -> list[bytes]:
-    """Gives a wholly printable segment the printable end of the one before and the printable start of the one after."""
-    left, rest = [], list(reversed(segments))
-    while rest:
-        s = rest.pop()
-        if _printable(s):
-            if left:
-                head = left[-1]
-                k = len(head)
-                while k and 0x20 <= head[k - 1] <= 0x7E:
-                    k -= 1
-                s, head = head[k:] + s, head[:k]
-                left.pop()
-                if head:
-                    left.append(head)
-            if rest:
-                tail = rest.pop()
-                k = 0
-                while k < len(tail) and 0x20 <= tail[k] <= 0x7E:
-                    k += 1
-                s += tail[:k]
-                if tail[k:]:
-                    rest.append(tail[k:])
-        left.append(s)
-    return left
-
-
-def _segmented(df: DataFrame, cut) -> DataFrame:
-    def run(parts):
-        for b in parts:
-            out: dict[str, list] = {k: [] for k in ("msg_id", "seg_no", "offset", "length", "bytes")}
-            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at = 0
-                for k, s in enumerate(cut(data or b"")):
-                    for name, v in zip(out, (i, k, at, len(s), s), strict=True):
-                        out[name].append(v)
-                    at += len(s)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return df.select("msg_id", "data").mapInArrow(run, SEGMENTS)
+def segmented(df: DataFrame, cut: Callable[[C.Batch], np.ndarray]) -> DataFrame:
+    """Segments of (msg_id, data) by the mask that cut gives a batch of messages. Null and empty messages have none; repeated rows each get theirs."""
 
+    def run(parts):
+        for part in parts:
+            ids, messages = part.column(0), part.column(1).to_pylist()
+            for a, z in C.in_chunks([len(m) if m else 0 for m in messages]):
+                b = C.Batch(messages[a:z])
+                if len(b.data):
+                    yield C.as_rows(ids.slice(a, z - a), b, cut(b))
 
-def _pieces(data: bytes, bounds: list[int]) -> list[bytes]:
-    return [data[a:z] for a, z in zip(bounds, bounds[1:], strict=False) if z > a]
+    return df.select(F.col("msg_id").cast("bigint").alias("msg_id"), "data").mapInArrow(run, SEGMENTS)
 
 
 def congruence(df: DataFrame, sigma: float = 0.6, little_endian: bool = False, refined: bool = False) -> DataFrame:
     """Bit-congruence segmentation of (msg_id, data); messages of three bytes or fewer are one segment, empty ones have none. refined merges and pulls text afterwards."""
-
-    def cut(data: bytes) -> list[bytes]:
-        if little_endian:
-            bounds = [len(data) - b for b in reversed(rises(data[::-1], sigma))]
-        else:
-            bounds = rises(data, sigma)
-        out = _pieces(data, bounds)
-        return pull_text(merge_text(out)) if refined else out
-
-    return _segmented(df, cut)
+    rise = lambda b: C.steepest_rises(b, sigma)
+    cut = (lambda b: C.backwards(b, rise)) if little_endian else rise
+    return segmented(df, (lambda b: C.refine(b, cut(b), ["text", "pull"])) if refined else cut)
 
 
 def fixed(df: DataFrame, n: int = 4) -> DataFrame:
@@ -141,8 +47,6 @@ def fixed(df: DataFrame, n: int = 4) -> DataFrame:
 
 def islands(segments: DataFrame, same) -> DataFrame:
     """Merges runs of neighbours while same(bytes before, bytes) holds for each original pair."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("msg_id").orderBy("seg_no")
     marked = segments.withColumn("_prev", F.lag("bytes").over(w))
     marked = marked.withColumn("_new", F.when(F.col("_prev").isNull(), F.lit(True)).otherwise(~same(F.col("_prev"), F.col("bytes"))).cast("int"))
@@ -151,248 +55,47 @@ def islands(segments: DataFrame, same) -> DataFrame:
     return runs.select("msg_id", (F.col("_run") - 1).cast("int").alias("seg_no"), "offset", "length", F.unhex(F.array_join("p.h", "")).alias("bytes"))
 
 
-def _lows(g: np.ndarray) -> list[int]:
-    """Strict local minima; an end needs only its inner neighbour."""
-    n = len(g)
-    return [i for i in range(n) if n > 1 and (i == 0 or g[i] < g[i - 1]) and (i == n - 1 or g[i] < g[i + 1])]
-
-
-def dips(data: bytes, sigma: float = 1.5, horizon: bool = False) -> list[int]:
-    """Bounds at the least raw value around each minimum of the smoothed series, which is bit congruence or what it rises over its horizon of two bytes.
-
-    The places around a minimum reach half-way to the minima beside it, the first byte and the end, and the series starts one byte in.
-    """
-    n = len(data)
-    b = np.frombuffer(data, np.uint8)
-    raw = 1 - np.bitwise_count(b[:-1] ^ b[1:]) / 8
-    if horizon:
-        raw = raw[2:] - (raw[1:-1] + raw[:-2]) / 2
-    if len(raw) < 2:
-        return [0, n] if n else [0]
-    stops = np.array([0, *(i + 1 for i in _lows(smooth(raw, sigma))), n])
-    centres = (np.round(np.diff(stops) / 2) + stops[:-1]).astype(int)
-    raw = np.append(0.0, raw)
-    return apart([a + int(np.argmin(raw[a:z])) for a, z in zip(centres, centres[1:], strict=False) if len(raw[a:z])], n)
-
-
-def leaps(data: bytes, steepness: int = 200) -> list[int]:
-    """Bounds where the change of neighbouring bytes turns by more than steepness, or to or from no change; the cut is at the greater change."""
-    n = len(data)
-    d = np.diff(np.frombuffer(data, np.uint8).astype(int))
-    if len(d) < 2:
-        return [0, n] if n else [0]
-    left, right = d[:-1], d[1:]
-    turn = (abs(right - left) > steepness) | ((left == 0) != (right == 0))
-    at = np.arange(len(left)) + np.where(abs(left) > abs(right), 0, 1) + 1
-    return sorted({0, n, *at[turn].tolist()})
-
-
-def plunges(data: bytes, share: float = 0.3) -> list[int]:
-    """Bounds before a byte in the top share of the message's range that a byte in the bottom share follows."""
-    v = np.frombuffer(data, np.uint8).astype(float)
-    if not len(v):
-        return [0]
-    margin = (v.max() - v.min()) * share
-    return sorted({0, len(v), *np.flatnonzero((v[:-1] > v.max() - margin) & (v[1:] < v.min() + margin)).tolist()})
-
-
-def text_like(b: bytes, low: float = 50, high: float = 115, least: int = 6) -> bool:
-    """The test of ``functions.series.text_like`` for one value."""
-    some = [x for x in b if x]
-    if len(b) < least or not some:
-        return False
-    odd = sum(not 0x20 <= x <= 0x7E for x in some)
-    return max(b) < 0x7F and low <= sum(some) / len(some) <= high and odd / len(b) < 0.33
-
-
-def _ends(segments: list[bytes]) -> list[int]:
-    return np.cumsum([len(s) for s in segments]).tolist()
-
-
-def zero_slices(segments: list[bytes], little_endian: bool = False) -> list[bytes]:
-    """Cuts at the edges of runs of zeros, which outrank inferred bounds one byte away.
-
-    A run of one or two zeros belongs to text before it (or to whatever is before it, for little endian), otherwise to what follows.
-    """
-    data = b"".join(segments)
-    n = len(data)
-    if not n:
-        return []
-    edges = [0, *(i for i in range(1, n) if (data[i] == 0) != (data[i - 1] == 0)), n]
-    kept = set(edges)
-    for a, z in zip(edges, edges[1:], strict=False):
-        if data[a] == 0 and z - a <= 2:
-            if little_endian or text_like(data[max(0, a - 6) : a]):
-                kept.discard(a)
-            elif z < n:
-                kept.discard(z)
-    own = {e for e in _ends(segments) if e - 1 not in kept and e + 1 not in kept}
-    return _pieces(data, sorted(own | kept | {0, n}))
-
-
-class Sums:
-    """Prefix sums of a message, by which any stretch is tested for text in constant time."""
-
-    def __init__(self, data: bytes):
-        v = np.frombuffer(data, np.uint8).astype(np.int64)
-        odd = (v != 0) & ((v < 0x20) | (v > 0x7E))
-        double = np.append((v[:-1] == 0) & (v[1:] == 0), False)[: len(v)]
-        self.some, self.total, self.odd, self.high, self.double = (np.concatenate([[0], np.cumsum(x)]).tolist() for x in (v != 0, v, odd, v >= 0x7F, double))
-
-    def text_like(self, a: int, z: int, low: float = 50, high: float = 115, least: int = 6) -> bool:
-        """What text_like says of bytes a to z."""
-        some = self.some[z] - self.some[a]
-        if z - a < least or not some or self.high[z] > self.high[a]:
-            return False
-        return low <= (self.total[z] - self.total[a]) / some <= high and (self.odd[z] - self.odd[a]) / (z - a) < 0.33
-
-    def zeros(self, a: int, z: int) -> int:
-        return z - a - (self.some[z] - self.some[a])
-
-    def double_zero(self, a: int, z: int) -> bool:
-        return z - a > 1 and self.double[z - 1] > self.double[a]
-
-
-def gather_text(segments: list[bytes], least: int = 6) -> list[bytes]:
-    """Joins neighbours that together, from least bytes on, stay text-like and free of double zeros; else the first goes as it is."""
-    data = b"".join(segments)
-    ends, sums, out, i, start = _ends(segments), Sums(data), [], 0, 0
-    while i < len(segments):
-        found, j = 0, i
-        while j < len(segments):
-            if ends[j] - start >= least:
-                if not sums.text_like(start, ends[j]) or sums.double_zero(start, ends[j]):
-                    break
-                found = ends[j]
-            j += 1
-        # without a text the first segment stands alone and the search goes on behind it
-        i = j if found else i + 1
-        out.append(data[start : ends[i - 1]])
-        start = ends[i - 1]
-    return out
-
-
-def text_spans(data: bytes, least: int = 6) -> list[tuple[int, int]]:
-    """Longest text-like stretches without zeros, from the left, of least bytes or more."""
-    sums, out, a = Sums(data), [], 0
-    while a + least <= len(data):
-        z = a + least
-        if sums.zeros(a, z) or not sums.text_like(a, z):
-            a += 1
-            continue
-        while z < len(data) and data[z] and sums.text_like(a, z + 1):
-            z += 1
-        out.append((a, z))
-        a = z
-    return out
-
-
-def crop_text(segments: list[bytes]) -> list[bytes]:
-    """Text stretches become segments of their own; other bounds inside them go."""
-    data = b"".join(segments)
-    spans = text_spans(data)
-    inner = {b for a, z in spans for b in range(a + 1, z)}
-    return _pieces(data, sorted(({0, len(data), *_ends(segments)} - inner) | {x for s in spans for x in s}))
-
-
-def _bit_entropy(b: bytes, n: int) -> float:
-    bit = np.unpackbits(np.frombuffer(b, np.uint8)).astype(int)
-    grams = sum(bit[k : len(bit) - n + 1 + k] << (n - 1 - k) for k in range(n))
-    p = np.bincount(grams) / max(len(grams), 1)
-    p = p[p > 0]
-    return float(-(p * np.log2(p)).sum() / n)
-
-
-#: short values recur; long ones aren't kept
-_short_entropy = lru_cache(50_000)(_bit_entropy)
-
-
-def bit_entropy(b: bytes, n: int = 3) -> float:
-    """Entropy of overlapping runs of n bits, over n."""
-    return _short_entropy(b, n) if len(b) <= 16 else _bit_entropy(b, n)
-
-
-def look_random(a: bytes, b: bytes, x: float, y: float) -> bool:
-    """Two neighbours of nearly one bit entropy (x and y), or of high and similar ones whose combination by exclusive or is random too."""
-    if abs(x - y) < 0.01:
-        return True
-    return abs(x - y) < 0.2 and x > 0.5 and y > 0.5 and bit_entropy(bytes(p ^ q for p, q in zip(a, b, strict=False))) > 0.8
-
-
-def merge_random(segments: list[bytes]) -> list[bytes]:
-    """Joins runs in which each original pair looks random, until nothing changes."""
-    while True:
-        e = [bit_entropy(s) for s in segments]
-        out = [list(segments[:1])] if segments else []
-        for k in range(1, len(segments)):
-            if look_random(segments[k - 1], segments[k], e[k - 1], e[k]):
-                out[-1].append(segments[k])
-            else:
-                out.append([segments[k]])
-        joined = [b"".join(run) for run in out]
-        if len(joined) == len(segments):
-            return joined
-        segments = joined
-
-
-def first_bytes(segments: list[bytes]) -> list[bytes]:
-    """The first segment in single bytes."""
-    return [segments[0][k : k + 1] for k in range(len(segments[0]))] + segments[1:] if segments else []
-
-
-#: steps on the segments of one message, by name
-STEPS = {"text": merge_text, "pull": pull_text, "gather": gather_text, "zeros": zero_slices, "crop_text": crop_text, "random": merge_random, "first_bytes": first_bytes}
-
-
-def _cut(data: bytes, steps: list[str], sigma: float) -> list[bytes]:
-    out = _pieces(data, rises(data, sigma))
-    for s in steps:
-        out = STEPS[s](out)
-    return out
-
-
 def refined(df: DataFrame, steps: list[str], sigma: float = 0.6) -> DataFrame:
-    """Bit-congruence segmentation and steps of STEPS after it."""
-    return _segmented(df, lambda data: _cut(data, steps, sigma))
+    """Bit-congruence segmentation and steps (names of ``cuts.STEPS``) after it."""
+    return segmented(df, lambda b: C.refine(b, C.steepest_rises(b, sigma), steps))
 
 
 def again(segments: DataFrame, steps: list[str]) -> DataFrame:
-    """Steps of STEPS on segments that there are; those of a message are brought together first."""
+    """Steps (names of ``cuts.STEPS``) on segments that there are; those of a message are brought together first."""
     parts = F.array_sort(F.collect_list(F.struct("seg_no", "bytes"))).alias("p")
-    rows = segments.groupBy("msg_id").agg(parts).select("msg_id", F.col("p.bytes").alias("parts"))
+    rows = segments.where(F.octet_length("bytes") > 0).groupBy("msg_id").agg(parts).select("msg_id", F.col("p.bytes").alias("parts"))
 
     def run(batches):
-        for b in batches:
-            out: dict[str, list] = {k: [] for k in ("msg_id", "seg_no", "offset", "length", "bytes")}
-            for i, pieces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for s in steps:
-                    pieces = STEPS[s](pieces)
-                at = 0
-                for k, s in enumerate(pieces):
-                    for name, v in zip(out, (i, k, at, len(s), s), strict=True):
-                        out[name].append(v)
-                    at += len(s)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+        for part in batches:
+            ids, lists = part.column(0), part.column(1).to_pylist()
+            messages = [b"".join(x) for x in lists]
+            for a, z in C.in_chunks([len(m) for m in messages]):
+                b = C.Batch(messages[a:z])
+                mask, at = np.zeros(len(b.data), bool), 0
+                for x in lists[a:z]:
+                    ends = at + np.cumsum([0, *map(len, x)])
+                    mask[ends[:-1]] = True
+                    at = ends[-1]
+                yield C.as_rows(ids.slice(a, z - a), b, C.refine(b, mask, steps))
 
     return rows.mapInArrow(run, SEGMENTS)
 
 
 def minima(df: DataFrame, sigma: float = 1.5, horizon: bool = False) -> DataFrame:
-    return _segmented(df, lambda data: _pieces(data, dips(data, sigma, horizon)))
+    return segmented(df, lambda b: C.lows_between(b, sigma, horizon))
 
 
 def variance(df: DataFrame, steepness: int = 200) -> DataFrame:
-    return _segmented(df, lambda data: _pieces(data, leaps(data, steepness)))
+    return segmented(df, lambda b: C.steep_changes(b, steepness))
 
 
 def falls(df: DataFrame, share: float = 0.3) -> DataFrame:
-    return _segmented(df, lambda data: _pieces(data, plunges(data, share)))
+    return segmented(df, lambda b: C.falls(b, share))
 
 
-def zeros(df: DataFrame, little_endian: bool = False) -> DataFrame:
-    """Zero slices of whole messages, then text stretches."""
-    return _segmented(df, lambda data: crop_text(zero_slices([data] if data else [], little_endian)))
+def zeros(df: DataFrame, little_endian: bool = False, fields: bool = True) -> DataFrame:
+    """Zero slices of whole messages, then recognised text (or text stretches without zeros)."""
+    return segmented(df, lambda b: C.refine(b, b.whole(), ["zeros_le" if little_endian else "zeros", "crop_fields" if fields else "crop_text"]))
 
 
 def whole(df: DataFrame) -> DataFrame:
@@ -415,8 +118,6 @@ def random(df: DataFrame, seed: int = 42, share: float = 0.25) -> DataFrame:
 
 def from_lengths(df: DataFrame, fields: DataFrame) -> DataFrame:
     """Segments of given lengths (msg_id, pos, len), as dissected fields have them."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("msg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     f = fields.withColumn("offset", (F.sum("len").over(w) - F.col("len")).cast("int"))
     return f.join(df.select("msg_id", "data"), "msg_id").select("msg_id", F.col("pos").cast("int").alias("seg_no"), "offset", F.col("len").cast("int").alias("length"), F.substring("data", F.col("offset") + 1, F.col("len")).alias("bytes"))
@@ -424,8 +125,6 @@ def from_lengths(df: DataFrame, fields: DataFrame) -> DataFrame:
 
 def fill_gaps(df: DataFrame, segments: DataFrame) -> DataFrame:
     """Segments, and new ones for the bytes before, between and after them; messages without any are one segment."""
-    from pyspark.sql.window import Window
-
     size = df.where(F.octet_length("data") > 0).select("msg_id", F.octet_length("data").alias("offset"), F.lit(0).alias("length"))
     w = Window.partitionBy("msg_id").orderBy("offset", "length")
     ends = segments.select("msg_id", "offset", "length").union(size)
@@ -445,8 +144,6 @@ def wobble(df: DataFrame, segments: DataFrame) -> DataFrame:
 
 def split_segment(segments: DataFrame, number: int = 0, size: int = 1) -> DataFrame:
     """Chops the segment of that number into chunks of size bytes."""
-    from pyspark.sql.window import Window
-
     hit = F.col("seg_no") == number
     steps = F.when(hit, F.sequence(F.lit(0), F.col("length") - 1, F.lit(size))).otherwise(F.array(F.lit(0)))
     rows = segments.where("length > 0").select("*", F.explode(steps).alias("k"))
@@ -462,26 +159,92 @@ def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, "msg_id").where("a < y AND c < z").select("msg_id", "left_no", "right_no", (F.least("z", "y") - F.greatest("a", "c")).alias("shared"))
 
 
-def crop_common(segments: DataFrame, messages: DataFrame, share: float = 0.1) -> DataFrame:
-    """Cuts the most frequent common value that a segment holds, at its first place, out of it.
+def substrings(lengths: list[int], column: str = "bytes") -> Column:
+    """All runs of the given numbers of bytes, as (value, at), at from 1."""
+    size = F.octet_length(column)
+    of = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda p: F.struct(F.substring(F.col(column), p, n).alias("value"), p.alias("at")))
+    return F.flatten(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= size), of))
 
-    Common values occur in over share of the messages' number, so that there are at most (segments a message / share) of them: that bounds the broadcast.
-    """
-    from pyspark.sql.window import Window
 
+def crop_common(segments: DataFrame, messages: DataFrame | int, share: float = 0.1) -> DataFrame:
+    """Cuts the most frequent common value that a segment holds, at its first place, out of it; ties in frequency go by the bytes.
+
+    messages are the messages, or how many there are. Segments should be a saved table: they are read twice. Values and segments meet by equality of
+    the value with the runs of bytes of its length, so that nothing is sent to every task.
+    """
     from fieldlore.operators import messages as M
 
-    # ties in frequency go by the bytes
-    common = M.common_values(segments, messages.count(), share).select(F.col("bytes").alias("value"), F.col("n").alias("often"))
+    n = messages if isinstance(messages, int) else messages.count()
+    common = M.common_values(segments, n, share).select(F.col("bytes").alias("value"), F.col("n").alias("often"))
+    # one number for each length that a common value has
+    lengths = sorted(r[0] for r in common.select(F.octet_length("value")).distinct().collect())
+    if not lengths:
+        return segments
     key = ["msg_id", "offset"]
-    hits = segments.join(F.broadcast(common), F.position("value", "bytes") > 0)
-    first = hits.groupBy(*key).agg(F.max_by("value", F.struct("often", "value")).alias("value"))
-    s = segments.join(first, key, "left")
-    at = F.coalesce(F.position("value", "bytes") - 1, F.lit(0))
-    size = F.coalesce(F.octet_length("value"), F.col("length"))
-    s = s.withColumn("at", at).withColumn("size", size)
+    grams = segments.where(F.col("length") >= lengths[0]).select(*key, F.inline(substrings(lengths)))
+    first = grams.join(common, "value").groupBy(*key).agg(F.max(F.struct("often", "value", (-F.col("at")).alias("at"))).alias("m"))
+    s = segments.join(first.select(*key, F.octet_length("m.value").alias("size"), (-F.col("m.at") - 1).alias("at")), key, "left")
+    s = s.fillna(0, ["at"]).withColumn("size", F.coalesce("size", "length"))
     part = lambda a, n: F.struct((F.col("offset") + a).alias("offset"), n.alias("length"), F.substring("bytes", a + 1, n).alias("bytes"))
     after = F.col("at") + F.col("size")
     s = s.select("msg_id", F.explode(F.array(part(F.lit(0), F.col("at")), part(F.col("at"), F.col("size")), part(after, F.col("length") - after))).alias("s"))
     s = s.select("msg_id", "s.*").where("length > 0")
     return s.select("msg_id", (F.row_number().over(Window.partitionBy("msg_id").orderBy("offset")) - 1).alias("seg_no"), "offset", "length", "bytes")
+
+
+def from_cells(cells: DataFrame) -> DataFrame:
+    """Segments of messages given as cells (msg_id, cells), null or empty ones left out."""
+    some = F.filter("cells", lambda c: c.isNotNull() & (F.octet_length(c) > 0))
+    x = cells.select("msg_id", F.posexplode(some).alias("seg_no", "bytes")).withColumn("length", F.octet_length("bytes"))
+    w = Window.partitionBy("msg_id").orderBy("seg_no").rowsBetween(Window.unboundedPreceding, 0)
+    return x.select("msg_id", "seg_no", (F.sum("length").over(w) - F.col("length")).cast("int").alias("offset"), "length", "bytes")
+
+
+def with_feature(segments: DataFrame, series: DataFrame) -> DataFrame:
+    """Segments with the part of another series (msg_id, values) of their messages that begins in them."""
+    return segments.join(series.select("msg_id", F.col("values").alias("_s")), "msg_id").select("*", F.slice("_s", F.col("offset") + 1, F.col("length")).alias("values")).drop("_s")
+
+
+def merge_on_rise(segments: DataFrame, little_endian: bool = False) -> DataFrame:
+    """Neighbours merged unless the second value is more frequent, among all segments, than what is left of the frequencies before.
+
+    A frequency that falls is held and lessened by a quarter of the fall, rounded down; for little endian messages are read from their end.
+    """
+    n = segments.groupBy("bytes").agg(F.count("*").alias("n"))
+    x = segments.join(n, "bytes").groupBy("msg_id").agg(F.array_sort(F.collect_list(F.struct("seg_no", "offset", F.hex("bytes").alias("h"), "n"))).alias("p"))
+    order = F.reverse("p") if little_endian else F.col("p")
+    held = lambda last, now: F.when(now >= last, now).otherwise(last - F.floor((last - now) / 4))
+    # the held frequency of each segment, grown from the left
+    step = lambda acc, s: F.concat(acc, F.array(held(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0).cast("bigint")), s["n"])))
+    peaks = F.aggregate(order, F.array().cast("array<bigint>"), step)
+    size = F.size("p")
+    joins = (lambda k, i: F.get(k, i - 1) <= F.get(k, i)) if little_endian else (lambda k, i: F.get(k, i - 1) >= F.get(k, i))
+    # the frequencies are evaluated once a message, not once a segment
+    starts = F.element_at(F.transform(F.array(F.reverse(peaks) if little_endian else peaks), lambda k: F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | ~F.coalesce(joins(k, i), F.lit(False)))), 1)
+    x = x.select("msg_id", "p", F.inline(F.array(F.struct(starts.alias("s"))))).select("msg_id", "p", "s", F.posexplode("s").alias("seg_no", "a"))
+    end = F.coalesce(F.get("s", F.col("seg_no") + 1), F.size("p"))
+    h = F.array_join(F.transform(F.slice("p", F.col("a") + 1, end - F.col("a")), lambda q: q["h"]), "")
+    return x.select("msg_id", "seg_no", F.get("p", F.col("a"))["offset"].alias("offset"), (F.length(h) / 2).cast("int").alias("length"), F.unhex(h).alias("bytes"))
+
+
+def at_rarest_pairs(segments: DataFrame, messages: DataFrame) -> DataFrame:
+    """Bounds moved by a byte to the rarest pair of bytes: what lies across a bound, before it and after it is counted over all bounds.
+
+    A bound stays if the pair across it is rarest, else it moves before the pair before it, or after the first byte of the one after it; two bytes are needed on each side. Bounds that
+    meet are one.
+    """
+    m = messages.select("msg_id", "data", F.octet_length("data").alias("size"))
+    at = lambda k: F.substring("data", F.col("offset") + k, F.lit(2))
+    b = segments.select("msg_id", "offset").join(m, "msg_id").where("offset >= 2 AND offset + 2 <= size")
+    b = b.select("msg_id", "offset", at(0).alias("across"), at(-1).alias("before"), at(1).alias("after"))
+    n = b.select(F.explode(F.array("across", "before", "after")).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    of = lambda name: n.select(F.col("g").alias(name), F.col("n").alias(f"n_{name}"))
+    b = b.join(of("across"), "across").join(of("before"), "before").join(of("after"), "after")
+    stay = (F.col("n_across") <= F.col("n_before")) & (F.col("n_across") <= F.col("n_after"))
+    shift = F.when(stay, 0).when(F.col("n_before") <= F.col("n_after"), -1).otherwise(1)
+    moved = segments.select("msg_id", "offset").join(b.select("msg_id", "offset", shift.alias("s")), ["msg_id", "offset"], "left")
+    x = moved.select("msg_id", (F.col("offset") + F.coalesce("s", F.lit(0))).cast("int").alias("offset")).distinct().join(m, "msg_id").where("offset < size")
+    w = Window.partitionBy("msg_id").orderBy("offset")
+    length = (F.coalesce(F.lead("offset").over(w), F.col("size")) - F.col("offset")).cast("int")
+    x = x.select("msg_id", (F.row_number().over(w) - 1).alias("seg_no"), "offset", length.alias("length"), "data")
+    return x.select("msg_id", "seg_no", "offset", "length", F.substring("data", F.col("offset") + 1, F.col("length")).alias("bytes"))

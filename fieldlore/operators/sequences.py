@@ -39,3 +39,9 @@ def frequent(df: DataFrame, share: float = 0.6, drop: float = 0.6) -> DataFrame:
 def support(counts: DataFrame, percentile: float = 0.8) -> float | None:
     """The count that a share percentile of sequences (n) don't exceed, as a dynamic support."""
     return counts.agg(F.percentile("n", F.lit(percentile))).first()[0]
+
+
+def most_frequent(found: DataFrame, start: int = 1) -> DataFrame:
+    """(h, length, n) of frequent sequences of start bytes or more with occurrences that no longer one covers, without the longest ones."""
+    top = found.agg(F.max("length")).first()[0] or 0
+    return found.where((F.col("length") >= start) & (F.col("length") < top) & (F.col("rest") > 0)).select("h", "length", F.col("rest").alias("n"))

@@ -16,6 +16,7 @@ from fieldlore.operators import messages as M
 from fieldlore.operators import pairwise as P
 from fieldlore.operators import scores as V
 from fieldlore.operators import segmentation as G
+from fieldlore.operators.lineage import checkpoints, once
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +235,7 @@ def dis16_representatives(spark, sf_dir):
 
 
 def _distances(spark, sf_dir):
-    return P.distances(_reps(spark, sf_dir))
+    return P.distances(once(_reps(spark, sf_dir)))
 
 
 def dis10_distances(spark, sf_dir):
@@ -262,14 +263,6 @@ def sem13_max_distance(spark, sf_dir):
     return d.join(r, "i").join(r.select(F.col("i").alias("j"), F.col("label").alias("lj")), "j").where("label = lj").groupBy("label").agg(F.round(F.max("d"), 6).alias("max_distance"))
 
 
-def checkpoints(spark) -> None:
-    """Sets a checkpoint folder where the session has none: the one that it names, else a local one, as in tests."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints")
-
-
 def clu02_dbscan(spark, sf_dir):
     checkpoints(spark)
     d = _distances(spark, sf_dir)
@@ -350,9 +343,9 @@ t AS (SELECT msg_id, size, e, CASE WHEN e - l <= 1 THEN e ELSE l + (e - l) // 2
 i AS (SELECT msg_id, unnest(range(3, size, 3)) AS x FROM t0),
 x AS (SELECT t.*, EXISTS (SELECT 1 FROM i WHERE i.msg_id = t.msg_id AND x = e) AS exact, (SELECT min(x - e) FROM i WHERE i.msg_id = t.msg_id AND x BETWEEN low AND high) AS off FROM t),
 a AS (SELECT msg_id, count(*) AS true_count, count(*) FILTER (exact) AS exact_count, count(*) FILTER (NOT exact AND low < high AND off IS NOT NULL) AS near_count,
-  coalesce(sum(exp(-(off / 2.0) ** 2)) FILTER (NOT exact AND low < high AND off IS NOT NULL), 0) AS gain FROM x GROUP BY msg_id),
+  coalesce(sum(exp(-((off / 2.0) ** 2))) FILTER (NOT exact AND low < high AND off IS NOT NULL), 0) AS gain FROM x GROUP BY msg_id),
 c AS (SELECT msg_id, count(*) AS n FROM i GROUP BY msg_id)
-SELECT a.msg_id, true_count, coalesce(n, 0)::BIGINT AS inferred_count, exact_count, near_count, round(exp(-((true_count - coalesce(n, 0)) / true_count) ** 2) * (exact_count + gain) / true_count, 6) AS score FROM a LEFT JOIN c USING (msg_id)"""),
+SELECT a.msg_id, true_count, coalesce(n, 0)::BIGINT AS inferred_count, exact_count, near_count, round(exp(-(((true_count - coalesce(n, 0)) / true_count) ** 2)) * (exact_count + gain) / true_count, 6) AS score FROM a LEFT JOIN c USING (msg_id)"""),
     "val13_cluster_quality": (val13_cluster_quality, """WITH d AS (SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), n AS (SELECT source, lang, count(*) AS n, sum(count(*)) OVER (PARTITION BY source) AS size, sum(count(*)) OVER (PARTITION BY lang) AS k FROM d GROUP BY source, lang)
 SELECT source, lang, size::BIGINT AS size, round(n / size, 6) AS precision, round(n / k, 6) AS recall FROM n QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1"""),
     "val14_pair_counts": (val14_pair_counts, """WITH d AS (SELECT source, lang FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
@@ -365,9 +358,9 @@ c AS (SELECT sum(n * (n - 1) / 2) AS wanted FROM (SELECT count(*) AS n FROM d GR
 }
 
 def _all() -> dict:
-    from fieldlore import queries_clusters, queries_segments
+    from fieldlore import queries_clusters, queries_fields, queries_segments
 
-    return SERIES | OTHERS | queries_segments.QUERIES | queries_clusters.QUERIES
+    return SERIES | OTHERS | queries_segments.QUERIES | queries_clusters.QUERIES | queries_fields.QUERIES
 
 
 def queries() -> dict:

@@ -30,7 +30,7 @@ def _on(f, *rounded):
     """A query of f(distances, labels) with columns rounded to six digits, off the ties that means of six-digit distances fall on."""
 
     def query(spark, sf_dir):
-        out = f(_d(spark, sf_dir), _labels(spark, sf_dir))
+        out = f(Q.once(_d(spark, sf_dir)), Q.once(_labels(spark, sf_dir)))
         return out.select(*(F.round(F.col(c) + 1e-9, 6).alias(c) if c in rounded else c for c in out.columns))
 
     return query

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from fieldlore.operators import alignment as A
+from fieldlore.operators import cuts as C
 from fieldlore.operators import pairwise as P
 from fieldlore.operators import segmentation as G
 
@@ -16,11 +17,65 @@ def test_segments_are_gap_free():
     for n in (0, 1, 2, 3, 4, 5, 9, 40, 300):
         for sigma in (0.6, 1.5):
             data = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
-            bounds = G.rises(data, sigma)
+            bounds = C.bounds(data, C.steepest_rises, sigma)
             assert bounds == sorted(set(bounds)) and bounds[0] == 0 and (bounds[-1] == n)
-            pieces = G._pieces(data, bounds)
+            pieces = [data[a:z] for a, z in zip(bounds, bounds[1:], strict=False)]
             assert b"".join(pieces) == data
-            assert b"".join(G.pull_text(G.merge_text(pieces))) == data and all(G.pull_text(G.merge_text(pieces)))
+            assert b"".join(C.refined(pieces, "text", "pull")) == data and all(C.refined(pieces, "text", "pull"))
+
+
+def plain_rises(data, sigma):
+    """Steepest rises one message at a time, from the definition."""
+    n = len(data)
+    bc = [1 - (a ^ b).bit_count() / 8 for a, b in zip(data, data[1:], strict=False)]
+    raw = [b - a for a, b in zip(bc, bc[1:], strict=False)]
+    m, r = len(raw), int(4 * sigma + 0.5)
+    if m < 2:
+        return [0, n] if n else [0]
+    w = np.exp(-0.5 / (sigma * sigma) * np.arange(-r, r + 1) ** 2)
+    w /= w.sum()
+    far = lambda i: raw[i % (2 * m)] if i % (2 * m) < m else raw[2 * m - 1 - i % (2 * m)]
+    g = []
+    for i in range(m):
+        x = raw[i] * w[r]
+        for k in range(r, 0, -1):
+            x += (far(i - k) + far(i + k)) * w[r + k]
+        g.append(x)
+    low = [i for i in range(m) if (i == 0 or g[i] < g[i - 1]) and (i == m - 1 or g[i] < g[i + 1])]
+    high = [i for i in range(m) if (i == 0 or g[i] > g[i - 1]) and (i == m - 1 or g[i] > g[i + 1])]
+    turns, found = sorted([(i, "low") for i in low] + [(i, "high") for i in high]), [0]
+    for (i, x), (j, y) in zip(turns, turns[1:], strict=False):
+        if x == "low" and y == "high":
+            found.append(max(range(i, j), key=lambda k: raw[k + 1] - raw[k]) + 2)
+    found.append(n)
+    kept = [0, *(b for a, b in zip(found, found[1:], strict=False) if b - a > 1)]
+    if kept[-1] != n:
+        kept = [*(kept[:-1] or [0]), n] if len(kept) > 1 else [0, n]
+    return kept
+
+
+def test_batches_cut_as_single_messages():
+    """All kernels give a message the same cuts alone and among others; rises are those of the definition."""
+    rng = np.random.default_rng(5)
+    messages = []
+    for _ in range(400):
+        n, high = int(rng.choice([0, 1, 2, 3, 4, 5, 8, 30])), int(rng.choice([3, 128, 256]))
+        v = rng.integers(0, high, n).astype("u1")
+        v[rng.random(n) < 0.2] = 0
+        text = rng.random(n) < 0.4
+        v[text] = rng.integers(32, 127, text.sum())
+        messages.append(v.tobytes())
+    b = C.Batch(messages)
+    cuts = {"rises": C.steepest_rises, "lows": C.lows_between, "horizon": lambda x: C.lows_between(x, horizon=True), "changes": C.steep_changes, "falls": C.falls, "back": lambda x: C.backwards(x, C.steepest_rises)}
+    cuts |= {s: lambda x, s=s: C.refine(x, C.steepest_rises(x), [s]) for s in C.STEPS}
+    for name, cut in cuts.items():
+        mask = cut(b)
+        for k, m in enumerate(messages):
+            own = np.flatnonzero(mask[b.first[k] : b.first[k + 1]]).tolist()
+            assert [*own, len(m)] == C.bounds(m, cut) if m else own == [], (name, m)
+    for m in messages:
+        assert C.bounds(m, C.steepest_rises) == plain_rises(m, 0.6)
+        assert C.bounds(m, lambda x: C.backwards(x, C.steepest_rises)) == ([len(m) - x for x in reversed(plain_rises(m[::-1], 0.6))])
 
 
 def test_default_segmentation_of_short_messages(spark):

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from fieldlore.operators import cuts as C
 from fieldlore.operators import messages as M
 from fieldlore.operators import segmentation as G
 
@@ -12,56 +13,73 @@ def test_kernels_lose_nothing():
     for n in (0, 1, 2, 3, 4, 6, 17, 200):
         for high in (3, 128, 256):
             data = rng.integers(0, high, n, dtype=np.int64).astype(np.uint8).tobytes()
-            for cut in (G.dips, lambda d: G.dips(d, horizon=True), G.leaps, G.plunges):
-                bounds = cut(data)
+            for cut in (C.lows_between, lambda b: C.lows_between(b, horizon=True), C.steep_changes, C.falls):
+                bounds = C.bounds(data, cut)
                 assert bounds == sorted(set(bounds)) and bounds[0] == 0 and bounds[-1] == n
-            pieces = G._pieces(data, G.rises(data, 0.6))
-            for step in G.STEPS.values():
-                out = step(pieces)
+            ends = C.bounds(data, C.steepest_rises)
+            pieces = [data[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+            for step in C.STEPS:
+                out = C.refined(pieces, step)
                 assert b"".join(out) == data and all(out)
 
 
+def test_text_widens_by_pairs():
+    """A single text takes what is printable on both sides; of two, the first one has taken the second, and what follows keeps its start."""
+    assert C.refined([b"\x01ab", b"cde", b"fg\x02h"], "pull") == [b"\x01", b"abcdefg", b"\x02h"]
+    assert C.refined([b"\x01ab", b"cde", b"xyz", b"fg\x02h"], "pull") == [b"\x01", b"abcdexyz", b"fg\x02h"]
+    assert C.refined([b"ab", b"cd", b"ef", b"g\0"], "pull") == [b"abcdefg", b"\0"]
+    assert C.refined([b"a\x01b", b"cd", b"e\x02f", b"gh", b"\x03"], "pull") == [b"a\x01", b"bcde", b"\x02", b"fgh", b"\x03"]
+
+
+def test_text_fields():
+    """Recognised text takes a closing zero in; two bytes a character are text, too; the last bytes open no window."""
+    assert C.text_fields(b"\x01\x02hello world\0abc\x01") == [(1, 14)]
+    assert C.text_fields(b"h\0e\0l\0l\0o\0\0\x01\x80\x80\x80") == [(0, 11)]
+    assert C.text_fields(b"abcdef") == [] and C.text_fields(b"abcdefg") == [(0, 7)]
+    assert C.crop_text_fields([b"\xf0\xf1hel", b"lo wor", b"ld\0abc\x80"]) == [b"\xf0\xf1", b"hello world\0", b"abc\x80"]
+
+
 def test_zero_slices():
-    assert G.zero_slices([b"ab\0\0\0cd"]) == [b"ab", b"\0\0\0", b"cd"]
-    assert G.zero_slices([b"ab\0cd"]) == [b"ab", b"\0cd"]
-    assert G.zero_slices([b"abcdef\0gh"]) == [b"abcdef\0", b"gh"]
-    assert G.zero_slices([b"ab\0cd"], little_endian=True) == [b"ab\0", b"cd"]
+    assert C.refined([b"ab\0\0\0cd"], "zeros") == [b"ab", b"\0\0\0", b"cd"]
+    assert C.refined([b"ab\0cd"], "zeros") == [b"ab", b"\0cd"]
+    assert C.refined([b"abcdef\0gh"], "zeros") == [b"abcdef\0", b"gh"]
+    assert C.refined([b"ab\0cd"], "zeros_le") == [b"ab\0", b"cd"]
     # an inferred bound one byte from a zero bound or the end gives way, one further off stays
-    assert G.zero_slices([b"a", b"b\0\0\0cd", b"ef"]) == [b"ab", b"\0\0\0", b"cd", b"ef"]
-    assert G.zero_slices([b"ab\0\0\0cd", b"e"]) == [b"ab", b"\0\0\0", b"cde"]
+    assert C.refined([b"a", b"b\0\0\0cd", b"ef"], "zeros") == [b"ab", b"\0\0\0", b"cd", b"ef"]
+    assert C.refined([b"ab\0\0\0cd", b"e"], "zeros") == [b"ab", b"\0\0\0", b"cde"]
 
 
 def test_text_steps():
-    assert G.gather_text([b"ab", b"cd", b"efg", b"\xff\x02"]) == [b"abcdefg", b"\xff\x02"]
-    assert G.gather_text([b"\xff", b"abc", b"def", b"\0\0"]) == [b"\xff", b"abcdef", b"\0\0"]
-    assert G.text_spans(b"\x01\x02hello world\0abc") == [(1, 13)]
-    assert G.crop_text([b"\xf0\xf1hel", b"lo wor", b"ld\0abc"]) == [b"\xf0\xf1", b"hello world", b"\0abc"]
+    assert C.gather_text([b"ab", b"cd", b"efg", b"\xff\x02"]) == [b"abcdefg", b"\xff\x02"]
+    assert C.gather_text([b"\xff", b"abc", b"def", b"\0\0"]) == [b"\xff", b"abcdef", b"\0\0"]
+    assert C.text_spans(b"\x01\x02hello world\0abc") == [(1, 13)]
+    assert C.crop_text([b"\xf0\xf1hel", b"lo wor", b"ld\0abc"]) == [b"\xf0\xf1", b"hello world", b"\0abc"]
 
 
 def test_sums_say_what_one_value_says():
     rng = np.random.default_rng(2)
     for low, high in ((0, 4), (0, 128), (30, 127), (90, 120)):
         data = rng.integers(low, high, 60, dtype=np.int64).astype(np.uint8).tobytes() + b"hello world, \0\0some text\x01"
-        sums = G.Sums(data)
+        sums = C.Sums(data)
         for a in range(len(data)):
             for z in range(a, len(data) + 1):
-                assert sums.text_like(a, z) == G.text_like(data[a:z]), (a, z)
+                assert sums.text_like(a, z) == C.text_like(data[a:z]), (a, z)
                 assert sums.double_zero(a, z) == (b"\0\0" in data[a:z]) and sums.zeros(a, z) == data[a:z].count(0)
 
 
 def test_long_text_is_linear():
     data = b"plain words " * 100_000
-    assert G.text_spans(data) == [(0, len(data))] and G.gather_text([data[k : k + 3] for k in range(0, len(data), 3)]) == [data]
+    assert C.text_spans(data) == [(0, len(data))] and C.gather_text([data[k : k + 3] for k in range(0, len(data), 3)]) == [data]
 
 
 def test_leaps_and_plunges():
-    assert G.leaps(bytes([5, 5, 5, 9, 9])) == [0, 3, 5]
-    assert G.plunges(bytes([0, 255, 0, 100])) == [0, 1, 4]
+    assert C.bounds(bytes([5, 5, 5, 9, 9]), C.steep_changes) == [0, 3, 5]
+    assert C.bounds(bytes([0, 255, 0, 100]), C.falls) == [0, 1, 4]
 
 
 def test_random_runs():
-    assert G.bit_entropy(b"\0\0") == 0 and G.bit_entropy(b"\x1b\x74\xe5") > 0.8
-    assert G.merge_random([b"\0", b"\0\0", b"\x9b\x74\xe5"]) == [b"\0\0\0", b"\x9b\x74\xe5"]
+    assert C.bit_entropy(b"\0\0") == 0 and C.bit_entropy(b"\x1b\x74\xe5") > 0.8
+    assert C.merge_random([b"\0", b"\0\0", b"\x9b\x74\xe5"]) == [b"\0\0\0", b"\x9b\x74\xe5"]
 
 
 def frame(spark, rows):
@@ -113,4 +131,4 @@ def test_measures_and_xor(spark):
     for k, x in enumerate(w):
         assert row.cosine[k] is None if not x.any() else row.cosine[k] == pytest.approx(1 - x @ f / np.sqrt(x @ x * (f @ f)))
         assert row.pearson[k] is None if x.std() == 0 else row.pearson[k] == pytest.approx(np.corrcoef(x, f)[0, 1])
-    assert row.e == pytest.approx(G.bit_entropy(b"\x1b\x74\xe5\x01")) and row.x == pytest.approx(G.bit_entropy(b"\x1b\xf4\x92"))
+    assert row.e == pytest.approx(C.bit_entropy(b"\x1b\x74\xe5\x01")) and row.x == pytest.approx(C.bit_entropy(b"\x1b\xf4\x92"))

@@ -31,4 +31,17 @@ def test_capture(spark, tmp_path):
     segments = pipelines.segment(df, "4bytesfixed").orderBy("msg_id", "seg_no").collect()
     assert [bytes(r.bytes) for r in segments] == [b"hell", b"o", b"worl", b"d"]
     assert pipelines.field_types(pipelines.segment(df), 0.2, 1).count() > 0
-    assert messages.deduplicate(df).columns == df.columns
+
+
+def test_streams(spark, tmp_path):
+    """A stream of message files: the first of each payload, and the last of each payload and hour."""
+    rows = [(1, 1, "2026-01-01 00:00:00", b"a"), (2, 2, "2026-01-01 00:10:00", b"b"), (3, 3, "2026-01-01 00:20:00", b"a"), (4, 4, "2026-01-01 05:00:00", b"z")]
+    df = spark.createDataFrame([(i, k, t, bytearray(d)) for i, k, t, d in rows], "msg_id bigint, seq bigint, ts string, data binary").selectExpr("msg_id", "seq", "timestamp(ts) AS ts", "data")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = {}
+    for name, f, mode in (("first", messages.deduplicate, "append"), ("last", messages.last_of_window, "append")):
+        stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q = f(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+        found[name] = sorted(r.msg_id for r in spark.table(name).collect())
+    assert found["first"] in ([1, 2, 4], [2, 3, 4]) and found["last"] == [2, 3]
