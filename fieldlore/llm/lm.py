@@ -34,7 +34,7 @@ from fieldlore.llm.shared import batches, by_place, col, make_dir, put, size_of,
 from fieldlore.llm.words import Words, chunks
 
 #: Discount, the query's order, logarithms' step, entries that a task sorts at once, characters that are looked up at once.
-DISCOUNT, ORDER, STEP, RUN, CHARS = 0.75, 3, 12 / 65535, 3_000_000, 3_000_000
+DISCOUNT, ORDER, STEP, RUN, CHARS = 0.75, 3, 12 / 65535, 3_000_000, 6_000_000
 #: Bytes of input (as stored) for each file of a level, about: what a task merges grows with it, and files with the input.
 FILE_BYTES = 16 << 20
 ADD = 0.1
@@ -145,7 +145,7 @@ class Level:
             own, of = context[a:z][new] - f.low, np.cumsum(new) - 1
             inside = (own >= 0) & (own < len(f.pointers) - 1)
             own = np.where(inside, own, 0)
-            first, last = f.pointers.get(own).astype("i8"), f.pointers.get(own + 1).astype("i8")
+            first, last = (x.astype("i8") for x in f.pointers.get_two(own))
             last = np.where(inside, last, first)
             start = np.zeros(len(own), "u8")
             some = np.flatnonzero(first > 0)

@@ -22,6 +22,8 @@ def test_sequence(values, asked):
     x = np.sort(np.array(values, "u8"))
     s = ef.EliasFano(ef.build(x))
     assert s.get(np.arange(len(x))).tolist() == x.tolist()
+    if len(x) > 1:
+        assert [v.tolist() for v in s.get_two(np.arange(len(x) - 1))] == [x[:-1].tolist(), x[1:].tolist()]
     q = np.array(asked + values, "u8")
     at, hit = s.lower_bound(q)
     assert at.tolist() == np.searchsorted(x, q).tolist()
@@ -54,6 +56,19 @@ def test_pairs_beyond_64_bits():
     assert lm.packed(c, t, 36) is None and lm.packed(c >> 33, t, 36) is not None
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 2**64 - 1))
+def test_bits(word):
+    places = [i for i in range(64) if word >> i & 1]
+    assert ef.nth_bit(np.full(len(places), word, "u8"), np.arange(len(places))).tolist() == places
+    words = np.array([word, 0, word, 2**64 - 1, 1 << 63], "u8")
+    bits = [bool(int(words[i // 64]) >> (i % 64) & 1) for i in range(320)]
+    at = np.arange(250)
+    for zeros in (False, True):
+        want = [bits.index(not zeros, i + 1) for i in at]
+        assert ef.bit_after(words, at, zeros).tolist() == [x if x // 64 == i // 64 else -1 for i, x in zip(at.tolist(), want, strict=True)]
+
+
 def test_sequence_file(tmp_path):
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype("u8")) | np.uint64(1 << 63)
     (tmp_path / "f").write_bytes(ef.pack(ef.build(x) | {"more": np.arange(7, dtype="u2")}))
