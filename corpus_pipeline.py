@@ -50,12 +50,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids of each whole text, how many, and digests of them and of what they decode to.
+    """doc_id, how many ids each whole text has, and digests of them and of what they decode to.
 
     Null and empty texts have no ids; repeated rows each get a row; an empty table gives none.
     """
     # a smaller table of words: the executors also hold what the stages before left in their heaps
-    return bpe_round_trip(docs, vocabulary("word_bpe_49k.json"), table=100_000, with_ids=True)
+    return bpe_round_trip(docs, vocabulary("word_bpe_49k.json"), table=100_000)
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("encoding", encoding)]
