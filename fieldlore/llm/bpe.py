@@ -205,7 +205,7 @@ class MergeTable:
         return [t for t, live in zip(ids, alive, strict=True) if live]
 
     def merge_many(self, pieces: list[str], sizes: bool = False) -> list:
-        """Token ids of many pre-tokens, in their order, or only how many there are of each."""
+        """Token ids of many pre-tokens as little-endian 32-bit integers, in their order, or only how many there are of each."""
         out: list = [None] * len(pieces)
         data = [p.encode() for p in pieces]
         size = np.fromiter(map(len, data), "i4", len(data))
@@ -214,7 +214,7 @@ class MergeTable:
             if n > SHORT or len(at) < 16 or not self.whole:
                 for i in at.tolist():
                     ids = self.parts(pieces[i])
-                    out[i] = len(ids) if sizes else np.array(ids, "<u4")
+                    out[i] = len(ids) if sizes else struct.pack(f"<{len(ids)}I", *ids)
                 continue
             symbols = np.frombuffer(b"".join([data[i] for i in at.tolist()]), np.uint8).reshape(-1, n)
             ids = np.array(self.inner, "i4")[symbols]
@@ -228,8 +228,9 @@ class MergeTable:
                         for i in at[done].tolist():
                             out[i] = ids.shape[1]
                     else:
-                        for i, row in zip(at[done].tolist(), ids[done].astype("<u4"), strict=True):
-                            out[i] = row
+                        rows, step = ids[done].astype("<u4").tobytes(), 4 * ids.shape[1]
+                        for k, i in enumerate(at[done].tolist()):
+                            out[i] = rows[k * step : k * step + step]
                     live = ~done
                     at, ids, ranks, low = at[live], ids[live], ranks[live], low[live]
                     if not len(at):
@@ -249,22 +250,24 @@ class MergeTable:
     def learn(self, new: set[str]) -> None:
         """Puts new words into the table. A word is encoded in lower case and without one closing mark, which is a pre-token of its own."""
         words, old, marks = self.words, self.words.old, self.marks
-        learnt, stems, fresh = {}, [], set()
+        learnt, whole, stems, closing = {}, [], [], []
         for w in new:
-            if w in old:
-                learnt[w] = old[w]
+            ids = old.get(w)
+            if ids is not None:
+                learnt[w] = ids
                 continue
             stem = w.lower() if w.isascii() else w
-            mark = ""
+            whole.append(w)
             if stem[-1] in marks and stem[-2:-1].isalpha():
-                stem, mark = stem[:-1], stem[-1]
-            stems.append((w, stem, mark))
-            if stem not in words:
-                fresh.add(stem)
-        fresh, cut, pieces = list(fresh), [], []
+                stems.append(stem[:-1])
+                closing.append(marks[stem[-1]])
+            else:
+                stems.append(stem)
+                closing.append(b"")
+        fresh, cut, pieces = [s for s in set(stems) if s not in words], [], []
         for w in fresh:
-            # letters only: one pre-token
-            x = self.normal(w)
+            # ASCII is in lower case by now; letters only: one pre-token
+            x = w if w.isascii() else self.normal(w)
             if x.isalpha():
                 cut.append(1)
                 pieces.append(x)
@@ -274,11 +277,13 @@ class MergeTable:
                 pieces += found
         made, k, ids_of = self.merge_many(pieces), 0, {}
         for w, n in zip(fresh, cut, strict=True):
-            ids_of[w] = made[k].tobytes() if n == 1 else b"".join(x.tobytes() for x in made[k : k + n])
+            ids_of[w] = made[k] if n == 1 else b"".join(made[k : k + n])
             k += n
-        for w, stem, mark in stems:
-            ids = ids_of[stem] if stem in ids_of else words[stem]
-            learnt[w] = ids + marks[mark] if mark else ids
+        for w, stem, mark in zip(whole, stems, closing, strict=True):
+            ids = ids_of.get(stem)
+            if ids is None:
+                ids = words[stem]
+            learnt[w] = ids + mark if mark else ids
         words.add(learnt)
 
     def pre_tokens(self, text: str | None) -> tuple[list[str], int]:
@@ -304,7 +309,7 @@ class MergeTable:
             usual = t and not self.specials.search(t) and not ODD_SPACE.search(t)
             split.append(t.split() if usual else None)
             found.append(list(map(look, split[-1])) if usual else self.encode(t))
-            missing.append([k for k, ids in enumerate(found[-1]) if ids is None] if usual else [])
+            missing.append([k for k, ids in enumerate(found[-1]) if ids is None] if usual and None in found[-1] else [])
         self.learn({words[k] for words, gaps in zip(split, missing, strict=True) for k in gaps})
         for words, ids, gaps in zip(split, found, missing, strict=True):
             for k in gaps:
