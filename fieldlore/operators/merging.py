@@ -17,6 +17,8 @@ from fieldlore.operators.lineage import components
 
 #: Columns that split a cluster at most; weights of distances between fields; nearness of values; share of gaps; share of all clusters.
 PIVOTS, SAME, MIXED, ZERO, NEAR, FAR, GAPS, ALL = 2, 0.4, 0.6, 0.1, 0.2, 0.7, 0.4, 0.66
+#: Distinct values at most among which joined neighbours are looked for; every task gets them.
+KNOWN = 1_000_000
 #: Scores of a gap, a mismatch and a match between fields of two clusters.
 FIELD_SCORES = (0.0, -1.0, 5.0)
 
@@ -171,12 +173,15 @@ def matches(aligned: DataFrame, join_neighbours: bool = True) -> DataFrame:
     """One row for each pair of clusters: their aligned fields, gaps, whether all fields fit (matched), whether a long gap stands alone (torn), and which static values dynamic fields take (held).
 
     A pair of clusters is a group of its own with the columns of both; the number of pairs grows with the square of the clusters, never of the messages.
+    More than KNOWN distinct values raise ValueError where neighbours are to be joined.
     """
     f = fields_of(aligned).where("label <> '-1'").select(F.col("label").cast("string").alias("label"), "col", "values")
     rows = f.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("col", "values"))).alias("f")).select("label", F.col("f.values").alias("f"))
     pair = rows.toDF("p", "fp").join(rows.toDF("q", "fq"), F.col("p") < F.col("q"))
     # values that occur at all, for neighbours to be joined to
-    known = {bytes(r.bytes) for r in aligned.where("bytes IS NOT NULL").select("bytes").distinct().limit(100_000).collect()} if join_neighbours else set()
+    known = {bytes(r.bytes) for r in aligned.where("bytes IS NOT NULL").select("bytes").distinct().limit(KNOWN + 1).collect()} if join_neighbours else set()
+    if len(known) > KNOWN:
+        raise ValueError(f"more than {KNOWN} distinct values: neighbours can't be joined")
 
     def run(parts):
         for g in parts:
