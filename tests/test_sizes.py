@@ -13,6 +13,7 @@ SMALL = "/root/testdata/sf0.001"
 #: Queries that give one row for each pair.
 STREAMED = [
     "aln01_score_domain",
+    "dis12_shifts",
 ]
 
 
