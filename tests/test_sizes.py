@@ -14,6 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 STREAMED = [
     "aln01_score_domain",
     "dis12_shifts",
+    "fea48_lower_triangle",
 ]
 
 
