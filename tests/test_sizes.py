@@ -15,6 +15,7 @@ STREAMED = [
     "aln01_score_domain",
     "dis12_shifts",
     "fea48_lower_triangle",
+    "clu10_adjusted",
 ]
 
 
