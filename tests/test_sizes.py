@@ -16,6 +16,7 @@ STREAMED = [
     "dis12_shifts",
     "fea48_lower_triangle",
     "clu10_adjusted",
+    "dis05_mixed_lengths",
 ]
 
 
