@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldlore import queries_fields as QF
 from fieldlore.functions import embeddings as E
 from fieldlore.functions import series as S
+from fieldlore.operators import alignment as A
 from fieldlore.operators import pairwise as P
 
 SMALL = "/root/testdata/sf0.001"
@@ -53,3 +54,41 @@ def test_pairs_are_not_kept(spark, name):
     """No checkpoint of all pairs: the plan compares blocks itself."""
     plan = getattr(QF, name)(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan
+
+
+def test_nearest_are_the_neighbours(spark):
+    """Ties by id, across blocks, by rounded distances."""
+    v = odd_values(spark, 60)
+    d = plain_pairs(v).select("i", "j", F.col("r").alias("d"))
+    assert sorted(map(tuple, P.nearest(v, 7, digits=6).collect())) == sorted(map(tuple, P.neighbours(d, 7).collect()))
+    assert P.nearest(v.limit(1), 3).collect() == []
+
+
+def test_last_scores():
+    rng = np.random.default_rng(6)
+    messages = [[bytes(rng.integers(0, 9, int(rng.integers(1, 5))).astype(np.uint8)) for _ in range(int(rng.integers(1, 7)))] for _ in range(30)]
+    score = lambda a, b: 1.0 if a == b else 1 - A.value_dissimilarity(a, b)
+    rows, columns = np.nonzero(np.ones((30, 30)))
+    want = [A.last_line(messages[i], messages[j], score)[-1] for i, j in zip(rows, columns, strict=True)]
+    assert A.last_scores(messages, rows, columns) == pytest.approx(want)
+
+
+def test_last_scores_in_parts(monkeypatch):
+    monkeypatch.setattr(A, "SIMILAR", 4)
+    test_last_scores()
+
+
+#: Queries that need the nearest others of each value alone.
+NEAREST = ["aln08_parameters"]
+
+
+@pytest.mark.parametrize("name", NEAREST)
+def test_nearest_need_no_table_of_pairs(spark, monkeypatch, name):
+    def none(*args, **kwargs):
+        assert kwargs.get("within") is not None, "a table of all pairs"
+        return pairs(*args, **kwargs)
+
+    module, of = (A, "message_distances") if name.startswith("aln") else (P, "distances")
+    pairs = getattr(module, of)
+    monkeypatch.setattr(module, of, none)
+    assert getattr(QF, name)(spark, SMALL).count() > 0
