@@ -79,7 +79,7 @@ def test_last_scores_in_parts(monkeypatch):
 
 
 #: Queries that need the nearest others of each value alone.
-NEAREST = ["aln08_parameters", "clu05_parameters"]
+NEAREST = ["aln08_parameters", "clu05_parameters", "clu08_curvature"]
 
 
 @pytest.mark.parametrize("name", NEAREST)
