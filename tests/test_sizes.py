@@ -79,7 +79,7 @@ def test_last_scores_in_parts(monkeypatch):
 
 
 #: Queries that need the nearest others of each value alone.
-NEAREST = ["aln08_parameters", "clu05_parameters", "clu08_curvature", "clu06_sharpest", "clu09_rule_of_thumb"]
+NEAREST = ["aln08_parameters", "clu05_parameters", "clu08_curvature", "clu06_sharpest", "clu09_rule_of_thumb", "clu12_mean_growth"]
 
 
 @pytest.mark.parametrize("name", NEAREST)
