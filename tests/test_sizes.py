@@ -1,5 +1,7 @@
 """Operators over all pairs: blocks against the plain expression, and queries that don't keep what they only read."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from fieldlore.functions import embeddings as E
 from fieldlore.functions import series as S
 from fieldlore.operators import alignment as A
 from fieldlore.operators import pairwise as P
+from fieldlore.operators import templates as T
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries that give one row for each pair.
@@ -92,3 +95,28 @@ def test_nearest_need_no_table_of_pairs(spark, monkeypatch, name):
     pairs = getattr(module, of)
     monkeypatch.setattr(module, of, none)
     assert getattr(QF, name)(spark, SMALL).count() > 0
+
+
+def test_shifts_of_many():
+    """Copies and ties as one by one; thousands at once."""
+    rng = np.random.default_rng(5)
+
+    def plain(parts):
+        size, out = max(map(len, parts)), []
+        v = [np.frombuffer(p, np.uint8).astype(float) for p in parts]
+        for x in v:
+            long = [y for y in v if len(y) == size and y is not x]
+            at = [T.distances_at(x, y) for y in long]
+            answers = [0] if len(x) == size else [int(a.argmin()) for a in at]
+            if len(x) > 2 and long and all(int(c.argmin()) == 0 and c.min() < w.min() - 1 for c, w in zip([T.distances_at(x[1:], y) for y in long], at, strict=True)):
+                answers = [-1]
+            out.append(max(dict.fromkeys(answers), key=answers.count))
+        return out, size
+
+    for t in range(200):
+        parts = [bytes(rng.integers(0, rng.integers(2, 255), int(rng.integers(1, 11))).astype(np.uint8)) for _ in range(1 + t % 8)]
+        parts = [b"\xff" + p for p in parts[:1]] + parts[1:] + parts[: t % 3]
+        assert T.shifts_of(parts) == plain(parts)
+    many = [int(i).to_bytes(5, "big") for i in rng.integers(0, 2**38, 4000)]
+    began = time.perf_counter()
+    assert T.shifts_of(many)[1] == 5 and time.perf_counter() - began < 20
