@@ -10,7 +10,11 @@ from fieldlore import queries_fields as QF
 from fieldlore.functions import embeddings as E
 from fieldlore.functions import series as S
 from fieldlore.operators import alignment as A
+from fieldlore.operators import lineage as L
+from fieldlore.operators import merging as MG
 from fieldlore.operators import pairwise as P
+from fieldlore.operators import principal as PR
+from fieldlore.operators import semantics as SM
 from fieldlore.operators import templates as T
 
 SMALL = "/root/testdata/sf0.001"
@@ -82,7 +86,7 @@ def test_last_scores_in_parts(monkeypatch):
 
 
 #: Queries that need the nearest others of each value alone.
-NEAREST = ["aln08_parameters", "clu05_parameters", "clu08_curvature", "clu06_sharpest", "clu09_rule_of_thumb", "clu12_mean_growth"]
+NEAREST = ["aln08_parameters", "clu05_parameters", "clu08_curvature", "clu06_sharpest", "clu09_rule_of_thumb", "clu12_mean_growth", "clu11_no_large_cluster"]
 
 
 @pytest.mark.parametrize("name", NEAREST)
@@ -120,3 +124,52 @@ def test_shifts_of_many():
     many = [int(i).to_bytes(5, "big") for i in rng.integers(0, 2**38, 4000)]
     began = time.perf_counter()
     assert T.shifts_of(many)[1] == 5 and time.perf_counter() - began < 20
+
+
+def test_nearest_of_fields():
+    """The least over all values of two fields, many at a time."""
+    rng = np.random.default_rng(8)
+    a, b = ([int(i).to_bytes(3, "big") for i in rng.choice(2**24, 1500, replace=False)] for _ in range(2))
+    assert MG.nearest(a[:20], b[:30]) == pytest.approx(min(A.value_dissimilarity(x, y) for x in a[:20] for y in b[:30]))
+    began = time.perf_counter()
+    assert 0 <= MG.nearest(a, b) <= MG.nearest(a[:20], b) and time.perf_counter() - began < 5
+    assert MG.nearest([b"\x01", b"\x02"], [b"\x02"]) == 0
+
+
+def test_subclusters_of_many():
+    """Parts of the rows give what the whole matrix does."""
+    values = sorted({bytes([10 + i % 5, 200 + i % 7, 60 + i % 3]) for i in range(60)} | {bytes([200 + i % 5, 3 + i % 7, 9 + i % 3]) for i in range(60)})
+    whole = PR.subclusters(values, 1.0)
+    cells, E.CELLS = E.CELLS, 200
+    try:
+        assert PR.subclusters(values, 1.0) == whole
+    finally:
+        E.CELLS = cells
+
+
+def test_refinement_keeps_no_table_of_pairs(spark, monkeypatch):
+    pairs = P.distances
+    monkeypatch.setattr(P, "distances", lambda *args, **kwargs: pairs(*args, within=kwargs.pop("within"), **kwargs))
+    assert QF.ref16_principal(spark, SMALL).count() > 0
+
+
+def test_densities_by_given_neighbours(spark):
+    v = odd_values(spark, 40)
+    d = P.distances(v, digits=6).cache()
+    labels = v.select(F.col("rep_id").alias("id"), (F.col("rep_id") % 4).alias("label"))
+    pairs = lambda **how: sorted(map(tuple, SM.density_pairs(d, labels, near=0.2, alike=0.1, **how).collect()))
+    assert pairs(nearest=P.nearest(v, 2, digits=6)) == pairs() != []
+
+
+def test_links_keep_no_table_of_pairs(spark):
+    plan = QF.QUERIES["sem23_statistics"][0](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan
+
+
+def test_large_tables_take_rounds(spark, monkeypatch):
+    """Components in one task, and by rounds, are the same."""
+    rng = np.random.default_rng(2)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))], "a bigint, b bigint")
+    one = sorted(map(tuple, L.components(edges).collect()))
+    monkeypatch.setattr(L, "FEW", 0)
+    assert sorted(map(tuple, L.components(edges).collect())) == one
