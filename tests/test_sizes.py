@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldlore import queries_fields as QF
 from fieldlore.functions import embeddings as E
+from fieldlore.functions import nearby as N
 from fieldlore.functions import series as S
 from fieldlore.operators import alignment as A
 from fieldlore.operators import lineage as L
@@ -173,3 +174,63 @@ def test_large_tables_take_rounds(spark, monkeypatch):
     one = sorted(map(tuple, L.components(edges).collect()))
     monkeypatch.setattr(L, "FEW", 0)
     assert sorted(map(tuple, L.components(edges).collect())) == one
+
+
+@pytest.mark.parametrize("digits", [None, 6])
+@pytest.mark.parametrize("leaf", [1, 5, None])
+def test_index_gives_the_nearest_of_all(leaf, digits):
+    """Ties by id, several lengths, more neighbours than values; bounds of leaves are never above what they hold."""
+    rng = np.random.default_rng(8)
+    values = sorted({bytes(rng.integers(0, [256, 4, 60][k % 3], int(rng.integers(1, 12 if k % 2 else 3))).astype(np.uint8)) for k in range(150)}, key=lambda v: v[::-1])
+    d = E.matrix(values, values, digits=digits)[0]
+    x = N.Index(np.arange(len(values)), values, leaf)
+    np.fill_diagonal(d, np.inf)
+    for k in (1, 6, len(values) + 3):
+        rows, columns = E.nearest(d, k)
+        got = [r for leaf in range(x.leaves) for r in zip(*(a.tolist() for a in x.nearest(leaf, k, digits=digits)), strict=True)]
+        assert sorted(got) == sorted(zip(rows.tolist(), columns.tolist(), d[rows, columns].tolist(), strict=True))
+    assert all((x.least(x.rows(p))[:, [q]] <= x.matrix(x.rows(p), x.rows(q)) + 1e-12).all() for p in range(x.leaves) for q in range(x.leaves))
+
+
+def test_nearest_look_into_few_leaves(monkeypatch):
+    """Of 20,000 values a small part of all pairs is compared."""
+    seen, matrix = [], N.Index.matrix
+    monkeypatch.setattr(N.Index, "matrix", lambda self, rows, columns, *more: seen.append(len(rows) * len(columns)) or matrix(self, rows, columns, *more))
+    x = N.Index(np.arange(20_000), [k.to_bytes(2, "big") for k in range(20_000)])
+    for leaf in range(x.leaves):
+        x.nearest(leaf, 8, digits=6)
+    assert sum(seen) < 20_000**2 / 4
+
+
+def test_blocks_give_the_same_nearest(spark, monkeypatch):
+    """What is too much for an index."""
+    v = odd_values(spark, 60)
+    want = sorted(map(tuple, P.nearest(v, 5, digits=6).collect()))
+    assert sorted(map(tuple, P.nearest(v, 5, blocks=3, digits=6).collect())) == want
+    monkeypatch.setattr(P, "SENT", 10)
+    assert P.sent(v) is None
+    assert sorted(map(tuple, P.nearest(v, 5, digits=6).collect())) == want
+
+
+@pytest.mark.parametrize(("eps", "least"), [(0.05, 1), (0.3, 3), (0.45, 6)])
+def test_dense_is_dbscan(spark, eps, least):
+    """Also where chains of cores hang together by others than their nearest ones."""
+    v = odd_values(spark, 200)
+    ids = v.selectExpr("rep_id AS id")
+    want = P.dbscan(P.distances(v, digits=6), ids, eps, least)
+    index = P.sent(v)
+    found = P.nearest(v, max(1, least - 1), digits=6, index=index)
+    assert sorted(map(tuple, P.dense(found, index, ids, eps, least, 6).collect())) == sorted(map(tuple, want.collect()))
+
+
+#: Queries that compare what an index leaves to compare.
+INDEXED = ["clu05_parameters"]
+
+
+@pytest.mark.parametrize("name", INDEXED)
+def test_no_pairs_of_blocks(spark, monkeypatch, name):
+    def none(*args):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(P, "_blocks", none)
+    assert getattr(QF, name)(spark, SMALL).count() > 0
