@@ -224,7 +224,7 @@ def test_dense_is_dbscan(spark, eps, least):
 
 
 #: Queries that compare what an index leaves to compare.
-INDEXED = ["clu05_parameters", "clu08_curvature"]
+INDEXED = ["clu05_parameters", "clu08_curvature", "clu06_sharpest"]
 
 
 @pytest.mark.parametrize("name", INDEXED)
