@@ -224,7 +224,7 @@ def test_dense_is_dbscan(spark, eps, least):
 
 
 #: Queries that compare what an index leaves to compare.
-INDEXED = ["clu05_parameters", "clu08_curvature", "clu06_sharpest", "clu09_rule_of_thumb", "clu12_mean_growth"]
+INDEXED = ["clu05_parameters", "clu08_curvature", "clu06_sharpest", "clu09_rule_of_thumb", "clu12_mean_growth", "clu11_no_large_cluster"]
 
 
 @pytest.mark.parametrize("name", INDEXED)
