@@ -189,7 +189,8 @@ def test_index_gives_the_nearest_of_all(leaf, digits):
         rows, columns = E.nearest(d, k)
         got = [r for leaf in range(x.leaves) for r in zip(*(a.tolist() for a in x.nearest(leaf, k, digits=digits)), strict=True)]
         assert sorted(got) == sorted(zip(rows.tolist(), columns.tolist(), d[rows, columns].tolist(), strict=True))
-    assert all((x.least(x.rows(p))[:, [q]] <= x.matrix(x.rows(p), x.rows(q)) + 1e-12).all() for p in range(x.leaves) for q in range(x.leaves))
+    for p in map(x.rows, range(x.leaves)):
+        assert (x.least(p) <= np.minimum.reduceat(x.matrix(p, np.arange(len(values))), x.bounds[:-1], axis=1) + 1e-12).all()
 
 
 def test_nearest_look_into_few_leaves(monkeypatch):
@@ -234,3 +235,22 @@ def test_no_pairs_of_blocks(spark, monkeypatch, name):
 
     monkeypatch.setattr(P, "_blocks", none)
     assert getattr(QF, name)(spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize("eps", [0.02, 0.1, 0.2, 0.35, 0.6])
+def test_density_is_grown(eps):
+    """Clusters, their order and which one a value at the border of several goes to, as from the whole matrix."""
+    rng = np.random.default_rng(12)
+    values = sorted({bytes(rng.integers(0, [256, 9, 60][k % 3], int(rng.integers(2, 5))).astype(np.uint8)) for k in range(400)})
+    x = N.Index(np.arange(len(values)), values, 16)
+    for least in (1, 2, 5, 9):
+        found = tuple(np.concatenate(a) for a in zip(*(x.nearest(leaf, max(1, least - 1)) for leaf in range(x.leaves)), strict=True))
+        assert N.density(x, found, eps, least).tolist() == PR.grown(PR.matrix(values) <= eps, least).tolist()
+
+
+def test_subclusters_of_many():
+    """Tens of thousands of values, of which no matrix is made."""
+    values = sorted({bytes([k >> 8, k & 255, k * 7919 % 25]) for k in range(20_000)})
+    began = time.thread_time()
+    assert PR.subclusters(values, 1.0)
+    assert time.thread_time() - began < 40
