@@ -254,3 +254,16 @@ def test_subclusters_of_many():
     began = time.thread_time()
     assert PR.subclusters(values, 1.0)
     assert time.thread_time() - began < 40
+
+
+#: Pipelines whose refinement needs no pairs of blocks.
+REFINED = ["pip12_PCAmocoSF"]
+
+
+@pytest.mark.parametrize("name", REFINED)
+def test_refinement_without_pairs_of_blocks(spark, monkeypatch, name):
+    def none(*args):
+        raise AssertionError("all pairs")
+
+    monkeypatch.setattr(P, "_blocks", none)
+    assert QF.QUERIES[name][0](spark, SMALL).count() > 0
