@@ -257,7 +257,7 @@ def test_subclusters_of_many():
 
 
 #: Pipelines whose refinement needs no pairs of blocks.
-REFINED = ["pip12_PCAmocoSF", "pip11_zerocharPCAmoco", "pip06_zeroPCA", "pip08_PCA"]
+REFINED = ["pip12_PCAmocoSF", "pip11_zerocharPCAmoco", "pip06_zeroPCA", "pip08_PCA", "pip09_PCAmoco"]
 
 
 @pytest.mark.parametrize("name", REFINED)
