@@ -11,6 +11,7 @@ from fieldlore.functions import embeddings as E
 from fieldlore.functions import nearby as N
 from fieldlore.functions import series as S
 from fieldlore.operators import alignment as A
+from fieldlore.operators import knees as K
 from fieldlore.operators import lineage as L
 from fieldlore.operators import merging as MG
 from fieldlore.operators import pairwise as P
@@ -331,3 +332,36 @@ def test_clusters_need_no_table_of_pairs(spark, monkeypatch, name):
 
     monkeypatch.setattr(P, "distances", none)
     assert QF.QUERIES[name][0](spark, SMALL).count() > 0
+
+
+def test_curves_in_one_query(spark):
+    """All ranks' distributions at once, as each by itself; a rank without spread, and one that is missing."""
+    rng = np.random.default_rng(4)
+    rows = [(k, float(x)) for k in range(4) for x in rng.integers(0, 900, 700) / 1000] + [(4, 0.25)] * 3
+    near = spark.createDataFrame(rows, "rank int, d double").cache()
+    curves = K.distributions(near)
+    for k in range(5):
+        d = np.array([x for r, x in rows if r == k])
+        points = min(K.GRID, max(4, len(d)))
+        width = (d.max() - d.min()) / (points - 1) or 1.0
+        at = np.clip(np.ceil((d - d.min()) / width - 1e-12), 0, points - 1).astype(int)
+        assert curves[k][0].tolist() == (d.min() + width * np.arange(points)).tolist()
+        assert curves[k][1].tolist() == (np.cumsum(np.bincount(at, minlength=points)) / len(d)).tolist()
+    spark.sparkContext.setJobGroup("curves", "")
+    K.sharpest(near, 3, 0.8)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("curves")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(jobs) <= 4, "jobs for each rank"
+    with pytest.raises(K.NoKneeError):
+        K.sharpest(near, 6, 0.8)
+
+
+def test_bounds_by_tables():
+    """Tables of least terms give what bytes and leaves do one by one."""
+    rng = np.random.default_rng(6)
+    values = sorted({bytes(rng.integers(0, 256, 2 + k % 3).astype(np.uint8)) for k in range(900)})
+    x, y = N.Index(np.arange(len(values)), values, 16), N.Index(np.arange(len(values)), values, 16)
+    y.tabled = False
+    assert x.tabled
+    for leaf in range(0, x.leaves, 3):
+        assert (x.least(x.rows(leaf)) == y.least(y.rows(leaf))).all()
