@@ -6,6 +6,8 @@ exact. All pairs of a cluster are compared, a part of the leaves in each task; a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
@@ -42,9 +44,32 @@ def _own(index, label, leaf, digits):
             yield c, part, columns, code, part[:, None] < columns
 
 
-def counts(clusters: Clusters, digits: int) -> tuple[DataFrame, DataFrame]:
-    """(label, d, n) of each distance inside a cluster and how often it is there, and (label, id, s) of each member's sum of distances in units; two checkpoints."""
-    names = clusters.names
+#: Codes of a part of a histogram.
+SPAN = 1 << 14
+
+
+def _summed(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and their counts added up."""
+    at, place = np.unique(codes, return_inverse=True)
+    out = np.zeros(len(at), np.int64)
+    np.add.at(out, place, n)
+    return at, out
+
+
+def percentile(codes: np.ndarray, n: np.ndarray, share: float, unit: float) -> float:
+    """The exact percentile of codes in order that occur n times, as Spark gives it: on the line between its two neighbours."""
+    upto, at = np.cumsum(n), (int(n.sum()) - 1) * share
+    low, high = (codes[np.searchsorted(upto, k, side="right")] / unit for k in (math.floor(at), math.ceil(at)))
+    return float(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+
+
+def counts(clusters: Clusters, digits: int, share: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """(label, most, cut, all): the greatest distance inside a cluster, a percentile, and the deviation of those under it; and (label, id, s): each member's sum of distances in units.
+
+    Two checkpoints. Tasks count distances; counts of one span of them are added up in a task, and a cluster's counts come together in one.
+    """
+    names, unit = clusters.names, 10.0**digits
+    schema = f"label {clusters.kind}, id bigint, x bigint, codes array<bigint>, n array<bigint>"
 
     def work(index, label, leaves):
         n, sums, seen = {}, np.zeros(len(label), np.int64), np.zeros(len(label), bool)
@@ -52,21 +77,43 @@ def counts(clusters: Clusters, digits: int) -> tuple[DataFrame, DataFrame]:
         for leaf in leaves:
             for c, rows, columns, code, pair in _own(index, label, leaf, digits):
                 found = np.bincount(code[pair])
-                a = n.get(c, found[:0])
-                n[c] = found if not len(a) else np.pad(a, (0, max(0, len(found) - len(a)))) + np.pad(found, (0, max(0, len(a) - len(found))))
+                more = len(found) - len(n.setdefault(c, np.zeros(0, np.int64)))
+                if more > 0:
+                    n[c] = np.pad(n[c], (0, more))
+                n[c][: len(found)] += found
                 seen[rows] = size[c] > 1
                 code[~pair] = 0
                 sums[rows] += code.sum(1)
                 sums[columns] += code.sum(0)
         for c, found in n.items():
             at = np.flatnonzero(found)
-            yield pa.table({"label": pa.array(names[np.full(len(at), c)]), "id": pa.nulls(len(at), pa.int64()), "x": at, "n": found[at]})
+            # a cluster of one value has no distances
+            for part in np.split(at, np.flatnonzero(np.diff(at // SPAN)) + 1) if len(at) else []:
+                yield pa.table({"label": pa.array(names[[c]]), "id": pa.nulls(1, pa.int64()), "x": [int(part[0]) // SPAN], "codes": pa.array([part]), "n": pa.array([found[part]])})
         at = np.flatnonzero(seen | (sums > 0))
-        yield pa.table({"label": pa.array(names[label[at]]), "id": pa.array(index.ids[at].astype(np.int64)), "x": sums[at], "n": pa.nulls(len(at), pa.int64())})
-
-    made = once(clusters.by_leaves(work, f"label {clusters.kind}, id bigint, x bigint, n bigint"))
-    found = made.where("id IS NULL").groupBy("label", "x").agg(F.sum("n").alias("n")).select("label", (F.col("x") / F.lit(10.0**digits)).alias("d"), "n")
-    return once(found), once(made.where("id IS NOT NULL").groupBy("label", "id").agg(F.sum("x").alias("s")))
+        none = pa.nulls(len(at), pa.list_(pa.int64()))
+        yield pa.table({"label": pa.array(names[label[at]]), "id": pa.array(index.ids[at].astype(np.int64)), "x": sums[at], "codes": none, "n": none})
+
+    def joined(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(g[c].combine_chunks().flatten().to_numpy() for c in ("codes", "n")))
+
+    def add(g: pa.Table) -> pa.Table:
+        at, n = joined(g)
+        return pa.table({"label": g["label"][:1], "codes": pa.array([at]), "n": pa.array([n])})
+
+    def shape(g: pa.Table) -> pa.Table:
+        at, n = joined(g)
+        cut = percentile(at, n, share, unit)
+        calm = at / unit < cut
+        d, k = at[calm] / unit, n[calm]
+        mean = (at[calm] * k).sum() / unit / k.sum() if calm.any() else 0.0
+        deviation = float(np.sqrt(((d - mean) ** 2 * k).sum() / k.sum())) if calm.any() else None
+        return pa.table({"label": g["label"][:1], "most": [float(at[-1] / unit)], "cut": [cut], "all": pa.array([deviation], pa.float64())})
+
+    made = once(clusters.by_leaves(work, schema))
+    parts = made.where("id IS NULL").select("label", "x", "codes", "n").groupBy("label", "x").applyInArrow(add, f"label {clusters.kind}, codes array<bigint>, n array<bigint>")
+    shapes = parts.groupBy("label").applyInArrow(shape, f"label {clusters.kind}, most double, cut double, all double")
+    return once(shapes), once(made.where("id IS NOT NULL").groupBy("label", "id").agg(F.sum("x").alias("s")))
 
 
 def walks(clusters: Clusters, sums: DataFrame, digits: int) -> DataFrame:
