@@ -12,6 +12,8 @@ so that all rows stay of one length; rows without a rank left are taken out.
 
 White space never lies inside a pre-token of the word-level vocabulary, and neither NFC nor lower case
 reaches across it, so each white-space-delimited word is encoded alone and remembered in a bounded table.
+Words of up to 16 bytes are two 64-bit numbers; a hash table in arrays (``WordTable``) looks up those of many
+texts at once, and compares the numbers themselves, so that no two words are taken for one.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from tokenizers import normalizers
 
 from fieldlore.llm.shared import batches, by_place, col, without
+from fieldlore.llm.words import SPACE, chunks
 
 #: Symbols up to which the rank array is scanned.
 SHORT = 192
@@ -37,9 +40,17 @@ SHORT = 192
 TABLE = 700_000
 #: White space to str.split() but not to the vocabulary's patterns.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
+#: What separates words in bytes.
+SPACES = regex.compile("[\x20\t-\r]")
 #: The pattern of byte-level pre-tokens, as published with the vocabulary.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = (1 << 31) - 1
+#: Characters of texts whose words are looked up at once.
+CHARS = 4 << 20
+#: What is left of a 64-bit number when its first so many bytes are kept; 1 and 128 in every byte; ASCII letters.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
+ONES, TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 
 
 def byte_symbols() -> list[str]:
@@ -54,6 +65,16 @@ def byte_symbols() -> list[str]:
     return out
 
 
+def divided(text: str, size: int | None = None):
+    """Runs of a text of about size characters (CHARS by default), the next one from white space of ASCII on."""
+    at, size = 0, size or CHARS
+    while at < len(text):
+        m = SPACES.search(text, at + size)
+        until = m.start() if m else len(text)
+        yield text[at:until]
+        at = until
+
+
 class Recent(dict):
     """A bounded table: make(key) fills it, and when it is full, what hasn't been asked for since the last time goes."""
 
@@ -117,6 +138,61 @@ class PairTable:
         return out
 
 
+class WordTable:
+    """Runs of ids by word of up to 16 bytes, none of them 0: a hash table with linear probes, whose rows have a word's two numbers, and where its run begins and how long it is."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self, room: int = 0) -> None:
+        """No words; there is room for as many as the limit, or more for this once."""
+        self.bits = max(10, (max(self.limit, room) * 4 // 3).bit_length())
+        self.rows, self.size = np.zeros((1 << self.bits, 4), "u8"), 0
+        self.pool, self.used = np.zeros(4 * self.limit, "<u4"), 0
+
+    def slot(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = (a ^ b * np.uint64(0xBF58476D1CE4E5B9)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        return (h * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self.bits)).astype("i8")
+
+    def look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the run of each word begins, -1 where there is none, and its length."""
+        at, n, left, slot = np.full(len(a), -1), np.zeros(len(a), "i8"), None, self.slot(a, b)
+        while left is None or len(left):
+            found = self.rows.take(slot, axis=0)
+            hit = (found[:, 0] == a) & (found[:, 1] == b)
+            own = hit if left is None else left[hit]
+            at[own], n[own] = found[hit, 2], found[hit, 3]
+            on = np.flatnonzero(~hit & (found[:, 0] != 0))
+            left = on if left is None else left[on]
+            a, b, slot = a[on], b[on], slot[on] + 1 & (1 << self.bits) - 1
+        return at, n
+
+    def put(self, ids: bytes) -> int:
+        """Ids beyond those kept: where they begin. The next call may overwrite them."""
+        x = np.frombuffer(ids, "<u4")
+        if self.used + len(x) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(len(x) + self.used // 2, "<u4")])
+        self.pool[self.used : self.used + len(x)] = x
+        return self.used
+
+    def add(self, a: np.ndarray, b: np.ndarray, runs: list[bytes]) -> None:
+        """Words that the table doesn't have, each once."""
+        n = np.fromiter(map(len, runs), "i8", len(runs)) // 4
+        first = self.put(b"".join(runs))
+        self.used = first + int(n.sum())
+        row = np.stack([a, b, (first + np.cumsum(n) - n).astype("u8"), n.astype("u8")], 1)
+        slot, self.size = self.slot(a, b), self.size + len(a)
+        while len(row):
+            _, one = np.unique(slot, return_index=True)
+            one = one[self.rows[slot[one], 0] == 0]
+            self.rows[slot[one]] = row[one]
+            rest = np.ones(len(row), bool)
+            rest[one] = False
+            row, slot = row[rest], slot[rest] + 1 & (1 << self.bits) - 1
+
+
 class MergeTable:
     """Vocabulary, merge ranks and text rules of one file."""
 
@@ -150,7 +226,7 @@ class MergeTable:
         self.pairs = PairTable(self.rank)
         self.new_id = np.array(self.made, "i4")
         self.words = Recent(self.word, table)
-        self.marks = {m: self.word(m) for m in ".,"} if self.by_word else {}
+        self.short = WordTable(2 * table) if self.by_word else None
 
     def normal(self, text: str) -> str:
         if "NFC" in self.rules and not unicodedata.is_normalized("NFC", text):
@@ -248,26 +324,17 @@ class MergeTable:
         return out
 
     def learn(self, new: set[str]) -> None:
-        """Puts new words into the table. A word is encoded in lower case and without one closing mark, which is a pre-token of its own."""
-        words, old, marks = self.words, self.words.old, self.marks
-        learnt, whole, stems, closing = {}, [], [], []
-        for w in new:
-            ids = old.get(w)
-            if ids is not None:
-                learnt[w] = ids
-                continue
-            stem = w.lower() if w.isascii() else w
-            whole.append(w)
-            if stem[-1] in marks and stem[-2:-1].isalpha():
-                stems.append(stem[:-1])
-                closing.append(marks[stem[-1]])
-            else:
-                stems.append(stem)
-                closing.append(b"")
-        fresh, cut, pieces = [s for s in set(stems) if s not in words], [], []
-        for w in fresh:
-            # ASCII is in lower case by now; letters only: one pre-token
+        """Puts new words into the table of words by their text."""
+        learnt = {w: ids for w in new if (ids := self.words.old.get(w)) is not None}
+        fresh = [w for w in new if w not in learnt]
+        self.words.add(learnt | dict(zip(fresh, self.ids_of([w.lower() if w.isascii() else w for w in fresh]), strict=True)))
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of words without white space of ASCII; ASCII ones are in lower case."""
+        cut, pieces = [], []
+        for w in words:
             x = w if w.isascii() else self.normal(w)
+            # letters only: one pre-token
             if x.isalpha():
                 cut.append(1)
                 pieces.append(x)
@@ -275,16 +342,11 @@ class MergeTable:
                 found = self.pattern.findall(x)
                 cut.append(len(found))
                 pieces += found
-        made, k, ids_of = self.merge_many(pieces), 0, {}
-        for w, n in zip(fresh, cut, strict=True):
-            ids_of[w] = made[k] if n == 1 else b"".join(made[k : k + n])
+        made, k, out = self.merge_many(pieces), 0, []
+        for n in cut:
+            out.append(made[k] if n == 1 else b"".join(made[k : k + n]))
             k += n
-        for w, stem, mark in zip(whole, stems, closing, strict=True):
-            ids = ids_of.get(stem)
-            if ids is None:
-                ids = words[stem]
-            learnt[w] = ids + mark if mark else ids
-        words.add(learnt)
+        return out
 
     def pre_tokens(self, text: str | None) -> tuple[list[str], int]:
         """Pre-tokens of a text (null counts as empty) in their order, special strings left out, and how many of these there are."""
@@ -304,17 +366,78 @@ class MergeTable:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return list(map(self.encode, texts))
-        look, split, found, missing = self.words.get, [], [], []
-        for t in texts:
-            usual = t and not self.specials.search(t) and not ODD_SPACE.search(t)
-            split.append(t.split() if usual else None)
-            found.append(list(map(look, split[-1])) if usual else self.encode(t))
-            missing.append([k for k, ids in enumerate(found[-1]) if ids is None] if usual and None in found[-1] else [])
-        self.learn({words[k] for words, gaps in zip(split, missing, strict=True) for k in gaps})
-        for words, ids, gaps in zip(split, found, missing, strict=True):
-            for k in gaps:
-                ids[k] = self.words[words[k]]
-        return [b"".join(x) if isinstance(x, list) else x for x in found]
+        # words hold no byte of 0, so that their numbers have their length
+        usual = [bool(t) and "\0" not in t and not self.specials.search(t) for t in texts]
+        out = [b"" if u else self.encode(t) for t, u in zip(texts, usual, strict=True)]
+        at = [k for k, u in enumerate(usual) if u]
+        for x, y in chunks([texts[k] for k in at], CHARS):
+            some = [texts[k] for k in at[x:y]]
+            if len(some[0]) > CHARS:
+                out[at[x]] = b"".join(self.encode_words([z.encode()])[0] for z in divided(some[0]))
+                continue
+            for k, ids in zip(at[x:y], self.encode_words([t.encode() for t in some]), strict=True):
+                out[k] = ids
+        return out
+
+    def encode_words(self, data: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8 without special strings and bytes of 0: their words are looked up at once, those that the table doesn't have are learnt first."""
+        joined = b"\n".join(data) + b"\n" + bytes(16)
+        buffer = np.frombuffer(joined, np.uint8)
+        gap = SPACE[buffer[:-16]]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        edge = edge if gap[0] else np.concatenate([[0], edge])
+        start, end = edge[0::2], edge[1::2]
+        # a mark that closes a word after an ASCII letter is a word of its own
+        last = buffer[end - 1]
+        mark = ((last == 44) | (last == 46)) & (end - start > 1) & LETTER[buffer[end - 2]]
+        times = 1 + mark
+        second = np.cumsum(times)[mark] - 1
+        start, end = np.repeat(start, times), np.repeat(end, times)
+        end[second - 1] -= 1
+        start[second] = end[second] - 1
+        size = end - start
+        numbers = np.ndarray(len(buffer) - 7, "<u8", joined, strides=(1,))
+        a = numbers[start] & KEPT[np.minimum(size, 8)]
+        b = numbers[start + 8] & KEPT[np.clip(size - 8, 0, 8)]
+        plain = ((a | b) & TOPS) == 0
+        a, b = (np.where(plain, self.lowered(x), x) for x in (a, b))
+        long = np.flatnonzero(size > 16)
+        a[long] = 0
+        at, n = self.known(a, b, long)
+        if len(long):
+            words = [joined[s:e].decode() for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+            self.learn({w for w in words if w not in self.words})
+            runs = list(map(self.words.__getitem__, words))
+            n[long] = np.fromiter(map(len, runs), "i8", len(runs)) // 4
+            at[long] = self.short.put(b"".join(runs)) + np.cumsum(n[long]) - n[long]
+        until = np.concatenate([[0], np.cumsum(n)])
+        ids = self.short.pool.take(np.arange(until[-1]) + np.repeat(at - until[:-1], n)).tobytes()
+        place = np.cumsum([0] + [len(x) + 1 for x in data])
+        cut = (4 * until[np.searchsorted(start, place)]).tolist()
+        return [ids[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+
+    @staticmethod
+    def lowered(x: np.ndarray) -> np.ndarray:
+        """Eight bytes of ASCII a number, in lower case."""
+        return x | ((x + ONES * np.uint64(0x80 - 0x41) ^ x + ONES * np.uint64(0x7F - 0x5A)) & TOPS) >> np.uint64(2)
+
+    def known(self, a: np.ndarray, b: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """look() of the table for words that it has or learns now; long ones aren't looked up."""
+        at, n = self.short.look(a, b)
+        at[long] = 0
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at, n
+        if self.short.size + len(new) > self.short.limit:
+            new = np.flatnonzero(a)
+            self.short.clear(len(new))
+        order = new[np.lexsort((b[new], a[new]))]
+        x, y = a[order], b[order]
+        one = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        words = [w.decode() for w in np.stack([x[one], y[one]], 1).astype("<u8").view("S16").ravel().tolist()]
+        self.short.add(x[one], y[one], self.ids_of(words))
+        at[new], n[new] = self.short.look(a[new], b[new])
+        return at, n
 
     def word(self, word: str) -> bytes:
         """Ids of a word without white space, as little-endian 32-bit integers."""

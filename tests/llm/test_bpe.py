@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from fieldlore.llm import counts, queries, shared
+from fieldlore.llm import bpe, counts, queries, shared
 from fieldlore.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, merge_table
 from fieldlore.llm.counts import token_counts
 from fieldlore.llm.records import frames, read_index, read_record, read_records, read_shuffled, unpack, write_records
@@ -189,3 +189,15 @@ def test_damage_is_seen():
 def test_empty_records(spark):
     _, manifest = write_records(spark.createDataFrame([], "doc_id bigint, text string"), WORD, 2)
     assert manifest == [] and read_records(spark, manifest).collect() == []
+
+
+def test_words_looked_up_at_once(monkeypatch):
+    """A table of few words that is cleared again and again, texts cut at white space, words that share their first 16 bytes, and marks after letters whose lower case ends otherwise."""
+    lib, own = Tokenizer.from_file(WORD), bpe.MergeTable(WORD, 5)
+    assert own.short.limit == 10
+    texts = [*sample(), "z0 aİ. İ, é. A. B,, C.", "a\0 a a\0\0 a", "a" * 15 + "b. " + "a" * 15 + "bc " + "a" * 15 + "b", "日本語日. 日本語日本 日本語日本語", " ".join(f"w{k}" for k in range(3000))]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for chars in (bpe.CHARS, 50):
+        monkeypatch.setattr(bpe, "CHARS", chars)
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_many(texts)] == want
+    assert list(bpe.divided("ab cd  e", 2)) == ["ab", " cd", "  e"] and not list(bpe.divided("", 2))
