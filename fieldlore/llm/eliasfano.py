@@ -105,6 +105,8 @@ class EliasFano:
         self.n, base, self.bits, self.top = (int(v) for v in arrays["head"])
         self.base = U(base)
         self.high, self.ones, self.zeros, self.low = (arrays[k] for k in ("high", "ones", "zeros", "low"))
+        #: the low bits as a number from each byte on
+        self.bytes = np.ndarray(8 * len(self.low) - 7, "<u8", np.ascontiguousarray(self.low).view("u1"), strides=(1,))
 
     def __len__(self) -> int:
         return self.n
@@ -113,6 +115,11 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), "u8")
         at = i * self.bits
+        if self.bits <= 57:
+            v = self.bytes[at >> 3]
+            v >>= (at & 7).astype("u8")
+            v &= U((1 << self.bits) - 1)
+            return v
         w, s = at >> 6, (at & 63).astype("u8")
         v = self.low[w] >> s
         v |= np.where(s > 0, self.low[w + 1] << (U(64) - np.maximum(s, U(1))), U(0))

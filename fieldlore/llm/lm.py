@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from fieldlore.llm import eliasfano as ef
 from fieldlore.llm.shared import batches, by_place, col, make_dir, put, size_of, without
-from fieldlore.llm.words import Words, chunks
+from fieldlore.llm.words import chunks, lower_hashes
 
 #: Discount, the query's order, logarithms' step, entries that a task sorts at once, characters that are looked up at once.
 DISCOUNT, ORDER, STEP, RUN, CHARS = 0.75, 3, 12 / 65535, 3_000_000, 6_000_000
@@ -44,13 +44,13 @@ END = np.uint64(0xE0D0F7EC5AFE57AB)
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words in lower-case ASCII, then the end), and where each text's begin and end."""
-    w = Words(texts, lower=True)
-    n = np.diff(w.first)
+    words, place = lower_hashes(texts)
+    n = np.diff(place)
     first = np.concatenate([[0], np.cumsum(n + 1)])
     out = np.full(first[-1], END, "u8")
     own = np.ones(first[-1], bool)
     own[first[1:] - 1] = False
-    out[own] = w.hashes()
+    out[own] = words
     return out, first
 
 
@@ -147,11 +147,17 @@ class Level:
             own = np.where(inside, own, 0)
             first, last = (x.astype("i8") for x in f.pointers.get_two(own))
             last = np.where(inside, last, first)
-            start = np.zeros(len(own), "u8")
-            some = np.flatnonzero(first > 0)
-            start[some] = f.keys.get(first[some] - 1)
+            start, only = np.zeros(len(own), "u8"), np.zeros(len(own), "u8")
             after[a:z] = (last - first)[of]
-            at, hit = f.keys.lower_bound(start[of] + token[a:z].astype("u8"), first[of], last[of])
+            # most contexts have one successor, the value after the sum that they begin with
+            one = (first > 0) & (last - first == 1)
+            some = np.flatnonzero(one)
+            start[some], only[some] = f.keys.get_two(first[some] - 1)
+            some = np.flatnonzero((first > 0) & ~one)
+            start[some] = f.keys.get(first[some] - 1)
+            sums = start[of] + token[a:z].astype("u8")
+            at, hit, rest = first[of], one[of] & (only[of] == sums), np.flatnonzero((~one & (last > first))[of])
+            at[rest], hit[rest] = f.keys.lower_bound(sums[rest], first[of[rest]], last[of[rest]])
             at, k = at[hit], np.flatnonzero(hit) + a
             where[k], count[k] = at + self.base[file[a]], f.count[at]
             part[k] = 10.0 ** (-STEP * f.part[at].astype("f8"))

@@ -6,6 +6,7 @@ prefix sum, then mixed. Equal runs have equal hashes in every process and at eve
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -78,6 +79,35 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+#: What is left of a 64-bit number when its first so many bytes are kept; bytes up to which a word is hashed in arrays.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
+LONG = 64
+
+
+def lower_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts in lower-case ASCII, and where each text's begin and end; words are read eight bytes at a time.
+
+    Words of up to eight bytes and one length never share a hash.
+    """
+    data = [(t or "").encode() for t in texts]
+    joined = (b"\n".join(data) + b"\n" + bytes(8)).lower()
+    buffer = np.frombuffer(joined, np.uint8)[:-8]
+    gap = (buffer == 32) | (buffer - np.uint8(9) < 5)
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    edge = edge if gap[0] else np.concatenate([[0], edge])
+    start, size = edge[0::2], edge[1::2] - edge[0::2]
+    numbers = np.ndarray(len(buffer) + 1, "<u8", joined, strides=(1,))
+    h = mix((numbers[start] & KEPT[np.minimum(size, 8)]) + size.astype("u8") * np.uint64(0xA0761D6478BD642F))
+    more, at = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(more):
+        h[more] = mix((h[more] ^ numbers[start[more] + at] & KEPT[np.minimum(size[more] - at, 8)]) + np.uint64(0xE7037ED1A0B428DB))
+        at += 8
+        more = more[size[more] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(joined[start[k] : start[k] + size[k]], digest_size=8).digest(), "little")
+    return h, np.searchsorted(start, np.cumsum([0] + [len(x) + 1 for x in data]))
+
+
 def chunks(texts: list, size: int = 1 << 20):
     """Runs (from, to) of texts of about size characters; a longer text is alone."""
     at, total = 0, 0

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 
 from fieldlore.llm import eliasfano as ef
 from fieldlore.llm import lm, queries
+from fieldlore.llm.words import lower_hashes
 
 SF = "/root/testdata/sf0.001"
 
@@ -161,3 +162,26 @@ def test_query_uses_trigrams(spark, tmp_path):
     assert len(rows) > 60 and len(got) == len(rows)
     assert all(abs(got[i] - w[4]) <= w[0] * lm.STEP / 2 + 1e-9 for (i, _), w in zip(rows, want, strict=True))
     assert got[1] > got[rows[-1][0]] + 0.5
+
+
+def test_hashes_of_words():
+    """A word's hash is its own, wherever it stands, in lower-case ASCII; lengths, bytes of 0 and places beyond a number count."""
+    words = ["a", "a\0", "a\0\0", "b", "é", "É", "x" * 8, "x" * 9, "x" * 16, "x" * 63, "x" * 64, "x" * 65, "x" * 64 + "y", "日本語", "日本" * 30, "ab\x1cc", "a　b"]
+    h, first = lower_hashes(words)
+    assert first.tolist() == list(range(len(words) + 1)) and len(set(h.tolist())) == len(words)
+    again, first = lower_hashes([None, "", " \t" + "\x0b \r".join(words).upper().replace("É", "é", 1) + "\n", " ", "A"])
+    assert first.tolist() == [0, 0, 0, len(words), len(words), len(words) + 1]
+    assert again.tolist() == [*h.tolist(), h[0]]
+
+
+def test_contexts_of_one_successor_are_not_searched(spark, monkeypatch):
+    """They are read with the sum that they begin with."""
+    text = " ".join(f"w{k}" for k in range(500))
+    levels = lm.train(spark.createDataFrame([(text,)], "text string"), order=3, parts=1)
+    searched, plain = [], ef.EliasFano.lower_bound
+    monkeypatch.setattr(ef.EliasFano, "lower_bound", lambda self, x, *a: searched.append(len(x)) or plain(self, x, *a))
+    h, first = lm.tokens([text, text.replace("w250 ", "w3 ")])
+    _, two, three = lm.walk(levels, h, first)
+    # a word that is missing breaks two nodes of a level, and one more of the next
+    assert (two[0] < 0).sum() == 2 + 2 and (three[0] < 0).sum() == 4 + 3
+    assert sum(searched[1:]) < 10
