@@ -368,3 +368,13 @@ def test_bounds_by_tables():
     assert x.tabled
     for leaf in range(0, x.leaves, 3):
         assert (x.least(x.rows(leaf)) == y.least(y.rows(leaf))).all()
+
+
+@pytest.mark.parametrize("n", [60, 4001, 9000])
+def test_sorted_curves_are_whole(spark, n):
+    """Every distance has its place, however many there are."""
+    rng = np.random.default_rng(n)
+    d = rng.integers(0, 3000, (2, n)) / 10_000
+    near = spark.createDataFrame([(k, float(x)) for k in range(2) for x in d[k]], "rank int, d double")
+    assert K.sorted_curves(near).tolist() == np.sort(d, axis=1).tolist()
+    assert K.rule_of_thumb(K.sorted_curves(near.where("rank = 1"))[0]) == K.rule_of_thumb(np.sort(d[1]))
