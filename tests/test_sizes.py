@@ -378,3 +378,16 @@ def test_sorted_curves_are_whole(spark, n):
     near = spark.createDataFrame([(k, float(x)) for k in range(2) for x in d[k]], "rank int, d double")
     assert K.sorted_curves(near).tolist() == np.sort(d, axis=1).tolist()
     assert K.rule_of_thumb(K.sorted_curves(near.where("rank = 1"))[0]) == K.rule_of_thumb(np.sort(d[1]))
+
+
+def test_parameters_or_an_error(spark, monkeypatch):
+    """As many ranks as the logarithm of the values asks for; too few ranks are an error of another kind than a missing knee, and neither is a row."""
+    assert QF.clu05_parameters(spark, "/root/testdata/sf0.1").first().eps > 0
+    near = spark.createDataFrame([(k, k / 10 + x / 1000) for k in range(8) for x in range(50)], "rank int, d double")
+    with pytest.raises(ValueError, match="rank 8") as e:
+        K.by_distribution(near, 3000)
+    assert not isinstance(e.value, K.NoKneeError)
+    few = spark.createDataFrame([(k, bytearray([k + 1]), 1) for k in range(3)], "id bigint, bytes binary, n bigint")
+    monkeypatch.setattr(QF, "values", lambda *_: few)
+    with pytest.raises(K.NoKneeError):
+        QF.clu05_parameters(spark, SMALL)
