@@ -191,6 +191,67 @@ def nearest_links(clusters: Clusters, digits: int) -> tuple[DataFrame, DataFrame
     return once(shape), once(links)
 
 
+#: Distinct distances of pairs of clusters that a task holds at once.
+HELD = 1 << 21
+
+
+def link_counts(clusters: Clusters, digits: int) -> DataFrame:
+    """(p, q, least, most, mean, median, deviation) of distances between two clusters, p < q; pairs inside a cluster aren't compared.
+
+    Tasks count distances; counts of one span of them are added up in a task, and those of two clusters come together in one.
+    """
+    names, unit, base = clusters.names, 10.0**digits, 1 << 32
+    kind = f"p {clusters.kind}, q {clusters.kind}"
+
+    def rows_of(key, n):
+        at, code = key // base, key % base
+        ends = np.append(np.flatnonzero((np.diff(at) != 0) | (np.diff(code // SPAN) != 0)) + 1, len(key))
+        start, own = np.append(0, ends[:-1]), at[ends - 1]
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(x))
+        return pa.table({"p": pa.array(names[own // len(names)]), "q": pa.array(names[own % len(names)]), "x": code[start] // SPAN, "codes": lists(code), "n": lists(n)})
+
+    def work(index, label, leaves):
+        key, n, held, size = [], [], np.zeros(0, np.int64), 0
+        for leaf in leaves:
+            rows = index.rows(leaf)
+            for c in np.unique(label[rows][label[rows] >= 0]).tolist():
+                own = rows[label[rows] == c]
+                columns = own[0] + np.flatnonzero((label[own[0] :] >= 0) & (label[own[0] :] != c))
+                if not len(columns):
+                    continue
+                pair = (np.minimum(label[columns], c) * len(names) + np.maximum(label[columns], c)) * base
+                for part, code in index.codes(own, columns, digits):
+                    # two of one leaf are met from both sides
+                    found = np.unique((pair + code)[part[:, None] < columns], return_counts=True)
+                    key.append(found[0])
+                    n.append(found[1])
+                    size += len(found[0])
+                    if size > HELD + 2 * len(held):
+                        held, count = _summed(np.concatenate(key), np.concatenate(n))
+                        key, n, size = [held], [count], len(held)
+                        if size > HELD:
+                            yield rows_of(held, count)
+                            key, n, held, size = [], [], held[:0], 0
+        if size:
+            yield rows_of(*_summed(np.concatenate(key), np.concatenate(n)))
+
+    def joined(g: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(g[c].combine_chunks().flatten().to_numpy() for c in ("codes", "n")))
+
+    def add(g: pa.Table) -> pa.Table:
+        at, n = joined(g)
+        return pa.table({"p": g["p"][:1], "q": g["q"][:1], "codes": pa.array([at]), "n": pa.array([n])})
+
+    def statistics(g: pa.Table) -> pa.Table:
+        at, n = joined(g)
+        mean = float(at.astype(float) @ n) / unit / n.sum()
+        deviation = float(np.sqrt((at / unit - mean) ** 2 @ n / n.sum()))
+        return pa.table({"p": g["p"][:1], "q": g["q"][:1], "least": [float(at[0] / unit)], "most": [float(at[-1] / unit)], "mean": [mean], "median": [percentile(at, n, 0.5, unit)], "deviation": [deviation]})
+
+    parts = clusters.by_leaves(work, f"{kind}, x bigint, codes array<bigint>, n array<bigint>").groupBy("p", "q", "x").applyInArrow(add, f"{kind}, codes array<bigint>, n array<bigint>")
+    return parts.groupBy("p", "q").applyInArrow(statistics, f"{kind}, least double, most double, mean double, median double, deviation double")
+
+
 def densities(clusters: Clusters, ends: DataFrame, digits: int) -> DataFrame:
     """(p, q, end, density): the median distance from an end (p, q, end, reach) to its fellows within reach; null without any."""
     index, told = clusters.index, clusters.label

@@ -391,3 +391,21 @@ def test_parameters_or_an_error(spark, monkeypatch):
     monkeypatch.setattr(QF, "values", lambda *_: few)
     with pytest.raises(K.NoKneeError):
         QF.clu05_parameters(spark, SMALL)
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 21])
+def test_links_are_counted(spark, monkeypatch, held):
+    """All figures of links as from a table of all pairs, which isn't made; counts that a task gives away early."""
+    monkeypatch.setattr(SH, "HELD", held)
+    v, labels = clustered(spark, monkeypatch)
+    want = SM.link_statistics(P.distances(v, digits=6), labels).drop("i", "j").cache()
+    assert want.count() > 1
+    monkeypatch.setattr(P, "distances", None)
+    got = SM.link_statistics_of(v, labels)
+    assert got.columns == want.columns
+    close_rows(got, want, 2)
+
+
+def test_links_make_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(P, "distances", None)
+    assert QF.QUERIES["sem23_statistics"][0](spark, SMALL).count() == 10
