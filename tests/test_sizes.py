@@ -409,3 +409,49 @@ def test_links_are_counted(spark, monkeypatch, held):
 def test_links_make_no_table_of_pairs(spark, monkeypatch):
     monkeypatch.setattr(P, "distances", None)
     assert QF.QUERIES["sem23_statistics"][0](spark, SMALL).count() == 10
+
+
+def odd_messages(n=70):
+    rng = np.random.default_rng(11)
+    return [[bytes(rng.integers(0, 9, int(rng.integers(1, 5))).astype(np.uint8)) for _ in range(int(rng.integers(1, 6)))] for _ in range(n)]
+
+
+@pytest.mark.parametrize(("step", "similar"), [(64, 1 << 23), (3, 1 << 23), (3, 50)])
+def test_scores_of_two_sides(monkeypatch, step, similar):
+    """To the last bit those of pairs one by one; in parts, and for labels inside and apart."""
+    monkeypatch.setattr(A, "STEP", step)
+    monkeypatch.setattr(A, "SIMILAR", similar)
+    messages, places = odd_messages(), np.arange(70)
+    score = A.last_scores(messages, *np.nonzero(places[:, None] < places))
+    want = dict(zip(zip(*(x.tolist() for x in np.nonzero(places[:, None] < places)), strict=True), score.tolist(), strict=True))
+    label = np.where(places < 40, 0, places % 7)
+    for left, right in ((places, places), (places[::2], places[1::2]), (places[:50], places[:0])):
+        pairs = {(min(i, j), max(i, j)) for i in left.tolist() for j in right.tolist() if i != j}
+        for of, inside in ((None, False), (label, True), (label, False)):
+            got = list(zip(*(x.tolist() for x in A._scored(messages, left, right, of, inside)), strict=True))
+            keep = {p for p in pairs if of is None or (of[p[0]] == of[p[1]]) == inside}
+            assert len(got) == len(keep) and {(i, j): s for i, j, s in got} == {p: want[p] for p in keep}
+
+
+def test_message_clusters_without_table_of_pairs(spark):
+    """Clusters and medoids of messages as from all pairs."""
+    rows = [(i, k, bytearray(v)) for i, m in enumerate(odd_messages(120)) for k, v in enumerate(m)] + [(500, 0, bytearray())]
+    s = spark.createDataFrame(rows, "msg_id bigint, seg_no int, bytes binary").cache()
+    ids = s.select(F.col("msg_id").alias("id")).distinct()
+    d = A.message_distances(s).select("i", "j", F.col("distance").alias("d")).cache()
+    found = A.nearest_messages(s, 4).cache()
+    rounded = A.message_distances(s, digits=6).select("i", "j", F.col("distance").alias("d"))
+    seen = set()
+    for eps in (1.0, 8.0, 14.0, 25.0):
+        labels = P.joined(found, ids, eps, 3, lambda x, eps=eps: A.message_links(s, x, eps)).cache()
+        got = sorted(map(tuple, labels.collect()))
+        assert got == sorted(map(tuple, P.dbscan(d, ids, eps, 3).collect()))
+        seen.add(len({label for _, label in got}))
+        real = labels.where("label <> -1")
+        assert sorted(map(tuple, A.message_medoids(s, real).collect())) == sorted(map(tuple, P.medoids(rounded, real).collect()))
+    assert max(seen) > 2
+
+
+def test_message_types_need_no_table_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(A, "message_distances", None)
+    assert QF.aln10_message_types(spark, SMALL).count() == 10
